@@ -1,0 +1,5 @@
+"""Empty on purpose: the functional model has no streaming operators.
+
+Months are published again under the same file name, which a file stream would never read a second time, so
+new data arrives through the ledger-driven batch in ``navgrid.plans.load``.
+"""
