@@ -1,15 +1,11 @@
 """Benchmark series: cleaning, compounding, request windows and alignment with a panel."""
 
-from datetime import date
-
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from navgrid.functions import positive, rate_factor, to_double, utc_day
+from navgrid.operators.panel import series_window
 from navgrid.schema import SOURCE_WINDOW_YEARS
 
-_RUN = Window.partitionBy("serie").orderBy("data")  # one value per series and day: bounded by the calendar
-
-
 def clean_series(df: DataFrame, *, value: str, when: str, seq: str, name: str) -> DataFrame:
     """(serie, data, valor): numbers only, UTC days, the last observation in input order per day.
 
@@ -27,40 +23,43 @@ def clean_series(df: DataFrame, *, value: str, when: str, seq: str, name: str) -
 
 def compound_rates(series: DataFrame) -> DataFrame:
     """Percent rates to base 100; the rate of the first day drops out."""
-    growth = F.product("_fator").over(_RUN.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    growth = F.product("_fator").over(series_window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (series.withColumn("_fator", rate_factor("valor")).withColumn("_acumulado", growth)
-            .withColumn("valor", F.col("_acumulado") / F.first("_acumulado").over(_RUN) * 100.0)
+            .withColumn("valor", F.col("_acumulado") / F.first("_acumulado").over(series_window()) * 100.0)
             .select("serie", "data", "valor"))
 
 
 def compound_closes(series: DataFrame) -> DataFrame:
     """Closes to base 100: the chained variations between positive closes telescope to close / first close."""
     return (series.where(positive("valor"))
-            .withColumn("valor", F.col("valor") / F.first("valor").over(_RUN) * 100.0)
+            .withColumn("valor", F.col("valor") / F.first("valor").over(series_window()) * 100.0)
             .select("serie", "data", "valor"))
 
 
 def daily_variation(series: DataFrame) -> DataFrame:
     """Variation between consecutive positive closes, 0 on the first day."""
-    previous = F.lag("valor").over(_RUN)
+    previous = F.lag("valor").over(series_window())
     return (series.where(positive("valor"))
             .withColumn("valor", F.coalesce(F.col("valor") / previous - 1.0, F.lit(0.0)))
             .select("serie", "data", "valor"))
 
 
-def date_windows(spark: SparkSession, start: date, end: date, years: int = SOURCE_WINDOW_YEARS) -> DataFrame:
-    """Contiguous request windows of ``years`` less one day covering [start, end].
+def date_windows(ranges: DataFrame, years: int = SOURCE_WINDOW_YEARS) -> DataFrame:
+    """Contiguous request windows of ``years`` less one day covering each [inicio, fim]; inicio > fim is an error.
 
     Windows chain from the previous start, so after a 29 February start they stay on 28 February.
     """
-    if start > end:
-        raise ValueError("The first date must not be after the last.")
-    anchor = start.replace(day=28) if (start.month, start.day) == (2, 29) else start
-    begins = F.sequence(F.lit(anchor), F.lit(end), F.expr(f"INTERVAL {years} YEARS"))
-    return (spark.range(1).select(F.posexplode(begins).alias("janela", "inicio"))
-            .withColumn("_prox", F.expr(f"CAST(DATE '{anchor}' + make_interval({years} * (janela + 1)) AS DATE)"))
-            .select("janela", F.when(F.col("janela") == 0, F.lit(start)).otherwise(F.col("inicio")).alias("inicio"),
-                    F.least(F.lit(end), F.date_sub("_prox", 1)).alias("fim")))
+    backwards = F.raise_error(F.lit("The first date must not be after the last."))
+    leap = F.date_format("inicio", "MM-dd") == "02-29"
+    anchor = F.when(F.col("inicio") > F.col("fim"), backwards).when(leap, F.date_sub("inicio", 1)).otherwise(
+        F.col("inicio"))
+    step = F.make_interval(years=F.lit(years))
+    return (ranges.withColumn("_inicios", F.sequence(anchor, F.col("fim"), step))
+            .select("*", F.posexplode("_inicios").alias("janela", "_de"))
+            .withColumn("_prox", F.try_element_at("_inicios", F.col("janela") + 2))
+            .withColumn("de", F.when(F.col("janela") == 0, F.col("inicio")).otherwise(F.col("_de")))
+            .withColumn("ate", F.coalesce(F.date_sub("_prox", 1), F.col("fim")))
+            .drop("_inicios", "_de", "_prox"))
 
 
 def with_benchmark(perf: DataFrame, bench: DataFrame | None, message: str | None = None):
