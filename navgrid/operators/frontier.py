@@ -62,11 +62,11 @@ def candidate_weights(spark: SparkSession, funds: Sequence[str], n: int = CANDID
         raise ValueError("The floor must be non-negative and leave room for the weights to total 100%.")
     names = F.array(*[F.lit(f) for f in funds])
     draws = F.transform(names, lambda fund: -F.log(_uniform(seed, F.col("candidata"), fund)))
-    total = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x)
+    room = 1.0 - floor * len(funds)
+    shares = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x,
+                         lambda total: F.transform("_e", lambda e: floor + room * e / total))
     return (spark.range(n).withColumnRenamed("id", "candidata").withColumn("_e", draws)
-            .withColumn("_soma", total)
-            .select("candidata", F.transform("_e", lambda e: floor + (1.0 - floor * len(funds)) * e / F.col("_soma"))
-                    .alias("pesos")))
+            .select("candidata", shares.alias("pesos")))
 
 
 def long_weights(candidates: DataFrame, funds: Sequence[str]) -> DataFrame:
@@ -122,13 +122,15 @@ def pareto_set(scored: DataFrame, slices: int = 64) -> DataFrame:
     A running maximum over all rows by risk would be one task. Instead: the best return per risk, slices of
     about equal size by risk quantile, the best return of each slice (``slices`` rows), and a running maximum
     inside each slice that starts from the best of the slices before it. Only ``slices`` rows meet in one task.
+    ``scored`` is read three times, so persist it when scoring is costly.
     """
     best = F.max_by("candidata", F.struct("retorno", -F.col("candidata")))
     points = scored.groupBy("risco").agg(F.max("retorno").alias("retorno"), best.alias("candidata"))
     cuts = scored.agg(F.percentile_approx("risco", [i / slices for i in range(1, slices)], 10 * slices).alias("_c"))
+    below = F.aggregate("_c", F.lit(0), lambda acc, c: acc + F.when(c < F.col("risco"), 1).otherwise(0))
+    # Never null, so that the join adds no null filter: that filter would sink below the scoring and repeat it.
     sliced = attach(points, cuts, (), "_c").select(
-        "candidata", "risco", "retorno",
-        F.aggregate("_c", F.lit(0), lambda acc, c: acc + F.when(c < F.col("risco"), 1).otherwise(0)).alias("_fatia"))
+        "candidata", "risco", "retorno", F.coalesce(below, F.lit(0)).alias("_fatia"))
     before = Window.orderBy("_fatia").rowsBetween(Window.unboundedPreceding, -1)
     carried = (sliced.groupBy("_fatia").agg(F.max("retorno").alias("_melhor"))
                .select("_fatia", F.max("_melhor").over(before).alias("_anterior")))

@@ -91,7 +91,7 @@ def edge(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # --- SQL fragments -------------------------------------------------------------------------------------------
 
 def r(expression: str, digits: int = DIGITS) -> str:
-    return f"(round({expression}, {digits}) + 0.0)"
+    return f"(round(CAST({expression} AS DOUBLE), {digits}) + 0.0)"
 
 
 def text(expression: str) -> str:

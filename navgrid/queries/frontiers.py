@@ -114,7 +114,7 @@ def f14(t: Tables) -> DataFrame:
     FROM (SELECT *, max(retorno) OVER (ORDER BY risco ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barra FROM sc)
     WHERE barra IS NULL OR retorno > barra""")
 def f14_pareto(t: Tables) -> DataFrame:
-    return edge(E.pareto_set(_scored(t)))
+    return edge(E.pareto_set(_scored(t).persist()))
 
 
 @query("f15_efficient_flag", f"""{_MONTH_SQL}, {_SCORE_SQL} SELECT candidata, {r('retorno')} AS retorno, {r('risco')} AS risco,
