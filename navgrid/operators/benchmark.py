@@ -50,16 +50,15 @@ def date_windows(ranges: DataFrame, years: int = SOURCE_WINDOW_YEARS) -> DataFra
     Windows chain from the previous start, so after a 29 February start they stay on 28 February.
     """
     backwards = F.raise_error(F.lit("The first date must not be after the last."))
-    leap = F.date_format("inicio", "MM-dd") == "02-29"
-    anchor = F.when(F.col("inicio") > F.col("fim"), backwards).when(leap, F.date_sub("inicio", 1)).otherwise(
-        F.col("inicio"))
-    step = F.make_interval(years=F.lit(years))
-    return (ranges.withColumn("_inicios", F.sequence(anchor, F.col("fim"), step))
-            .select("*", F.posexplode("_inicios").alias("janela", "_de"))
+    first = F.when(F.col("inicio") > F.col("fim"), backwards).otherwise(F.col("inicio"))
+    most = F.floor(F.date_diff("fim", "inicio") / F.lit(365 * years)) + 1
+    chain = F.aggregate(F.sequence(F.lit(1), most.cast("int")), F.array(first), lambda found, _: F.array_append(
+        found, F.add_months(F.element_at(found, -1), 12 * years)))
+    return (ranges.withColumn("_inicios", F.filter(chain, lambda day: day <= F.col("fim")))
+            .select("*", F.posexplode("_inicios").alias("janela", "de"))
             .withColumn("_prox", F.try_element_at("_inicios", F.col("janela") + 2))
-            .withColumn("de", F.when(F.col("janela") == 0, F.col("inicio")).otherwise(F.col("_de")))
             .withColumn("ate", F.coalesce(F.date_sub("_prox", 1), F.col("fim")))
-            .drop("_inicios", "_de", "_prox"))
+            .drop("_inicios", "_prox"))
 
 
 def with_benchmark(perf: DataFrame, bench: DataFrame | None, message: str | None = None):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from navgrid.operators.panel import attach
 from navgrid.operators.risk import return_vectors
 from navgrid.schema import FRONTIER_POINTS, MIN_ALLOCATION, TRADING_DAYS
-from navgrid.session import materialise
+from navgrid.session import materialise, spread
 
 DENSE = 512  # series of one portfolio that a single task may solve
 
@@ -202,7 +202,7 @@ _POINT = (T.StructField("alvo_ix", T.IntegerType()), T.StructField("alvo", T.Dou
 
 
 def _grouped(df: DataFrame, by: Sequence[str]):
-    return df.groupBy(*by) if by else df.groupBy(F.lit(0).alias("_tudo"))
+    return spread(df, *by).groupBy(*by) if by else df.groupBy(F.lit(0).alias("_tudo"))
 
 
 def _dense_weights(vectors: DataFrame, floor: float, by: tuple[str, ...]) -> DataFrame:
@@ -298,17 +298,17 @@ def _column_generation(vectors: DataFrame, problems: DataFrame, keys: list[str],
     the calendar and not by the width.
     """
     task = [*keys, "alvo_ix"]
-    spread = F.aggregate("retornos", F.lit(0.0), lambda a, x: a + x * x)
+    energy = F.aggregate("retornos", F.lit(0.0), lambda a, x: a + x * x)
     seeds = vectors.groupBy(*keys).agg(
         F.min_by("serie", F.struct("media", "serie")).alias("_a"),
         F.max_by("serie", F.struct("media", "serie")).alias("_b"),
-        F.min_by("serie", F.struct(spread, "serie")).alias("_c"))
+        F.min_by("serie", F.struct(energy, "serie")).alias("_c"))
     columns = problems.select(*task).join(
         seeds.select(*keys, F.explode(F.array_distinct(F.array("_a", "_b", "_c"))).alias("serie")), keys)
     columns, finished = materialise(columns), []
     while True:
-        restricted = columns.join(vectors, [*keys, "serie"]).groupBy(*task)
-        solved = materialise(restricted.cogroup(problems.groupBy(*task)).applyInPandas(
+        restricted = spread(columns.join(vectors, [*keys, "serie"]), *task).groupBy(*task)
+        solved = materialise(restricted.cogroup(spread(problems, *task).groupBy(*task)).applyInPandas(
             _restricted(task), _fields(problems, keys, *_SOLVED)))
         entering = materialise(
             _price(vectors, solved, keys, task).where(F.col("_ordem") <= batch).select(*task, "serie")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from navgrid.operators.panel import attach
 from navgrid.schema import MIN_ALLOCATION, MIN_RETURNS, TRADING_DAYS
+from navgrid.session import spread
 
 BLOCK = 512  # series per block of the covariance product: two blocks of calendar-long vectors per task
 
@@ -40,14 +41,15 @@ def annual_cov(returns: DataFrame, by: Sequence[str] = (), block: int = BLOCK) -
     else:
         placed = attach(vectors, blocks, by, "_blocos")
     mine = F.pmod(F.xxhash64("serie"), F.col("_blocos")).cast("int")
-    spread = (placed.withColumn("_meu", mine)
-              .withColumn("_outro", F.explode(F.sequence(F.lit(0), F.col("_blocos") - 1)))
-              .select(*by, F.least("_meu", "_outro").alias("_a"), F.greatest("_meu", "_outro").alias("_b"),
-                      "_meu", "serie", "retornos"))
+    pairs = (placed.withColumn("_meu", mine)
+             .withColumn("_outro", F.explode(F.sequence(F.lit(0), F.col("_blocos") - 1)))
+             .select(*by, F.least("_meu", "_outro").alias("_a"), F.greatest("_meu", "_outro").alias("_b"),
+                     "_meu", "serie", "retornos"))
     fields = [returns.schema[c] for c in by] + [
         T.StructField("serie_i", T.StringType()), T.StructField("serie_j", T.StringType()),
         T.StructField("cov", T.DoubleType())]
-    return spread.groupBy(*by, "_a", "_b").applyInPandas(_block_product(by), T.StructType(fields))
+    groups = [*by, "_a", "_b"]
+    return spread(pairs, *groups).groupBy(*groups).applyInPandas(_block_product(by), T.StructType(fields))
 
 
 def _block_product(by: tuple[str, ...]):

@@ -9,7 +9,7 @@ from navgrid.queries.common import (
     COMMON, P_DAY, P_MONTH, P_NATION, P_PRIO, P_SUPPLIER, RETURNS, Tables, edge, query, r, text,
 )
 
-_PANEL = f"serie, {text('data')} AS data, {r('valor')} AS valor"
+_PANEL = f"serie, {text('data')} AS data, valor"
 _SERIES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 _FIRST = "first_value(valor) OVER (PARTITION BY serie ORDER BY data)"
 _BASE = f"b AS (SELECT serie, data, valor / {_FIRST} * 100 AS valor FROM c)"
@@ -26,6 +26,8 @@ def _wanted(panel: DataFrame):
 
 
 def _common(panel: DataFrame) -> DataFrame:
+    """Common dates of all series. The panel is kept: the fact table below it is read once, not per branch."""
+    panel = panel.persist()
     return P.common_dates(panel, _wanted(panel))
 
 
@@ -33,24 +35,24 @@ def _names(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_nationkey").cast("string").alias("cnpj"), F.col("n_name").alias("nome"))
 
 
-@query("s5_quote_scan", f"""WITH {P_DAY} SELECT {text('data')} AS data, serie AS cnpj, {r('valor')} AS valor_cota FROM p
+@query("s5_quote_scan", f"""WITH {P_DAY} SELECT {text('data')} AS data, serie AS cnpj, valor AS valor_cota FROM p
     WHERE serie IN ('AF', 'NO', 'RF') AND data BETWEEN DATE '1996-02-01' AND DATE '2000-06-30' ORDER BY data, cnpj""")
 def s5(t: Tables) -> DataFrame:
     scan = P.quote_scan(_quotes(t), ["AF", "NO", "RF"], date(1996, 2, 1), date(2000, 6, 30))
-    return edge(scan.orderBy("data", "cnpj"))
+    return edge(scan.orderBy("data", "cnpj"), None)
 
 
 @query("s5_load_panel", f"""WITH {P_DAY}, w AS (SELECT * FROM p WHERE data BETWEEN DATE '1996-02-01'
     AND DATE '2000-06-30') SELECT {_PANEL} FROM w WHERE data IN (SELECT data FROM w GROUP BY data HAVING COUNT(*) = 6)""")
 def s5_panel(t: Tables) -> DataFrame:
-    return edge(P.load_panel(_quotes(t), _SERIES, date(1996, 2, 1), date(2000, 6, 30)))
+    return edge(P.load_panel(_quotes(t), _SERIES, date(1996, 2, 1), date(2000, 6, 30)), None)
 
 
 @query("s5_load_panel_by_register", f"""WITH {P_DAY} SELECT {_PANEL} FROM p WHERE data IN
     (SELECT data FROM p GROUP BY data HAVING COUNT(*) = 6)""")
 def s5_register(t: Tables) -> DataFrame:
     funds = t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("cnpj")).distinct()
-    return edge(P.load_panel(_quotes(t), funds, date(1990, 1, 1), date(2010, 1, 1)))
+    return edge(P.load_panel(_quotes(t), funds, date(1990, 1, 1), date(2010, 1, 1)), None)
 
 
 @query("p13_date_range", """SELECT l_suppkey, COUNT(*) AS linhas FROM lineitem
@@ -63,15 +65,15 @@ def p13(t: Tables) -> DataFrame:
 
 @query("a5_common_dates", f"WITH {P_PRIO}, {COMMON} SELECT {_PANEL} FROM c")
 def a5(t: Tables) -> DataFrame:
-    return edge(_common(t.prio()))
+    return edge(_common(t.prio()), None)
 
 
 @query("a5_common_dates_by_portfolio", f"""WITH {P_SUPPLIER}, n AS (SELECT CAST(s_nationkey AS VARCHAR) AS carteira,
     COUNT(*) AS n FROM supplier GROUP BY 1), k AS (SELECT carteira, data FROM p JOIN n USING (carteira)
     GROUP BY carteira, data, n HAVING COUNT(*) = n) SELECT carteira, {_PANEL} FROM p JOIN k USING (carteira, data)""")
 def a5_by(t: Tables) -> DataFrame:
-    panel = P.common_dates_per_group(t.supplier_month(), t.suppliers(), ["carteira"])
-    return edge(panel.select("carteira", "serie", "data", "valor"))
+    panel = P.common_dates_per_group(t.supplier_month().persist(), t.suppliers(), ["carteira"])
+    return edge(panel.select("carteira", "serie", "data", "valor"), None)
 
 
 @query("a6_any_data_dates", f"WITH {P_PRIO} SELECT {text('data')} AS data, COUNT(*) AS series FROM p GROUP BY data")
@@ -94,20 +96,20 @@ def a15_dates(t: Tables) -> DataFrame:
 
 
 @query("v1_pivot", f"""WITH {P_DAY} SELECT {text('data')} AS data, {', '.join(
-    f"(round(max(valor) FILTER (serie = '{s}'), 6) + 0.0) AS {s}" for s in [*_SERIES, 'ZZ'])} FROM p GROUP BY data""")
+    f"max(valor) FILTER (serie = '{s}') AS {s}" for s in [*_SERIES, 'ZZ'])} FROM p GROUP BY data""")
 def v1(t: Tables) -> DataFrame:
-    return edge(P.to_wide(t.day(), [*_SERIES, "ZZ"]))
+    return edge(P.to_wide(t.day(), [*_SERIES, "ZZ"]), None)
 
 
-@query("v2_melt", f"""WITH {P_DAY} SELECT serie, {text('data')} AS data, {r('valor')} AS valor
+@query("v2_melt", f"""WITH {P_DAY} SELECT serie, {text('data')} AS data, valor
     FROM (SELECT DISTINCT data FROM p) CROSS JOIN (SELECT DISTINCT serie FROM p) LEFT JOIN p USING (data, serie)""")
 def v2(t: Tables) -> DataFrame:
-    return edge(P.to_long(P.to_wide(t.day(), _SERIES), _SERIES))
+    return edge(P.to_long(P.to_wide(t.day(), _SERIES), _SERIES), None)
 
 
 @query("v3_rename", f"""WITH {P_NATION} SELECT nome, {_PANEL} FROM p LEFT JOIN {_NAMES_SQL} USING (serie)""")
 def v3(t: Tables) -> DataFrame:
-    return edge(P.with_names(t.nation_day(), _names(t)).select("nome", "serie", "data", "valor"))
+    return edge(P.with_names(t.nation_day(), _names(t)).select("nome", "serie", "data", "valor"), None)
 
 
 @query("j6_name_fallback", """SELECT CAST(o_custkey AS VARCHAR) AS serie, coalesce(s_name, CAST(o_custkey AS VARCHAR)) AS nome,
@@ -120,7 +122,7 @@ def j6(t: Tables) -> DataFrame:
 
 @query("w1_rebase100", f"WITH {P_NATION}, {_BASE_ALL} SELECT {_PANEL} FROM b")
 def w1(t: Tables) -> DataFrame:
-    return edge(R.rebase100(t.nation_day()))
+    return edge(R.rebase100(t.nation_day()), None)
 
 
 @query("w2_returns", f"WITH {P_PRIO}, {COMMON}, {RETURNS} SELECT serie, {text('data')} AS data, {r('retorno')} AS retorno FROM ret")
@@ -135,7 +137,7 @@ def w2(t: Tables) -> DataFrame:
     SELECT serie, {text('data')} AS data, {r('retorno')} AS retorno FROM y WHERE data IN (SELECT data FROM y GROUP BY data
     HAVING COUNT(*) = (SELECT COUNT(DISTINCT serie) FROM p))""")
 def w2_gaps(t: Tables) -> DataFrame:
-    return edge(R.returns(t.day(), common=False))
+    return edge(R.returns(t.day().persist(), common=False))
 
 
 @query("p21_cumulative_return", f"""WITH {P_DAY}, {COMMON}, {_BASE} SELECT serie, {text('data')} AS data,

@@ -20,7 +20,7 @@ _BASE_SQL = f"WITH {P_SUPPLIER}, {COMMON_BY}, {_WEIGHTS_SQL}, {_HELD_SQL}"
 
 def panel(t: Tables) -> DataFrame:
     """Common-date panel of every nation."""
-    return P.common_dates_per_group(t.supplier_month(), t.suppliers(), _BY)
+    return P.common_dates_per_group(t.supplier_month().persist(), t.suppliers(), _BY)
 
 
 def percentages(t: Tables) -> DataFrame:

@@ -108,10 +108,10 @@ def t5(t: Tables) -> DataFrame:
 
 @query("j5_align_on_date", f"""WITH {P_PRIO}, w AS (SELECT data, max(valor) FILTER (serie = '1-URGENT') AS urgente
     FROM p GROUP BY data), {_CLOSES_SQL}, {_INDEX}
-    SELECT {text('data')} AS data, {r('w.urgente')} AS urgente, {r('ibov.valor')} AS indice FROM w FULL JOIN ibov USING (data)""")
+    SELECT {text('data')} AS data, w.urgente, ibov.valor AS indice FROM w FULL JOIN ibov USING (data)""")
 def j5(t: Tables) -> DataFrame:
     wide = t.prio().groupBy("data").pivot("serie", ["1-URGENT"]).agg(F.first("valor")).withColumnRenamed("1-URGENT", "urgente")
-    return edge(B.align_on_date(wide, B.compound_closes(_closes_in(t)), "indice"))
+    return edge(B.align_on_date(wide, B.compound_closes(_closes_in(t)), "indice"), None)
 
 
 @query("f2_performance_with_benchmark", f"""WITH {P_PRIO}, {COMMON}, {_BASE}, {_CLOSES_SQL}, {_INDEX},

@@ -137,11 +137,11 @@ def u3(t: Tables) -> DataFrame:
     return edge(K.sync_register(old, old.select("cnpj"), new, excluded)[0])
 
 
-@query("j3_exclude_quotes", f"""WITH {P_NATION} SELECT serie AS cnpj, {text('data')} AS data, {r('valor')} AS valor_cota
+@query("j3_exclude_quotes", f"""WITH {P_NATION} SELECT serie AS cnpj, {text('data')} AS data, valor AS valor_cota
     FROM p WHERE serie NOT IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey = 3)""")
 def j3(t: Tables) -> DataFrame:
     excluded = [str(row[0]) for row in t.nation.where("n_regionkey = 3").select("n_nationkey").collect()]
-    return edge(K.without_keys(t.nation_day().toDF("cnpj", "data", "valor_cota"), excluded))
+    return edge(K.without_keys(t.nation_day().toDF("cnpj", "data", "valor_cota"), excluded), None)
 
 
 @query("j2_wanted_rows", """

@@ -46,3 +46,12 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/navgrid/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash rows by group over all shuffle partitions.
+
+    For groups that are small in bytes but heavy in computation: the explicit number keeps the adaptive planner
+    from merging them into few tasks, and a following groupBy on the columns needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

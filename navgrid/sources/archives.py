@@ -87,8 +87,8 @@ def read_members(members: DataFrame, opener: Callable = open_shared, block_rows:
 
 
 def _problem(start: dict, text: str) -> pd.DataFrame:
-    return pd.DataFrame([{**start, "linha": -1, "erro": text}]).reindex(columns=_RAW_COLUMNS).astype(
-        {"sem_valor": "boolean"})
+    row = {**dict.fromkeys(_RAW_COLUMNS), **start, "linha": -1, "erro": text}
+    return pd.DataFrame([row], columns=_RAW_COLUMNS)
 
 
 def _raw_block(block: pd.DataFrame, start: dict) -> pd.DataFrame:

@@ -11,7 +11,7 @@ def catalog_rows(listing: DataFrame, monthly: bool) -> DataFrame:
 
     History holds whole years whatever the name says; the monthly directory accepts only names with a month.
     """
-    name = F.regexp_extract("path", "[^/]+$", 0)
+    name = F.substring_index("path", "/", -1)
     year, month = (F.regexp_extract("arquivo", ARCHIVE_NAME, i) for i in (1, 2))
     named = listing.select(name.alias("arquivo"), F.col("path").alias("url")).distinct()
     named = named.where(F.col("arquivo").rlike(ARCHIVE_NAME))
