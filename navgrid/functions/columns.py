@@ -1,5 +1,7 @@
 """Column expressions: cleaning, coercion and labels. All stay in the JVM."""
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from navgrid.schema import STATUS_EMPTY, STATUS_OK
@@ -31,8 +33,12 @@ def to_double(c: Column | str) -> Column:
 
 
 def to_day(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
-    """Date in exactly this format or null."""
-    return F.try_to_date(_col(c), fmt)
+    """Date in exactly this format or null.
+
+    The shape is tested first: a failing parse costs an exception per row, a failing pattern does not.
+    """
+    shape = "^" + re.sub("[yMd]", r"\\d", fmt) + r"\z"
+    return F.when(_col(c).rlike(shape), F.try_to_date(_col(c), fmt))
 
 
 def parse_day_first(c: Column | str) -> Column:

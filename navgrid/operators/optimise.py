@@ -133,8 +133,7 @@ def min_variance(returns: DataFrame, floor: float = MIN_ALLOCATION, by: Sequence
                  dense: int = DENSE) -> DataFrame:
     """(serie, peso) of the minimum-variance portfolio of each panel.
 
-    A floor of at least 1/dense already keeps every feasible portfolio inside the dense size, so sizes are only
-    counted for smaller floors.
+    ``returns`` is read twice (sizes, then vectors): persist it when it is costly.
     """
     by = tuple(by)
     small, large = _split(returns, floor, by, dense)
@@ -176,17 +175,21 @@ def frontier_weights(curve: DataFrame, members: DataFrame, floor: float = MIN_AL
 
 
 def _split(returns: DataFrame, floor: float, by: tuple[str, ...], dense: int):
-    """Panels that fit one task and the wider ones; None where there are none to look for."""
+    """Panels that fit one task and the wider ones; None where there are none of a kind.
+
+    One job counts the series first, so a panel too wide for its floor is an error before any group is formed.
+    """
     if not 0.0 <= floor < 1.0:
         raise ValueError("The floor must lie in [0, 1).")
-    if floor * dense >= 1.0:
-        return returns, None
     sizes = returns.groupBy(*by, "serie").agg(F.first("retorno").alias("_r")).groupBy(*by).count()
-    wide = sizes.where(F.col("count") > dense)
-    if wide.isEmpty():
+    widest = sizes.agg(F.max("count")).first()[0] or 0
+    if floor * widest >= 1.0:
+        raise ValueError(f"A floor of {floor} does not fit {widest} series.")
+    if widest <= dense:
         return returns, None
     if not by:
         return None, returns
+    wide = sizes.where(F.col("count") > dense)
     return returns.join(wide, list(by), "left_anti"), returns.join(wide, list(by), "left_semi")
 
 
@@ -208,8 +211,6 @@ def _grouped(df: DataFrame, by: Sequence[str]):
 def _dense_weights(vectors: DataFrame, floor: float, by: tuple[str, ...]) -> DataFrame:
     def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         mean, cov = _estimates(group["retornos"])
-        if floor * len(mean) >= 1.0:
-            raise ValueError(f"A floor of {floor} does not fit {len(mean)} series.")
         out = pd.DataFrame({"serie": group["serie"], "peso": dense_min_variance(mean, cov, floor)})
         for name, value in zip(by, key):
             out[name] = value
@@ -223,8 +224,8 @@ def _dense_frontier(vectors: DataFrame, k: int, floor: float, by: tuple[str, ...
         group = group.sort_values("serie")
         mean, cov = _estimates(group["retornos"])
         names, n, out = group["serie"].tolist(), len(group), []
-        if n < 2 or floor * n >= 1.0:
-            raise ValueError(f"A curve needs two series and a floor that fits: {n} series, floor {floor}.")
+        if n < 2:
+            raise ValueError("A curve needs at least two series.")
         total = 1.0 - floor * n
         low, high = (floor * mean.sum() + total * edge for edge in (mean.min(), mean.max()))
         for ix, target in enumerate(np.linspace(low, high, k)):

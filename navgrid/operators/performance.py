@@ -33,6 +33,8 @@ def returns(panel: DataFrame, by: Sequence[str] = (), *, common: bool = True) ->
         return moved.where(F.col("_antes").isNotNull()).select(*by, "serie", "data", "retorno")
     dates = Window.partitionBy(*by).orderBy("data")
     calendar = panel.select(*by, "data").distinct().withColumn("_ontem", F.lag("data").over(dates))
+    if not by:
+        calendar = F.broadcast(calendar)  # one row per calendar date
     size = panel.groupBy(*by).agg(F.countDistinct("serie").alias("_series"))
     kept = (moved.withColumn("_data_antes", F.lag("data").over(order)).join(calendar, [*by, "data"])
             .where((F.col("_data_antes") == F.col("_ontem")) & F.col("retorno").isNotNull())

@@ -151,8 +151,8 @@ def _merge(store: Store, rows: DataFrame, sources: list[str], keep: str) -> tupl
     names = store.spark.createDataFrame([(s,) for s in sources], "arquivo_origem string")
     quotes = store.read("cotas_diarias")
     stale = quotes.join(names, "arquivo_origem", "left_semi").unionByName(
-        quotes.where(F.col("cnpj").isin(list(EXCLUDED_IDS))).select(*quotes.columns), allowMissingColumns=True)
-    months = sorted({*_months(stale), *_months(rows)})
+        quotes.where(F.col("cnpj").isin(list(EXCLUDED_IDS))), allowMissingColumns=True)
+    months = _months(stale.select("data").unionByName(rows.select("data")))
     keys = list(QUOTE_KEY)
     order = _ORDER if keep == "last" else ["ordem", -F.col("membro_ix"), -F.col("linha")]
     winners = keep_last(rows, keys, order)

@@ -132,7 +132,7 @@ _PAIR_SQL = f"""WITH {P_MONTH}, {COMMON}, {RETURNS}, r2 AS (SELECT left(serie, 1
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return month_returns(t).withColumn("carteira", F.left("serie", F.lit(1)))
+    return month_returns(t).withColumn("carteira", F.left("serie", F.lit(1))).persist()
 
 
 @query("f9_min_variance_pairs", f"""{_PAIR_SQL}, o AS (SELECT *, least(greatest((vj - cij) / (vi + vj - 2 * cij), {_FLOOR}),
@@ -162,9 +162,9 @@ def f10_weights(t: Tables) -> DataFrame:
 
 
 def _feasible(t: Tables) -> DataFrame:
-    rets = R.returns(panel(t), _BY)
+    rets = R.returns(panel(t), _BY).persist()
     usable = K.feasibility(rets, _BY, _FLOOR).where("motivo IS NULL")
-    return rets.join(usable.select("carteira"), _BY, "left_semi")
+    return rets.join(usable.select("carteira"), _BY, "left_semi").persist()
 
 
 _FEASIBLE_SQL = (f"WITH {P_SUPPLIER}, {COMMON_BY}, {RETURNS_BY}, ok AS (SELECT carteira FROM ret GROUP BY 1 HAVING "
@@ -179,7 +179,7 @@ def f9_certificate(t: Tables) -> DataFrame:
     At the optimum each holding's covariance with the portfolio is at least the portfolio's own covariance with
     the freely chosen part, with equality above the floor; the SQL side lists what must hold for every series.
     """
-    rets = _feasible(t).persist()
+    rets = _feasible(t)
     w = O.min_variance(rets, _FLOOR, _BY)
     daily = (rets.join(w, [*_BY, "serie"]).groupBy(*_BY, "data").agg(F.sum(F.col("peso") * F.col("retorno")).alias("_p")))
     pull = (rets.join(daily, [*_BY, "data"]).groupBy(*_BY, "serie")

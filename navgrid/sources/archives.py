@@ -110,7 +110,7 @@ def read_archives(catalog: DataFrame, opener: Callable = open_shared, block_rows
     """
     spark = catalog.sparkSession
     files = catalog.count()
-    tasks = max(1, min(10_000, 4 * files))
+    tasks = max(1, min(50_000, 4 * files))
     spread = catalog.repartition(max(1, min(1_000, files)), "url")
     return read_members(list_members(spread, opener).repartition(tasks, "url", "membro_ix"), opener, block_rows)
 

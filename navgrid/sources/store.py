@@ -25,13 +25,21 @@ def month_of(column: str = "data"):
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self._known = spark, root.rstrip("/"), None
 
     def _path(self, table: str, version: int) -> str:
         return f"{self.root}/{table}/versao={version}"
 
     def manifest(self) -> tuple[int, dict[tuple[str, str | None], int]]:
-        """Current version and where it keeps each table and month (one entry per calendar month)."""
+        """Current version and where it keeps each table and month (one entry per calendar month).
+
+        Read once per Store and after each commit; open a new Store to see another writer's version.
+        """
+        if self._known is None:
+            self._known = self._read_manifest()
+        return self._known[0], dict(self._known[1])
+
+    def _read_manifest(self) -> tuple[int, dict[tuple[str, str | None], int]]:
         try:
             commits = self.spark.read.schema(_MANIFEST + ", versao int").parquet(f"{self.root}/manifesto")
         except AnalysisException as problem:
@@ -87,6 +95,7 @@ class Store:
         rows = [(table, month, held) for (table, month), held in entries.items()]
         (self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write
          .parquet(self._path("manifesto", version)))
+        self._known = None
         return version
 
     def create_views(self) -> None:
