@@ -35,10 +35,12 @@ def to_double(c: Column | str) -> Column:
 def to_day(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
     """Date in exactly this format or null.
 
-    The shape is tested first: a failing parse costs an exception per row, a failing pattern does not.
+    The shape is tested first: a failing parse costs an exception per row, a failing pattern does not. With an
+    ISO shape the plain cast is exact and faster than a formatter.
     """
-    shape = "^" + re.sub("[yMd]", r"\\d", fmt) + r"\z"
-    return F.when(_col(c).rlike(shape), F.try_to_date(_col(c), fmt))
+    shape = "^(?!0000)" + re.sub("[yMd]", r"\\d", fmt) + r"\z"
+    day = _col(c).try_cast("date") if fmt == "yyyy-MM-dd" else F.try_to_date(_col(c), fmt)
+    return F.when(_col(c).rlike(shape), day)
 
 
 def parse_day_first(c: Column | str) -> Column:
