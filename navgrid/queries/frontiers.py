@@ -32,7 +32,7 @@ _HIGH, _LOW = _corner_sql("arg_max(serie, media)"), _corner_sql("arg_min(serie,
 
 
 def _supplier_mean(t: Tables) -> DataFrame:
-    return _positions(K.annual_mean(R.returns(panel(t), _BY), _BY))
+    return _positions(K.annual_mean(R.returns(panel(t), _BY), _BY)).persist()
 
 
 @query("f6_highest_return_corner", f"{_SUPP_SQL}, {_HIGH} SELECT carteira, serie, {r('peso')} AS peso FROM cn")

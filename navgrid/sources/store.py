@@ -75,25 +75,27 @@ class Store:
                months: list[str] = ()) -> int:
         """Write a version. ``quotes`` replaces the listed months; all other months keep their files.
 
+        Overwriting touches only what an interrupted attempt at the same, never committed version left behind.
+
         The rebalance hint lets the adaptive planner split a month that holds most rows and join small ones.
         """
         version, entries = self.manifest()
         version += 1
         for table, frame in (("fundos", register), ("cargas", ledger)):
-            frame.select(*_SMALL[table].fieldNames()).write.parquet(self._path(table, version))
+            frame.select(*_SMALL[table].fieldNames()).write.mode("overwrite").parquet(self._path(table, version))
             entries[table, None] = version
         if quotes is not None and months:
             for month in months:
                 entries.pop((_QUOTES, month), None)
             (quotes.select(*QUOTES.fieldNames(), month_of().alias("mes")).hint("rebalance", "mes")
-             .sortWithinPartitions("mes", "cnpj", "data").write.partitionBy("mes")
+             .sortWithinPartitions("mes", "cnpj", "data").write.mode("overwrite").partitionBy("mes")
              .parquet(self._path(_QUOTES, version)))
             layout = T.StructType([*QUOTES.fields, T.StructField("mes", T.StringType())])
             written = self.spark.read.schema(layout).parquet(self._path(_QUOTES, version))
             for row in written.select("mes").distinct().collect():
                 entries[_QUOTES, row["mes"]] = version
         rows = [(table, month, held) for (table, month), held in entries.items()]
-        (self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write
+        (self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite")
          .parquet(self._path("manifesto", version)))
         self._known = None
         return version

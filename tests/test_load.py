@@ -170,6 +170,36 @@ def test_register_changes_and_excluded_funds(world, monkeypatch):
     assert world.spark.sql("SELECT count(*) FROM fundos_controle WHERE status = 'OK'").first()[0] == 1
 
 
+def test_an_interrupted_commit_leaves_the_old_version_and_can_be_repeated(world, monkeypatch):
+    world.archive("202101", a_csv=OLD + "1;2021-01-04;5;1\n")
+    world.load()
+    world.archive("202101", a_csv=OLD + "1;2021-01-05;5;2\n")
+    original = Store._path
+
+    def lost(self, table, version):
+        if table == "manifesto":
+            raise OSError("driver lost")
+        return original(self, table, version)
+
+    monkeypatch.setattr(Store, "_path", lost)
+    with pytest.raises(OSError):
+        world.load()
+    monkeypatch.undo()
+    assert world.quotes() == [q("1", "2021-01-04", 1.0, "202101")]
+    world.load()
+    assert world.quotes() == [q("1", "2021-01-05", 2.0, "202101")]
+
+
+def test_a_reloaded_file_without_rows_empties_its_month(world):
+    world.archive("202101", a_csv=OLD + "1;2021-01-04;5;1\n")
+    world.archive("202102", a_csv=OLD + "1;2021-02-04;5;1\n")
+    world.load()
+    world.archive("202101", a_csv=OLD)
+    world.load()
+    assert world.quotes() == [q("1", "2021-02-04", 1.0, "202102")]
+    assert world.ledger()["202101"] == ("OK", 0)
+
+
 def test_parameters(world):
     for bad in ("2021", "1999-01", "2021-13"):
         with pytest.raises(ValueError):

@@ -20,6 +20,9 @@ def duck():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("NestedLoopJoin", "CartesianProduct", "BatchEvalPython"):
+        assert operator not in plan
     if name in ORACLES:
         assert [d for d in differences(df, duck, ORACLES[name]) if d != "(empty)"] == []
     else:
