@@ -20,6 +20,7 @@ from navgrid.queries.common import Tables, edge, query, r, text
 from navgrid.session import shared_dir
 from navgrid.sources.archives import parse_daily, read_archives
 from navgrid.sources.catalog import catalog_order, source_catalog
+from navgrid.sources.register import read_register, read_sheet
 from navgrid.sources.store import Store
 
 _HEADERS = {"antigo.csv": " cnpj_fundo ;VL_TOTAL;Vl_Quota;dt_cômptc;Id_Subclasse",
@@ -60,7 +61,7 @@ def _prepare(t: Tables) -> tuple[str, DataFrame]:
     folder = f"{shared_dir(t.spark)}/navgrid-arquivos/{uuid.uuid4().hex}"
     _write_archives(_raw(t), folder + "/mensal" if "://" in folder else "file://" + folder + "/mensal")
     wanted = t.customer.where(_WANTED).select(F.col("c_name").alias("Nome"), F.col("c_custkey").cast("string").alias("CNPJ"))
-    wanted.coalesce(1).write.csv(folder + "/fundos.csv", header=True)
+    wanted.write.csv(folder + "/fundos.csv", header=True)
     return folder, wanted.select(F.lpad("CNPJ", 14, "0").alias("cnpj"))
 
 
@@ -95,3 +96,23 @@ def f19_ledger(t: Tables) -> DataFrame:
     ledger = _load(t)[1]
     return edge(ledger.groupBy("status", "processado_em").agg(F.sum("linhas_inseridas").alias("linhas"))
                 .select("status", "linhas", "processado_em"))
+
+
+@query("s4_register_scan", """SELECT lpad(CAST(p_partkey AS VARCHAR), 14, '0') AS cnpj, p_brand || ' "' || p_name || '"' AS nome FROM part""")
+def s4(t: Tables) -> DataFrame:
+    """A sheet with quotes inside quotes, more columns and padded cells."""
+    path = f"{shared_dir(t.spark)}/navgrid-arquivos/{uuid.uuid4().hex}.csv"
+    name = F.concat(F.lit("\t"), "p_brand", F.lit(' "'), "p_name", F.lit('" '))
+    (t.part.select(F.col("p_type").alias("Tipo"), name.alias(" Nome "), F.concat(F.lit("N."), "p_partkey").alias("CNPJ"))
+     .write.csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
+                ignoreTrailingWhiteSpace=False))
+    return read_register(read_sheet(t.spark, path))
+
+
+@query("s13_coverage_view", f"""{_CLEAN_SQL}, {_WANTED_SQL} SELECT lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS cnpj, c_name AS nome,
+    {text('MIN(data)')} AS primeira_data_disponivel, {text('MAX(data)')} AS ultima_data_disponivel,
+    COUNT(data) AS quantidade_registros, CASE WHEN COUNT(data) = 0 THEN 'SEM DADOS' ELSE 'OK' END AS status
+    FROM customer LEFT JOIN good ON cnpj = lpad(CAST(c_custkey AS VARCHAR), 14, '0') WHERE {_WANTED} GROUP BY 1, 2""")
+def s13(t: Tables) -> DataFrame:
+    _load(t)[0].create_views()
+    return edge(t.spark.table("fundos_controle"))

@@ -113,8 +113,8 @@ def f16(t: Tables) -> DataFrame:
 
 @query("p20_weight_threshold", f"WITH {_WEIGHTS_SQL} SELECT carteira, serie AS fundo, {r('peso')} AS alocacao FROM w WHERE peso > 0.05")
 def p20(t: Tables) -> DataFrame:
-    nobody = t.supplier.where("s_suppkey < 0").select(F.col("s_name").alias("cnpj"), F.col("s_name").alias("nome"))
-    return edge(H.allocation_table(weights(t), nobody, least=0.05))
+    others = t.supplier.select(F.concat(F.lit("x"), "s_suppkey").alias("cnpj"), F.col("s_name").alias("nome"))
+    return edge(H.allocation_table(weights(t), others, least=0.05))
 
 
 @query("w6_single_portfolio", f"""WITH {P_MONTH}, {COMMON}, {_MONTH_WEIGHTS}, tot AS (SELECT data, sum(posicao) AS total FROM (

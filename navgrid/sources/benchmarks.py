@@ -20,7 +20,8 @@ def check_range(start: date, end: date) -> None:
 
 def in_range(df: DataFrame, when: str, start: date, end: date) -> DataFrame:
     """Rows of the inclusive day range, written as a half-open comparison that reaches the file scan."""
-    return df.where((F.col(when) >= F.lit(start)) & (F.col(when) < F.date_add(F.lit(end), 1)))
+    stamp = F.col(when).try_cast("timestamp") if dict(df.dtypes)[when] == "string" else F.col(when)
+    return df.where((stamp >= F.lit(start)) & (stamp < F.date_add(F.lit(end), 1)))
 
 
 def close_column(columns: Sequence[str], ticker: str = BENCHMARKS[CLOSES_BENCHMARK][2]) -> str:
