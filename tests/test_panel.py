@@ -51,7 +51,7 @@ def test_two_subclasses_on_one_date_fail_unless_keyed(spark):
 
 
 def test_returns_on_a_panel_with_gaps_need_the_previous_panel_date(panel_of):
-    """Dates 1..4; A lacks day 3, B lacks day 1: only day ... none has both returns except when both consecutive."""
+    """A lacks the third day and B the first, so no date has both returns; with full days one date has."""
     got = R.returns(panel_of(TWO), common=False)
     assert got.count() == 0
     full = {"A": {"2024-01-01": 10, "2024-01-02": 11, "2024-01-03": 12}, "B": {"2024-01-02": 20, "2024-01-03": 22}}
