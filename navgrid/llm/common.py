@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from navgrid.session import shared_dir
 
-CHUNK = 4 << 20  # bytes of text that are worked on at once inside a task
+CHUNK = 1 << 20  # bytes of text that are worked on at once inside a task
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
