@@ -1,9 +1,12 @@
 """The operators on the given tables, with the SQL they must agree with where SQL can express them."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from navgrid.llm import neighbour_quality, string_kernel
 from navgrid.llm.common import table
+from navgrid.llm.lsh_forest import similar_texts
 from navgrid.llm.suffix_dedup import repeated_substrings
+from navgrid.llm.winnowing import contamination
 
 QUERIES, SQL = {}, {}
 
@@ -13,6 +16,61 @@ def query(run):
     return run
 
 
+def _remainder(by: int):
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
 @query
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_substrings(table(spark, folder, "documents")).drop("spans")
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, w, least(10, len(w)) AS n
+      FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+             FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT doc_id, i, n, win FROM dw SEMI JOIN bw USING (n, win)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits JOIN bw USING (n, win)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = neighbour_quality.fit(documents, labels.select("doc_id", F.col("quality").alias("label")), _remainder(4) != 2)
+    return neighbour_quality.scores(documents, model).select(
+        "doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op9_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_texts(table(spark, folder, "documents"))
+
+
+@query
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    model = string_kernel.fit(documents, _remainder(5) != 0)
+    return string_kernel.languages(documents.select("doc_id", "text"), model).select(
+        "doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
