@@ -1,11 +1,15 @@
 """The operators on the given tables, with the SQL they must agree with where SQL can express them."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from navgrid.llm import neighbour_quality, string_kernel
+from navgrid.llm import chat_trees, neighbour_quality, string_kernel
 from navgrid.llm.common import table
+from navgrid.llm.host_rules import judged
+from navgrid.llm.line_dedup import MIN_WORDS, without_repeated_runs
 from navgrid.llm.lsh_forest import similar_texts
+from navgrid.llm.raking import sampled
 from navgrid.llm.suffix_dedup import repeated_substrings
+from navgrid.llm.warc import archived_pages
 from navgrid.llm.winnowing import contamination
 
 QUERIES, SQL = {}, {}
@@ -17,7 +21,7 @@ def query(run):
 
 
 def _remainder(by: int):
-    return F.crc32(F.col("doc_id").cast("string")) % by
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % by
 
 
 @query
@@ -25,6 +29,66 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_substrings(table(spark, folder, "documents")).drop("spans")
 
 
+@query
+def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    messages = rows.unionByName(extra).withColumn("id", F.row_number().over(order).cast("long")).select(
+        F.col("conv_id").alias("tree"), "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"),
+        F.length("text").cast("double").alias("score"), "role", "text")
+    read = chat_trees.conversations(messages).select(
+        "tree", F.length("formatted").cast("long").alias("formatted_chars"), chat_trees.read_back(F.col("formatted")).alias("turns"),
+        chat_trees.under_mask(F.col("segments")).alias("loss"))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(text, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"
+SQL["op2_chat"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || {_ESCAPED.format("replace(replace(role, '%', '%25'), chr(10), '%0A')")} || chr(10)
+                       || {_ESCAPED.format("text")} || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_runs(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+SQL["op3_line_dedup"] = f"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM t),
+n AS (SELECT doc_id, line, line_no, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS seq,
+             len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+c AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM n),
+lists AS (SELECT doc_id, list(line ORDER BY seq) AS ls FROM n GROUP BY doc_id),
+w AS (SELECT a.doc_id, a.seq AS s, min(b.seq) AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.seq >= a.seq
+        AND b.upto - a.upto + a.words >= {MIN_WORDS} GROUP BY 1, 2
+      UNION SELECT a.doc_id, max(b.seq), a.seq FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.seq <= a.seq
+        AND a.upto - b.upto + b.words >= {MIN_WORDS} GROUP BY 1, 3),
+run AS (SELECT doc_id, s, e, array_to_string(ls[s:e], chr(10)) AS content FROM w JOIN lists USING (doc_id)),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS copy FROM run) WHERE copy > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS seq FROM later),
+rest AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text, count(*) AS n_left
+         FROM l LEFT JOIN n USING (doc_id, line_no) LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.seq = n.seq
+         WHERE g.seq IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(len(t.ls) AS BIGINT) AS n_lines, CAST(len(t.ls) - coalesce(n_left, 0) AS BIGINT) AS n_removed,
+       CASE WHEN len(t.ls) = coalesce(n_left, 0) THEN d.n_chars ELSE length(coalesce(rest.text, '')) END AS n_chars,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(rest.text, '')) END AS text_sha256
+FROM documents d JOIN t USING (doc_id) LEFT JOIN rest USING (doc_id)"""
+
+
 @query
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -55,6 +119,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = sampled(table(spark, folder, "documents"))
+    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+
+
 @query
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -63,6 +133,49 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op7_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+SQL["op7_host_rules"] = """
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, win FROM g GROUP BY doc_id, win HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN twice USING (doc_id, win)) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+m AS (SELECT doc_id, source, len(w) AS n_words, len(ls) AS n_lines, length(array_to_string(w, '')) AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words
+      FROM d JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 10 * n_symbols > n_words AS f2,
+             100 * n_dup_lines > 30 * n_lines AS f3, word_chars < 2 * n_words OR word_chars > 30 * n_words AS f4 FROM m),
+r AS (SELECT source, unnest([1, 2, 3, 4]) AS rule, count(*) AS n,
+             unnest([count_if(base_failed), count_if(f2), count_if(f3), count_if(f4)]) AS bad FROM f GROUP BY source),
+p AS (SELECT rule, sum(bad) / sum(n) AS mean, var_samp(bad / n) AS var FROM r GROUP BY rule),
+q AS (SELECT rule, mean, CASE WHEN var > 0 THEN greatest(1, mean * (1 - mean) / var - 1) ELSE 1 END AS weight FROM p),
+h AS (SELECT source, max((bad + mean * weight) / (n + weight)) > 0.5 AS rejected FROM r JOIN q USING (rule) GROUP BY source)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT rejected AS kept
+FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source"""
+
+
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived_pages(table(spark, folder, "pages"))
+
+
+SQL["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, h, strlen(h) AS n, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f"""
+
+
 @query
 def op9_similar_texts(spark: SparkSession, folder: str) -> DataFrame:
     return similar_texts(table(spark, folder, "documents"))
