@@ -1,11 +1,15 @@
 """Session settings and the shared folder for intermediate tables."""
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+_HERE = os.path.dirname(os.path.abspath(__file__))
+
 
 def build_session(master: str | None = None, app: str = "navgrid", **conf: str) -> SparkSession:
     """Session with what the operators rely on: UTC, ANSI, adaptive plans with skew-join splitting."""
@@ -26,18 +30,23 @@ def build_session(master: str | None = None, app: str = "navgrid", **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). Local sessions without one get a scratch folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-        configured = _local_scratch()
-    return configured.rstrip("/")
+    """The cluster's shared folder: spark.checkpoint.dir, or where it is unset a folder in the session's warehouse.
+
+    With a scheme, so that executors and Spark's readers mean the same place."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
 
 
 @cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="navgrid-")
+def _package() -> str:
+    return shutil.make_archive(os.path.join(tempfile.mkdtemp(), "navgrid"), "zip", os.path.dirname(_HERE), "navgrid")
+
+
+def ship(spark: SparkSession) -> None:
+    """This package's code to every worker, whatever folder the session was started in. Data never goes this way."""
+    if not any(f.endswith("/navgrid.zip") for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(_package())
 
 
 def materialise(df: DataFrame) -> DataFrame:
