@@ -88,7 +88,7 @@ def conversations(messages: DataFrame, keep: int | None = 1) -> DataFrame:
 
 def read_back(formatted: Column) -> Column:
     """Turns of a formatted conversation: array of role and text."""
-    parts = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2147483647)
+    parts = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda _, i: i > 0)
 
     def turn(part):
         role = F.substring_index(part, "\n", 1)

@@ -99,4 +99,5 @@ def repeated_lines(documents: DataFrame, min_words: int) -> DataFrame:
     place = F.struct("doc_id", "_copy", "start")
     first = windows.groupBy(*run).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = windows.join(first, run).where(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "_copy", F.explode(F.expr("sequence(start, start + n - 1)")).cast("int").alias("seq")).distinct()
+    return (later.select("doc_id", "_copy", F.explode(F.expr("sequence(start, start + n - 1)")).alias("seq"))
+            .select("doc_id", "_copy", F.col("seq").cast("int").alias("seq")).distinct())

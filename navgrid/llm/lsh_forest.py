@@ -22,7 +22,7 @@ CHUNK_TEXTS = 1_500
 COLD = 16  # shingles of so few texts are expanded to pairs inside a task; more frequent ones are multiplied
 
 _SIGNATURES = "doc_id long, copy long, n_shingles long, one long, two long, labels array<long>"
-_SETS = "node string, root string, copies long, shingles binary"
+_SETS = "node string, root string, copies long, parts int, shingles binary"
 _LINKS = "node string, links long, peer string"
 
 
@@ -45,6 +45,29 @@ def similar_texts(documents: DataFrame, threshold: float = 0.8, shingle: int = 5
     are copies and linked, also if their ids are equal or null; a null id in a class with others gets the class's name.
     Columns: doc_id, class_id, n_links, n_shingles. An empty table gives no rows.
     """
+    signed, of_class = _classes(documents, threshold, shingle, trees, max_depth, recall)
+    return (signed.select("doc_id", "node", "n_shingles").join(of_class.select("node", "class_id", "links"), "node", "left")
+            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+                    F.coalesce("links", F.lit(0)).alias("n_links"), "n_shingles"))
+
+
+def one_of_each(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 20, max_depth: int = 8,
+                recall: float = 0.9999) -> DataFrame:
+    """documents, all columns, with one row of each class of similar_texts(): that of the smallest doc_id (null first),
+    then of the smallest hash of its text. Texts without a word all stay, but rows with equal id and text stay once."""
+    signed, of_class = _classes(documents, threshold, shingle, trees, max_depth, recall)
+    chosen = of_class.groupBy("root").agg(F.min("of").alias("of")).select("of.doc_id", "of.copy")
+    chosen = chosen.union(signed.where("node is null").select("doc_id", "copy")).distinct()
+    chosen = materialise(chosen.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of")))
+    hashed = documents.withColumn("_copy", F.xxhash64("text"))
+    kept = hashed.join(chosen, hashed.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_of")), "left_semi")
+    if signed.groupBy("doc_id", "copy").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_copy"])
+    return kept.drop("_copy")
+
+
+def _classes(documents, threshold, shingle, trees, max_depth, recall):
+    """Signatures of all rows, and per node (text with words): root, class_id, links, of (its first row)."""
     depth = prefix_depth(threshold, trees, max_depth, recall)
     texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text")
     signed = materialise(texts.mapInArrow(lambda batches: _sign(batches, shingle, trees, depth), _SIGNATURES)
@@ -61,13 +84,11 @@ def similar_texts(documents: DataFrame, threshold: float = 0.8, shingle: int = 5
     linked = components(links.where("peer is not null").select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     of_class = (classes.join(linked, "node", "left").join(counts, "node", "left")
-                .select("node", F.coalesce("root", "node").alias("root"), "first_id",
+                .select("node", F.coalesce("root", "node").alias("root"), "first_id", "of",
                         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    of_class = materialise(of_class)
     names = of_class.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of_class = of_class.join(names, "root").select("node", "class_id", "links")
-    return (signed.select("doc_id", "node", "n_shingles").join(of_class, "node", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-                    F.coalesce("links", F.lit(0)).alias("n_links"), "n_shingles"))
+    return signed, of_class.join(names, "root")
 
 
 def _shingles(column, size):
@@ -131,16 +152,14 @@ def _sign(batches, size, trees, depth):
 
 def _verified(texts, candidates, threshold, size):
     """Per node and task: number of documents linked, and one linked node of its component (null: none)."""
-    wanted = candidates.select(F.col("of.doc_id").alias("of_id"), F.col("of.copy").alias("of_copy"), "node", "root", "copies")
+    sizes = candidates.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK_TEXTS).cast("int").alias("parts"))
+    wanted = candidates.join(sizes, "root").select(F.col("of.doc_id").alias("of_id"), F.col("of.copy").alias("of_copy"), "node",
+                                                   "root", "copies", "parts")
     if bounded(candidates, BROADCAST_ROWS):
         wanted = F.broadcast(wanted)
     sets = (texts.join(wanted, texts.doc_id.eqNullSafe(F.col("of_id")) & (F.col("copy") == F.col("of_copy")))
-            .select("node", "root", "copies", "text").mapInArrow(lambda batches: _sets(batches, size), _SETS))
-    sizes = candidates.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    total = candidates.count()
-    bins = max(1, total // 500)
-    parts = F.ceil(F.col("n") / CHUNK_TEXTS)
-    sets = sets.join(sizes, "root").withColumn("parts", parts.cast("int"))
+            .select("node", "root", "copies", "parts", "text").mapInArrow(lambda batches: _sets(batches, size), _SETS))
+    bins = max(1, candidates.count() // 500)
     small = sets.where("parts = 1").select(
         F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(bins))).alias("task"), F.lit(0).alias("side"), *_SETS_COLUMNS)
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
@@ -159,10 +178,10 @@ _SETS_COLUMNS = ["node", "root", "copies", "shingles"]
 def _sets(batches, size):
     for batch in batches:
         out = []
-        for lo, hi, _, _, every, before in _shingles(batch.column(3), size):
+        for lo, hi, _, _, every, before in _shingles(batch.column(4), size):
             out += [np.unique(every[before[i]:before[i + 1]]).tobytes() for i in range(hi - lo)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())],
-                                         names=["node", "root", "copies", "shingles"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.binary())],
+                                         names=["node", "root", "copies", "parts", "shingles"])
 
 
 def _compare(pdf, threshold):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+import corpus_pipeline
 from navgrid.llm import chat_trees, neighbour_quality, string_kernel
 from navgrid.llm.common import table
 from navgrid.llm.host_rules import judged
@@ -144,7 +145,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(co
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 twice AS (SELECT doc_id, win FROM g GROUP BY doc_id, win HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN twice USING (doc_id, win)) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 m AS (SELECT doc_id, source, len(w) AS n_words, len(ls) AS n_lines, length(array_to_string(w, '')) AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
              coalesce(n, 0) AS n_repeat_words
@@ -187,3 +188,8 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     model = string_kernel.fit(documents, _remainder(5) != 0)
     return string_kernel.languages(documents.select("doc_id", "text"), model).select(
         "doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

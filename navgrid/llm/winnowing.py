@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from navgrid.llm.common import WORD, Rolling, chunks, grams, utf8, words
@@ -34,16 +35,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     An empty test set gives no hits, an empty document table no rows.
     Columns: doc_id, n_words, n_hit, items (sorted), spans (word ranges hit, disjoint and ascending).
     """
-    windows = materialise(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")
-                          .mapInArrow(lambda batches: _windows(batches, window, k), _WINDOWS).distinct())
-    blocks = max(1, math.ceil(windows.count() / block_rows))
     texts = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), "text")
-    found = []
-    for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == block)
-        held = documents.sparkSession.sparkContext.broadcast(_held(part.collect()))
-        found.append(texts.mapInArrow(lambda batches, held=held: _scan(batches, held.value, window, k), _HITS))
-    out = found[0]
+    found = [texts.mapInArrow(lambda batches, held=held: _scan(batches, held.value, window, k), _HITS)
+             for held in _blocks(benchmark, window, k, block_rows)]
+    out, blocks = found[0], len(found)
     if blocks > 1:
         for other in found[1:]:
             out = out.unionByName(other)
@@ -58,6 +53,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                       F.array_sort("items").alias("items"), "spans")
 
 
+def clean_texts(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows of documents, whole, of which no word is hit in contamination(); a pass per block, and no shuffle."""
+    column = documents.columns.index("text")
+    for held in _blocks(benchmark, window, k, block_rows):
+        documents = documents.mapInArrow(lambda batches, held=held: _unhit(batches, held.value, window, k, column), documents.schema)
+    return documents
+
+
+def _blocks(benchmark, window, k, block_rows):
+    """The test set's windows in broadcast blocks of about block_rows rows."""
+    windows = materialise(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text")
+                          .mapInArrow(lambda batches: _windows(batches, window, k), _WINDOWS).distinct())
+    blocks = max(1, math.ceil(windows.count() / block_rows))
+    for block in range(blocks):
+        part = windows.where(F.pmod(F.xxhash64("item_id", "window"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast(_held(part.collect()))
+
+
+def _unhit(batches, held, window, k, column):
+    for batch in batches:
+        one = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64())] * 2 + [batch.column(column)], names=["a", "b", "text"])
+        spans = next(_scan([one], held, window, k)).column(3)
+        yield batch.filter(pc.equal(pc.list_value_length(spans), 0))
+
+
 def _lower_words(column):
     data, offsets = utf8(column)
     for lo, hi in chunks(offsets):
