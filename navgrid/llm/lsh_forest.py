@@ -54,16 +54,17 @@ def similar_texts(documents: DataFrame, threshold: float = 0.8, shingle: int = 5
 def one_of_each(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, trees: int = 20, max_depth: int = 8,
                 recall: float = 0.9999) -> DataFrame:
     """documents, all columns, with one row of each class of similar_texts(): that of the smallest doc_id (null first),
-    then of the smallest hash of its text. Texts without a word all stay, but rows with equal id and text stay once."""
+    then of the smallest hash of its text. Texts without a word all stay, but rows with equal id and text stay once.
+    Column names that start with two underscores are reserved."""
     signed, of_class = _classes(documents, threshold, shingle, trees, max_depth, recall)
     chosen = of_class.groupBy("root").agg(F.min("of").alias("of")).select("of.doc_id", "of.copy")
     chosen = chosen.union(signed.where("node is null").select("doc_id", "copy")).distinct()
-    chosen = materialise(chosen.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of")))
-    hashed = documents.withColumn("_copy", F.xxhash64("text"))
-    kept = hashed.join(chosen, hashed.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_of")), "left_semi")
+    chosen = materialise(chosen.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__of")))
+    hashed = documents.withColumn("__copy", F.xxhash64("text"))
+    kept = hashed.join(chosen, hashed.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__of")), "left_semi")
     if signed.groupBy("doc_id", "copy").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "_copy"])
-    return kept.drop("_copy")
+        kept = kept.dropDuplicates(["doc_id", "__copy"])
+    return kept.drop("__copy")
 
 
 def _classes(documents, threshold, shingle, trees, max_depth, recall):

@@ -45,14 +45,17 @@ def fit(documents: DataFrame, labels: DataFrame, training: Column, per_label: in
     of labels (doc_id, label) that `training` allows. Only their term vectors reach the driver."""
     rows = labels.where(training & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    nothing = Model(np.ones(_TERMS, np.float32), np.zeros((_TERMS + _REPEATS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     if not counts:
-        return Model(np.ones(_TERMS, np.float32), np.zeros((_TERMS + _REPEATS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
+        return nothing
     share = F.lit(0.0)
     for label, count in counts.items():
         share = F.when(F.col("label") == label, min(1.0, per_label / count)).otherwise(share)
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
     sample = (documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
               .mapInArrow(_terms, _FEATURES).collect())
+    if not sample:
+        return nothing
     sample.sort(key=lambda r: (r["label"], bytes(r["terms"])))
     known = np.array([r["label"] for r in sample])
     x = np.stack([np.frombuffer(r["terms"], np.float32) for r in sample])

@@ -74,21 +74,22 @@ def sampled(documents: DataFrame, targets: dict[str, DataFrame] | None = None, e
     documents needs doc_id, text, source and lang. The budget is `share` of all tokens (words); a cell that has fewer
     tokens than its weight asks for is taken whole. Null source or lang is a value of its own ('-' in targets, others
     '+' and the value); null text has no tokens, and a document without tokens is never drawn.
+    Equal rows are drawn together. Column names that start with two underscores are reserved.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
     plain = documents.drop("n_tokens", "topic", "probability", "sampled")
     text = F.coalesce("text", F.lit(""))
     measured = plain.withColumns({
         "n_tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("long"), "topic": topic_of(text),
-        "_source": key("source"), "_lang": key("lang"),
-        "_draw": F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)})
-    cells = materialise(measured.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), "topic")
+        "__source": key("source"), "__lang": key("lang"),
+        "__draw": F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)})
+    cells = materialise(measured.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic")
                         .agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     weighted = rake(cells, targets or tempered(cells, exponent), rounds)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    odds = weighted.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"),
-                           F.least(F.lit(1.0), F.col("weight") * (share * total) / F.col("tokens")).alias("_odds"))
-    joined = measured.withColumn("_topic", F.col("topic")).join(odds, ["_source", "_lang", "_topic"], "left")
-    probability = F.when(F.col("n_tokens") > 0, F.coalesce("_odds", F.lit(0.0))).otherwise(0.0)
-    return (joined.withColumn("probability", probability).withColumn("sampled", F.col("_draw") < F.col("probability"))
+    odds = weighted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"),
+                           F.least(F.lit(1.0), F.col("weight") * (share * total) / F.col("tokens")).alias("__odds"))
+    joined = measured.withColumn("__topic", F.col("topic")).join(odds, ["__source", "__lang", "__topic"], "left")
+    probability = F.when(F.col("n_tokens") > 0, F.coalesce("__odds", F.lit(0.0))).otherwise(0.0)
+    return (joined.withColumn("probability", probability).withColumn("sampled", F.col("__draw") < F.col("probability"))
             .select(*plain.columns, "n_tokens", "topic", "probability", "sampled"))

@@ -41,12 +41,15 @@ def fit(documents: DataFrame, training: Column, per_language: int = PER_LANGUAGE
     any usable row the model knows no language and every prediction is `und`."""
     rows = documents.where(training & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    nothing = Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
     if not counts:
-        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
+        return nothing
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
     sample = (rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
               .mapInArrow(_sets, "lang string, grams binary").collect())
+    if not sample:
+        return nothing
     sample.sort(key=lambda r: (r["lang"], bytes(r["grams"])))
     sets = [np.frombuffer(r["grams"], np.int32) for r in sample]
     languages = sorted({r["lang"] for r in sample})
