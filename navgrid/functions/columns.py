@@ -47,6 +47,11 @@ def parse_day_first(c: Column | str) -> Column:
     return to_day(c, "dd/MM/yyyy")
 
 
+def window_is_open(start: Column | str, end: Column | str) -> Column:
+    """Whether a window may be analysed: both ends are there and the first lies before the last."""
+    return F.coalesce(_col(start) < _col(end), F.lit(False))
+
+
 def format_day(c: Column | str) -> Column:
     return F.date_format(_col(c), "dd/MM/yyyy")
 

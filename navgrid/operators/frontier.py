@@ -1,23 +1,39 @@
 """Corners, target grid, candidate allocations, empirical frontier. See optimise.py for the solver jobs."""
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from navgrid.operators.panel import attach, scalar
 from navgrid.schema import CANDIDATES, FRONTIER_POINTS, MIN_ALLOCATION, SEED
+from navgrid.session import discard, materialise
+
+SCORED = 20_000  # candidates that a task scores at once
+SLICE = 100_000  # distinct risks per range of the Pareto set
 
 
 def corner(mean: DataFrame, floor: float = MIN_ALLOCATION, side: str = "high", by: Sequence[str] = ()) -> DataFrame:
     """Floor on every series and the remainder on the one with the highest (or lowest) mean.
 
-    ``mean`` has (serie, posicao, media); on a tie the series requested first wins.
+    ``mean`` has (serie, posicao, media); on a tie the series requested first wins. With ``by``, portfolios that the
+    floor does not fit are left out (``risk.feasibility`` names the reason); for a single one that is an error.
     """
+    if not 0.0 <= floor < 1.0:
+        raise ValueError("The floor must lie in [0, 1).")
     best = (F.max_by("serie", F.struct("media", -F.col("posicao"))) if side == "high"
             else F.min_by("serie", F.struct("media", "posicao")))
     pick = mean.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), best.alias("_escolhida"))
-    rest = F.when(F.col("serie") == F.col("_escolhida"), 1.0 - floor * F.col("_n")).otherwise(0.0)
-    return attach(mean, pick, by, "_n", "_escolhida").select(*by, "serie", (floor + rest).alias("peso"))
+    room = 1.0 - floor * F.col("_n")
+    if by:
+        pick = pick.where(room > 0)
+    else:
+        room = F.when(room > 0, room).otherwise(F.raise_error(F.lit(f"A floor of {floor} does not fit the number of series.")))
+    rest = F.when(F.col("serie") == F.col("_escolhida"), F.col("_resto")).otherwise(0.0)
+    return (attach(mean, pick.withColumn("_resto", room), by, "_resto", "_escolhida")
+            .select(*by, "serie", (floor + rest).alias("peso")))
 
 
 def expected_return(weights: DataFrame, mean: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -52,20 +68,21 @@ def _uniform(seed: int, candidate: Column, fund: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2 ** 52)
 
 
-def candidate_weights(spark: SparkSession, funds: Sequence[str], n: int = CANDIDATES, floor: float = MIN_ALLOCATION,
+def candidate_weights(spark: SparkSession, funds: Sequence[str], n: int | DataFrame = CANDIDATES, floor: float = MIN_ALLOCATION,
                       seed: int = SEED) -> DataFrame:
     """Uniform draws from the floored simplex: (candidata, pesos), weights in the order of ``funds``.
 
-    One row per candidate, made in place: no join with the funds and no shuffle for any number of candidates.
+    ``n`` is their number or a table of their ids (candidata). One row per candidate, made in place: no join with the funds and no shuffle for any number of candidates.
     """
     if floor < 0 or floor * len(funds) >= 1.0:
-        raise ValueError("The floor must be non-negative and leave room for the weights to total 100%.")
+        raise ValueError(f"A floor of {floor} does not fit {len(funds)} series.")
     names = F.array(*[F.lit(f) for f in funds])
     draws = F.transform(names, lambda fund: -F.log(_uniform(seed, F.col("candidata"), fund)))
     room = 1.0 - floor * len(funds)
     shares = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x,
                          lambda total: F.transform("_e", lambda e: floor + room * e / total))
-    return (spark.range(n).withColumnRenamed("id", "candidata").withColumn("_e", draws)
+    ids = n.select("candidata") if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "candidata")
+    return (ids.withColumn("_e", draws)
             .select("candidata", shares.alias("pesos")))
 
 
@@ -76,34 +93,37 @@ def long_weights(candidates: DataFrame, funds: Sequence[str]) -> DataFrame:
             .select("candidata", F.element_at(names, F.col("_i") + 1).alias("serie"), "peso"))
 
 
-def _dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def score(candidates: DataFrame, mean: DataFrame, cov: DataFrame, funds: Sequence[str]) -> DataFrame:
+def score(candidates: DataFrame, mean: DataFrame, cov: DataFrame, funds: Sequence[str], block: int = SCORED) -> DataFrame:
     """Return and risk of every candidate: (candidata, retorno, risco).
 
-    Means and covariances of the chosen funds (a list that has to fit under the floor) become two arrays, each
-    computed once as a scalar subquery; scoring is then a projection without join or shuffle.
+    Candidates are dealt in blocks, each block meets its own copy of the means and covariances of the listed funds (rows
+    i <= j of ``risk.annual_cov``) and is scored by two matrix products. The estimates never pass the driver.
     """
     names = F.array(*[F.lit(f) for f in funds])
-    place = F.array_position(names, F.col("serie"))
-    means = (mean.where(F.col("serie").isin(list(funds))).select(place.alias("_i"), "media")
-             .agg(F.array_sort(F.collect_list(F.struct("_i", "media"))).alias("_m"))
-             .select(F.col("_m.media").alias("_mu")))
-    inside = F.col("serie_i").isin(list(funds)) & F.col("serie_j").isin(list(funds))
-    rows = (cov.where(inside)
-            .select(F.array_position(names, F.col("serie_i")).alias("_i"),
-                    F.array_position(names, F.col("serie_j")).alias("_j"), "cov")
-            .groupBy("_i").agg(F.array_sort(F.collect_list(F.struct("_j", "cov"))).alias("_l"))
-            .select("_i", F.col("_l.cov").alias("_l"))
-            .agg(F.array_sort(F.collect_list(F.struct("_i", "_l"))).alias("_s"))
-            .select(F.col("_s._l").alias("_sigma")))
-    packed = candidates.select("candidata", "pesos", scalar(means, "_mu").alias("_mu"),
-                               scalar(rows, "_sigma").alias("_sigma"))
-    image = F.transform("_sigma", lambda row: _dot(row, F.col("pesos")))
-    return packed.select("candidata", _dot("pesos", "_mu").alias("retorno"),
-                         F.sqrt(F.greatest(_dot("pesos", image), F.lit(0.0))).alias("risco"))
+    place = lambda c: (F.array_position(names, F.col(c)) - 1).cast("int")
+    chosen = list(funds)
+    estimates = (mean.where(F.col("serie").isin(chosen)).select(place("serie").alias("i"), F.lit(-1).alias("j"), F.col("media").alias("v"))
+                 .union(cov.where(F.col("serie_i").isin(chosen) & F.col("serie_j").isin(chosen))
+                        .select(place("serie_i"), place("serie_j"), "cov")))
+    dealt = candidates.select("candidata", "pesos", F.floor(F.col("candidata") / block).alias("bloco"))
+    last = scalar(candidates.agg(F.floor(F.max("candidata") / block).alias("b")), "b")
+    copies = estimates.withColumn("bloco", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0)))))
+    n = len(chosen)
+
+    def work(_, group: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame(columns=["candidata", "retorno", "risco"])
+        media, sigma = np.full(n, np.nan), np.full((n, n), np.nan)
+        i, j, v = (rows[c].to_numpy() for c in ("i", "j", "v"))
+        media[i[j < 0]] = v[j < 0]
+        i, j, v = i[j >= 0], j[j >= 0], v[j >= 0]
+        sigma[i, j] = sigma[j, i] = v
+        w = np.stack(group["pesos"].to_numpy())
+        return pd.DataFrame({"candidata": group["candidata"], "retorno": w @ media,
+                             "risco": np.sqrt(np.maximum(np.einsum("kf,kf->k", w @ sigma, w), 0.0))})
+
+    return (dealt.groupBy("bloco").cogroup(copies.groupBy("bloco"))
+            .applyInPandas(work, f"candidata {dict(candidates.dtypes)['candidata']}, retorno double, risco double"))
 
 
 def lowest_risk_per_bucket(scored: DataFrame, buckets: int = FRONTIER_POINTS) -> DataFrame:
@@ -116,32 +136,30 @@ def lowest_risk_per_bucket(scored: DataFrame, buckets: int = FRONTIER_POINTS) ->
             .groupBy("faixa").agg(best.alias("_m")).select("faixa", "_m.*"))
 
 
-def pareto_set(scored: DataFrame, slices: int = 64) -> DataFrame:
+def pareto_set(scored: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """Candidates that no other beats on both risk and return.
 
-    A running maximum over all rows by risk would be one task. Instead: the best return per risk, slices of
-    about equal size by risk quantile, the best return of each slice (``slices`` rows), and a running maximum
-    inside each slice that starts from the best of the slices before it. Only ``slices`` rows meet in one task.
-    ``scored`` is read three times, so persist it when scoring is costly.
+    A running maximum over all rows by risk would be one task. Instead: the best return per risk, ranges of about
+    ``slice_rows`` distinct risks, the best return of each range (one row per range), and a running maximum inside each
+    range that starts from the best of the ranges before it. Ties in the risk are reduced before the ranges are cut.
     """
     best = F.max_by("candidata", F.struct("retorno", -F.col("candidata")))
-    points = scored.groupBy("risco").agg(F.max("retorno").alias("retorno"), best.alias("candidata"))
-    cuts = scored.agg(F.percentile_approx("risco", [i / slices for i in range(1, slices)], 10 * slices).alias("_c"))
-    below = F.aggregate("_c", F.lit(0), lambda acc, c: acc + F.when(c < F.col("risco"), 1).otherwise(0))
-    # Never null, so that the join adds no null filter: that filter would sink below the scoring and repeat it.
-    sliced = attach(points, cuts, (), "_c").select(
-        "candidata", "risco", "retorno", F.coalesce(below, F.lit(0)).alias("_fatia"))
+    points = materialise(scored.groupBy("risco").agg(F.max("retorno").alias("retorno"), best.alias("candidata")))
+    ranges = max(1, math.ceil(points.count() / slice_rows))
+    sliced = materialise(points.repartitionByRange(ranges, "risco").withColumn("_fatia", F.spark_partition_id()))
+    discard(points)
     before = Window.orderBy("_fatia").rowsBetween(Window.unboundedPreceding, -1)
     carried = (sliced.groupBy("_fatia").agg(F.max("retorno").alias("_melhor"))
                .select("_fatia", F.max("_melhor").over(before).alias("_anterior")))
     inside = Window.partitionBy("_fatia").orderBy("risco").rowsBetween(Window.unboundedPreceding, -1)
     bar = F.greatest(F.max("retorno").over(inside), "_anterior")
-    return (sliced.join(F.broadcast(carried), "_fatia").withColumn("_barra", bar)
+    return (sliced.join(carried, "_fatia").withColumn("_barra", bar)
             .where(F.col("_barra").isNull() | (F.col("retorno") > F.col("_barra")))
             .select("candidata", "risco", "retorno"))
 
 
 def efficient_flag(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mark the branch whose return is at least that of the lowest-risk point."""
+    """Mark the branch whose return is at least that of the lowest-risk point. ``points`` is evaluated once."""
+    points = materialise(points)
     least = points.groupBy(*by).agg(F.min_by("retorno", F.struct("risco", -F.col("retorno"))).alias("_base"))
     return attach(points, least, by, "_base").withColumn("eficiente", F.col("retorno") >= F.col("_base")).drop("_base")

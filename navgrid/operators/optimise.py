@@ -1,8 +1,8 @@
 """Minimum-variance portfolios with a floor per series, for any number of portfolios.
 
-Spark groups the return vectors by portfolio; a task solves portfolios of up to ``DENSE`` series, a size that
-fits one task because a vector is no longer than the calendar. Wider portfolios are solved exactly by column
-generation (``wide_min_variance``), in which only the funds that carry more than the floor meet in one task.
+Portfolios of every width go the same way, column generation: a task solves the problem over some of a portfolio's
+series (all of them while they are few), Spark prices all series in parallel, and series that would lower the risk join
+the next round. The optimum is exact, and only the series that carry more than the floor have to meet in one task.
 """
 
 from collections.abc import Sequence
@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from navgrid.operators.panel import attach
 from navgrid.operators.risk import return_vectors
 from navgrid.schema import FRONTIER_POINTS, MIN_ALLOCATION, TRADING_DAYS
-from navgrid.session import materialise, spread
+from navgrid.session import discard, materialise, spread
 
-DENSE = 512  # series of one portfolio that a single task may solve
+SEEDS = 128  # series of a portfolio that the first round starts from, about
+BATCH = 64  # series that enter per target and round
+TARGETS = 10  # targets of a curve that one task solves over shared columns
+PART = 5_000  # series priced against one copy of a portfolio's solutions
 
 
 # --- small dense problem, used inside tasks ------------------------------------------------------------------
@@ -107,60 +110,49 @@ def excess_over_floor(mean: np.ndarray, cov: np.ndarray, base: np.ndarray, total
 def dense_min_variance(mean: np.ndarray, cov: np.ndarray, floor: float, target: float | None = None) -> np.ndarray:
     """Weights of the lowest variance with a floor per series and, if given, an exact expected return."""
     need = None if target is None else target - floor * float(mean.sum())
-    excess = excess_over_floor(mean, cov, floor * cov.sum(axis=1), 1.0 - floor * len(mean), need)[0]
-    return fill(floor + excess, floor)
-
-
-def fill(weights: np.ndarray, floor: float) -> np.ndarray:
-    """Same clean-up as operators.frontier.fill_to_floor, on one vector."""
-    n = len(weights)
-    excess = np.clip(weights, floor, 1.0) - floor
-    if excess.sum() <= 0:
-        return np.full(n, 1.0 / n)
-    return floor + (1.0 - floor * n) * excess / excess.sum()
-
-
-def _estimates(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.stack(vectors.to_numpy()).astype(float)
-    mean = rows.mean(axis=1)
-    centred = rows - mean[:, None]
-    return mean * TRADING_DAYS, centred @ centred.T / max(rows.shape[1] - 1, 1) * TRADING_DAYS
+    return floor + excess_over_floor(mean, cov, floor * cov.sum(axis=1), 1.0 - floor * len(mean), need)[0]
 
 
 # --- jobs ----------------------------------------------------------------------------------------------------
 
-def min_variance(returns: DataFrame, floor: float = MIN_ALLOCATION, by: Sequence[str] = (),
-                 dense: int = DENSE) -> DataFrame:
+def min_variance(returns: DataFrame, floor: float = MIN_ALLOCATION, by: Sequence[str] = (), seeds: int = SEEDS,
+                 batch: int = BATCH) -> DataFrame:
     """(serie, peso) of the minimum-variance portfolio of each panel.
 
-    ``returns`` is read twice (sizes, then vectors): persist it when it is costly.
+    With ``by``, panels that the floor does not fit are left out (``risk.feasibility`` names the reason) and the
+    others are solved; a single panel that cannot be solved is an error. ``returns`` is read more than once.
     """
-    by = tuple(by)
-    small, large = _split(returns, floor, by, dense)
-    parts = []
-    if small is not None:
-        parts.append(_dense_weights(return_vectors(small, by), floor, by))
-    if large is not None:
-        parts.append(wide_min_variance(large, floor, by))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def frontier(returns: DataFrame, points: int = FRONTIER_POINTS, floor: float = MIN_ALLOCATION,
-             by: Sequence[str] = (), dense: int = DENSE) -> DataFrame:
+    vectors, totals, keys = _inputs(returns, floor, by)
+    problems = totals.withColumn("alvo_ix", F.lit(0)).withColumn("alvo", F.lit(None).cast("double"))
+    solved = _column_generation(vectors, problems, keys, seeds, batch)
+    if not by and not solved.limit(1).count():
+        raise RuntimeError("The minimum-variance portfolio could not be computed.")
+    held = solved.select(*keys, F.inline("acima"))
+    return (attach(vectors, solved.select(*keys, F.lit(True).alias("_resolvida")), tuple(by), "_resolvida")
+            .join(held, [*keys, "serie"], "left")
+            .select(*by, "serie", (floor + F.coalesce("excesso", F.lit(0.0))).alias("peso")))
+
+
+def frontier(returns: DataFrame, points: int = FRONTIER_POINTS, floor: float = MIN_ALLOCATION, by: Sequence[str] = (),
+             seeds: int = SEEDS, batch: int = BATCH) -> DataFrame:
     """Minimum-variance curve of each panel: (alvo_ix, alvo, risco, retorno, acima) per reachable target.
 
-    Targets run from the lowest-return corner to the highest-return corner. ``acima`` lists what each series
-    holds above the floor; ``frontier_weights`` turns it into full weights. A target that fails is left out; a
-    panel with fewer than two points is an error.
+    Targets run from the lowest-return corner to the highest-return corner. ``acima`` lists what the series hold above
+    the floor; ``frontier_weights`` turns it into full weights. A target that fails is left out. With ``by``, panels
+    with one series, an unfit floor or fewer than two points are left out; a single such panel is an error. The curve
+    is a written table: reading it again solves nothing again.
     """
-    by, k = tuple(by), max(3, points)
-    small, large = _split(returns, floor, by, dense)
-    parts = []
-    if small is not None:
-        parts.append(_dense_frontier(return_vectors(small, by), k, floor, by))
-    if large is not None:
-        parts.append(wide_frontier(large, k, floor, by))
-    return reduce(DataFrame.unionByName, parts)
+    k = max(3, points)
+    vectors, totals, keys = _inputs(returns, floor, by)
+    low, high = (F.col("piso_retorno") + F.col("total") * F.col(c) for c in ("menor", "maior"))
+    problems = (totals.where("n > 1").withColumn("alvo_ix", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+                .withColumn("alvo", F.when(F.col("alvo_ix") == k - 1, high)
+                            .otherwise(low + F.col("alvo_ix") * (high - low) / F.lit(k - 1))))
+    curve = _column_generation(vectors, problems, keys, seeds, batch)
+    enough = curve.groupBy(*keys).count().where("count > 1")
+    if not by and not enough.limit(1).count():
+        raise RuntimeError("A curve takes two series and two reachable targets at least.")
+    return curve.join(enough.select(*keys), keys, "left_semi").select(*by, "alvo_ix", "alvo", "risco", "retorno", "acima")
 
 
 def frontier_weights(curve: DataFrame, members: DataFrame, floor: float = MIN_ALLOCATION,
@@ -174,194 +166,126 @@ def frontier_weights(curve: DataFrame, members: DataFrame, floor: float = MIN_AL
             .select(*by, "alvo_ix", "serie", (floor + F.coalesce("excesso", F.lit(0.0))).alias("peso")))
 
 
-def _split(returns: DataFrame, floor: float, by: tuple[str, ...], dense: int):
-    """Panels that fit one task and the wider ones; None where there are none of a kind.
-
-    One job counts the series first, so a panel too wide for its floor is an error before any group is formed.
-    """
-    if not 0.0 <= floor < 1.0:
-        raise ValueError("The floor must lie in [0, 1).")
-    sizes = returns.groupBy(*by, "serie").agg(F.first("retorno").alias("_r")).groupBy(*by).count()
-    widest = sizes.agg(F.max("count")).first()[0] or 0
-    if floor * widest >= 1.0:
-        raise ValueError(f"A floor of {floor} does not fit {widest} series.")
-    if widest <= dense:
-        return returns, None
-    if not by:
-        return None, returns
-    wide = sizes.where(F.col("count") > dense)
-    return returns.join(wide, list(by), "left_anti"), returns.join(wide, list(by), "left_semi")
-
-
 def _fields(frame: DataFrame, by: Sequence[str], *more: T.StructField) -> T.StructType:
     return T.StructType([*(frame.schema[c] for c in by), *more])
 
 
-_WEIGHT = (T.StructField("serie", T.StringType()), T.StructField("peso", T.DoubleType()))
 _ABOVE = T.ArrayType(T.StructType([T.StructField("serie", T.StringType()), T.StructField("excesso", T.DoubleType())]))
-_POINT = (T.StructField("alvo_ix", T.IntegerType()), T.StructField("alvo", T.DoubleType()),
-          T.StructField("risco", T.DoubleType()), T.StructField("retorno", T.DoubleType()),
-          T.StructField("acima", _ABOVE))
-
-
-def _grouped(df: DataFrame, by: Sequence[str]):
-    return spread(df, *by).groupBy(*by) if by else df.groupBy(F.lit(0).alias("_tudo"))
-
-
-def _dense_weights(vectors: DataFrame, floor: float, by: tuple[str, ...]) -> DataFrame:
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        mean, cov = _estimates(group["retornos"])
-        out = pd.DataFrame({"serie": group["serie"], "peso": dense_min_variance(mean, cov, floor)})
-        for name, value in zip(by, key):
-            out[name] = value
-        return out[[*by, "serie", "peso"]]
-
-    return _grouped(vectors, by).applyInPandas(solve, _fields(vectors, by, *_WEIGHT))
-
+_SOLVED = (T.StructField("alvo_ix", T.IntegerType()), T.StructField("alvo", T.DoubleType()),
+           T.StructField("risco", T.DoubleType()), T.StructField("retorno", T.DoubleType()),
+           T.StructField("acima", _ABOVE), T.StructField("centrado", T.ArrayType(T.DoubleType())),
+           T.StructField("nivel", T.DoubleType()), T.StructField("inclinacao", T.DoubleType()),
+           T.StructField("borda", T.DoubleType()), T.StructField("folga_borda", T.DoubleType()),
+           T.StructField("tolerancia", T.DoubleType()))
 
-def _dense_frontier(vectors: DataFrame, k: int, floor: float, by: tuple[str, ...]) -> DataFrame:
-    def solve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("serie")
-        mean, cov = _estimates(group["retornos"])
-        names, n, out = group["serie"].tolist(), len(group), []
-        if n < 2:
-            raise ValueError("A curve needs at least two series.")
-        total = 1.0 - floor * n
-        low, high = (floor * mean.sum() + total * edge for edge in (mean.min(), mean.max()))
-        for ix, target in enumerate(np.linspace(low, high, k)):
-            try:
-                w = dense_min_variance(mean, cov, floor, float(target))
-            except RuntimeError:
-                continue
-            out.append((*key[:len(by)], ix, float(target), float(np.sqrt(max(w @ cov @ w, 0.0))), float(w @ mean),
-                        [{"serie": s, "excesso": float(p - floor)} for s, p in zip(names, w)]))
-        if len(out) < 2:
-            raise RuntimeError("Too few points of the curve could be computed.")
-        return pd.DataFrame(out, columns=[*by, "alvo_ix", "alvo", "risco", "retorno", "acima"])
-
-    return _grouped(vectors, by).applyInPandas(solve, _fields(vectors, by, *_POINT))
-
-
-# --- wide portfolios: column generation ----------------------------------------------------------------------
 
-def wide_min_variance(returns: DataFrame, floor: float = MIN_ALLOCATION, by: Sequence[str] = (),
-                      batch: int = 32) -> DataFrame:
-    """min_variance for portfolios of any width."""
-    vectors, sizes, keys = _wide_inputs(returns, floor, by)
-    problems = sizes.withColumn("alvo_ix", F.lit(0)).withColumn("alvo", F.lit(None).cast("double"))
-    held = _column_generation(vectors, problems, keys, batch).select(*keys, F.inline("acima"))
-    return (vectors.join(held, [*keys, "serie"], "left")
-            .select(*by, "serie", (floor + F.coalesce("excesso", F.lit(0.0))).alias("peso")))
-
-
-def wide_frontier(returns: DataFrame, k: int = FRONTIER_POINTS, floor: float = MIN_ALLOCATION,
-                  by: Sequence[str] = (), batch: int = 32) -> DataFrame:
-    """frontier for portfolios of any width."""
-    vectors, sizes, keys = _wide_inputs(returns, floor, by)
-    low, high = (F.col("piso_retorno") + F.col("total") * F.col(c) for c in ("menor", "maior"))
-    problems = (sizes.withColumn("alvo_ix", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-                .withColumn("alvo", F.when(F.col("alvo_ix") == k - 1, high)
-                            .otherwise(low + F.col("alvo_ix") * (high - low) / F.lit(k - 1))))
-    return _column_generation(vectors, problems, keys, batch).select(
-        *by, "alvo_ix", "alvo", "risco", "retorno", "acima")
-
-
-def _wide_inputs(returns: DataFrame, floor: float, by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Return vectors (written once, every round reads them) and one row per portfolio with its totals.
+def _inputs(returns: DataFrame, floor: float, by: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Return vectors (written once, every round reads them) and one row per panel that the floor fits.
 
     ``base`` is the return series of the floor holdings alone, a sum per date.
     """
+    if not 0.0 <= floor < 1.0:
+        raise ValueError("The floor must lie in [0, 1).")
     keys = list(by) or ["_tudo"]
     if not by:
         returns = returns.withColumn("_tudo", F.lit(0))
-    vectors = return_vectors(returns, keys)
     mean = F.aggregate("retornos", F.lit(0.0), lambda a, x: a + x) / F.size("retornos") * TRADING_DAYS
-    vectors = materialise(vectors.withColumn("media", mean))
+    vectors = materialise(return_vectors(returns, keys).withColumn("media", mean))
     daily = returns.groupBy(*keys, "data").agg((F.sum("retorno") * floor).alias("_b"))
     base = (daily.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("data", "_b"))).alias("_l"))
             .select(*keys, F.col("_l._b").alias("base")))
     totals = vectors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("media").alias("menor"), F.max("media").alias("maior"),
         (F.sum("media") * floor).alias("piso_retorno"))
-    room = 1.0 - floor * F.col("n")
-    unfit = F.raise_error(F.lit(f"A floor of {floor} does not fit the number of series."))
-    totals = totals.withColumn("total", F.when(room <= 0, unfit).otherwise(room))
-    return vectors, materialise(totals.join(base, keys)), keys
+    totals = totals.withColumn("total", 1.0 - floor * F.col("n")).withColumn("partes", F.ceil(F.col("n") / PART).cast("int"))
+    totals = materialise(totals.where("total > 0").join(base, keys))
+    if not by and not totals.limit(1).count():
+        raise ValueError(f"A floor of {floor} does not fit the number of series.")
+    sized = vectors.join(totals.select(*keys, "n", "partes"), keys) if by else attach(vectors, totals, (), "n", "partes")
+    return sized.withColumn("parte", F.pmod(F.xxhash64("serie"), F.col("partes")).cast("int")), totals, keys
 
 
-def _column_generation(vectors: DataFrame, problems: DataFrame, keys: list[str], batch: int) -> DataFrame:
+def _column_generation(vectors: DataFrame, problems: DataFrame, keys: list[str], seeds: int, batch: int) -> DataFrame:
     """Exact optimum over all series while only those above the floor meet in one task.
 
-    Each round solves the problem restricted to the columns found so far, then prices every series in parallel:
-    a series whose marginal variance lies below what the multipliers allow would lower the risk and joins the
-    columns, up to ``batch`` per problem and round. No such series left means optimal for the whole portfolio.
-    The optimum needs about as many columns as there are dates at most, so the restricted problem is bounded by
-    the calendar and not by the width.
+    Each round solves the problems restricted to the columns found so far, then prices every series in parallel: a
+    series whose marginal variance lies below what the multipliers allow would lower the risk and joins the columns, up
+    to ``batch`` per problem and round. No such series left means optimal for the whole panel. The optimum needs about
+    as many columns as there are dates at most, so a restricted problem is bounded by the calendar, not by the width.
     """
-    task = [*keys, "alvo_ix"]
+    problems = materialise(problems.withColumn("bloco", F.expr(f"alvo_ix div {TARGETS}").cast("int")))
+    task = [*keys, "bloco"]
     energy = F.aggregate("retornos", F.lit(0.0), lambda a, x: a + x * x)
-    seeds = vectors.groupBy(*keys).agg(
+    ends = vectors.groupBy(*keys).agg(
         F.min_by("serie", F.struct("media", "serie")).alias("_a"),
         F.max_by("serie", F.struct("media", "serie")).alias("_b"),
         F.min_by("serie", F.struct(energy, "serie")).alias("_c"))
-    columns = problems.select(*task).join(
-        seeds.select(*keys, F.explode(F.array_distinct(F.array("_a", "_b", "_c"))).alias("serie")), keys)
-    columns, finished = materialise(columns), []
+    first = (ends.select(*keys, F.explode(F.array("_a", "_b", "_c")).alias("serie"))
+             .union(vectors.where(F.pmod(F.xxhash64("serie", F.lit(1)), F.col("n")) < seeds).select(*keys, "serie")).distinct())
+    columns, finished = materialise(problems.select(*task).distinct().join(first, keys)), []
     while True:
-        restricted = spread(columns.join(vectors, [*keys, "serie"]), *task).groupBy(*task)
-        solved = materialise(restricted.cogroup(spread(problems, *task).groupBy(*task)).applyInPandas(
-            _restricted(task), _fields(problems, keys, *_SOLVED)))
+        restricted = spread(columns.join(vectors, [*keys, "serie"]).select(*task, "serie", "retornos", "media"), *task)
+        solved = materialise(restricted.groupBy(*task).cogroup(spread(problems, *task).groupBy(*task)).applyInPandas(
+            _restricted(task), _fields(problems, task, *_SOLVED)))
         entering = materialise(
-            _price(vectors, solved, keys, task).where(F.col("_ordem") <= batch).select(*task, "serie")
+            _price(vectors, solved, problems, keys, task).where(F.col("_ordem") <= batch).select(*task, "serie").distinct()
             .join(columns, [*task, "serie"], "left_anti"))
         if entering.isEmpty():
-            return reduce(DataFrame.unionByName, [*finished, solved])
+            discard(columns, entering, problems)
+            return reduce(DataFrame.unionByName, [*finished, solved]).drop("bloco")
         open_tasks = entering.select(*task).distinct()
-        finished.append(solved.join(open_tasks, task, "left_anti"))
-        problems = problems.join(open_tasks, task, "left_semi")
-        columns = materialise(columns.join(open_tasks, task, "left_semi").unionByName(entering))
+        finished.append(materialise(solved.join(open_tasks, task, "left_anti")))
+        left = materialise(problems.join(open_tasks, task, "left_semi"))
+        wider = materialise(columns.join(open_tasks, task, "left_semi").unionByName(entering))
+        discard(columns, entering, problems, solved)
+        columns, problems = wider, left
+
 
+def _price(vectors: DataFrame, solved: DataFrame, problems: DataFrame, keys: list[str], task: list[str]) -> DataFrame:
+    """Series that would lower the risk of a problem, most useful first.
 
-def _price(vectors: DataFrame, solved: DataFrame, keys: list[str], task: list[str]) -> DataFrame:
-    """Series that would lower the risk of a problem, most useful first."""
+    A wide panel is priced in parts, each with a copy of its solutions, so one panel is not one join key.
+    """
     marginal = F.aggregate(F.zip_with("retornos", "centrado", lambda r, p: r * p), F.lit(0.0),
                            lambda a, x: a + x) * TRADING_DAYS / F.greatest(F.size("retornos") - 1, F.lit(1))
     gain = marginal - F.col("nivel") - F.col("inclinacao") * F.col("media")
     allowed = F.col("borda").isNull() | (F.abs(F.col("media") - F.col("borda")) <= F.col("folga_borda"))
-    best = Window.partitionBy(*task).orderBy("_ganho", "serie")
-    return (vectors.join(solved.select(*task, "centrado", "nivel", "inclinacao", "borda", "folga_borda",
-                                       "tolerancia"), keys)
-            .where(allowed).select(*task, "serie", "tolerancia", gain.alias("_ganho"))
+    best = Window.partitionBy(*task, "alvo_ix").orderBy("_ganho", "serie")
+    parts = problems.select(*keys, "partes").distinct()
+    copies = (solved.select(*task, "alvo_ix", "centrado", "nivel", "inclinacao", "borda", "folga_borda", "tolerancia")
+              .join(parts, keys).withColumn("parte", F.explode(F.sequence(F.lit(0), F.col("partes") - 1))).drop("partes"))
+    return (vectors.select(*keys, "parte", "serie", "retornos", "media").join(copies, [*keys, "parte"])
+            .where(allowed).select(*task, "alvo_ix", "serie", "tolerancia", gain.alias("_ganho"))
             .where(F.col("_ganho") < -F.col("tolerancia"))
             .withColumn("_ordem", F.row_number().over(best)))
 
 
-_SOLVED = (*_POINT, T.StructField("centrado", T.ArrayType(T.DoubleType())), T.StructField("nivel", T.DoubleType()),
-           T.StructField("inclinacao", T.DoubleType()), T.StructField("borda", T.DoubleType()),
-           T.StructField("folga_borda", T.DoubleType()), T.StructField("tolerancia", T.DoubleType()))
-
-
 def _restricted(task: list[str]):
-    def solve(key: tuple, group: pd.DataFrame, problem: pd.DataFrame) -> pd.DataFrame:
-        row = problem.iloc[0]
-        names = group["serie"].tolist()
-        rows = np.stack(group["retornos"].to_numpy()).astype(float)
-        base, days = np.asarray(row["base"], dtype=float), rows.shape[1]
-        mean = group["media"].to_numpy(dtype=float)
-        centred = rows - rows.mean(axis=1, keepdims=True)
-        year = TRADING_DAYS / max(days - 1, 1)
-        cov, pull = centred @ centred.T * year, centred @ (base - base.mean()) * year
-        target = None if pd.isna(row["alvo"]) else float(row["alvo"])
-        need = None if target is None else target - float(row["piso_retorno"])
-        excess, level, slope, edge = excess_over_floor(mean, cov, pull, float(row["total"]), need)
-        path = base + excess @ rows
-        path -= path.mean()
-        variance = float(path @ path) * year
-        return pd.DataFrame([{
-            **dict(zip(task, key)), "alvo": target, "risco": float(np.sqrt(variance)),
-            "retorno": float(row["piso_retorno"] + excess @ mean),
-            "acima": [{"serie": s, "excesso": float(x)} for s, x in zip(names, excess) if x > 1e-13],
-            "centrado": path, "nivel": level, "inclinacao": slope, "borda": edge,
-            "folga_borda": 1e-12 * float(row["maior"] - row["menor"]),
-            "tolerancia": 1e-9 * max(float(np.abs(cov).max()), 1e-300)}])
+    def solve(key: tuple, group: pd.DataFrame, problems: pd.DataFrame) -> pd.DataFrame:
+        group, out = group.sort_values("serie"), []
+        if len(group):
+            names = group["serie"].tolist()
+            rows = np.stack(group["retornos"].to_numpy()).astype(float)
+            base, days = np.asarray(problems["base"].iloc[0], dtype=float), rows.shape[1]
+            mean = group["media"].to_numpy(dtype=float)
+            centred = rows - rows.mean(axis=1, keepdims=True)
+            year = TRADING_DAYS / max(days - 1, 1)
+            cov, pull = centred @ centred.T * year, centred @ (base - base.mean()) * year
+        for row in problems.sort_values("alvo_ix").to_dict("records") if len(group) else ():
+            target = None if pd.isna(row["alvo"]) else float(row["alvo"])
+            need = None if target is None else target - float(row["piso_retorno"])
+            try:
+                excess, level, slope, edge = excess_over_floor(mean, cov, pull, float(row["total"]), need)
+            except RuntimeError:
+                continue
+            path = base + excess @ rows
+            path -= path.mean()
+            out.append({
+                **dict(zip(task, key)), "alvo_ix": row["alvo_ix"], "alvo": target,
+                "risco": float(np.sqrt(float(path @ path) * year)), "retorno": float(row["piso_retorno"] + excess @ mean),
+                "acima": [{"serie": s, "excesso": float(x)} for s, x in zip(names, excess) if x > 1e-13],
+                "centrado": path, "nivel": level, "inclinacao": slope, "borda": edge,
+                "folga_borda": 1e-12 * float(row["maior"] - row["menor"]),
+                "tolerancia": 1e-9 * max(float(np.abs(cov).max()), 1e-300)})
+        return pd.DataFrame(out, columns=[*task, *(f.name for f in _SOLVED)])
     return solve

@@ -40,7 +40,7 @@ def load_panel(quotes: DataFrame, funds: Sequence[str] | DataFrame, start, end,
     """Panel of the requested funds; ``common`` keeps the dates on which every requested fund has a quote.
 
     Two quotes of one series on one date (two subclasses under one fund) are an error raised by the job itself.
-    The rows are hashed by series once; the uniqueness check and later windows over a series reuse that layout.
+    Copies of a series and date are reduced before they are shuffled.
     """
     keep = F.col("data").between(F.lit(start), F.lit(end))
     if isinstance(funds, DataFrame):
@@ -55,7 +55,9 @@ def load_panel(quotes: DataFrame, funds: Sequence[str] | DataFrame, start, end,
     if not common:
         return panel
     if tuple(series_key) != ("cnpj",):
-        wanted = scalar(panel.agg(F.countDistinct("serie").alias("n")), "n")
+        there = chosen.agg(F.countDistinct("cnpj").alias("fundos"), F.countDistinct(key).alias("series"))
+        # Null, hence no date, unless every requested fund occurs.
+        wanted = scalar(there.select(F.when(F.col("fundos") == wanted, F.col("series")).alias("n")), "n")
     return common_dates(panel, wanted)
 
 
@@ -63,7 +65,7 @@ def unique_panel(rows: DataFrame) -> DataFrame:
     """Same rows, failing the job when a series has two values on one date."""
     clash = F.raise_error(F.concat(F.lit("Two quotes for one series and date: "), F.col("serie"), F.lit(" "),
                                    F.col("data").cast("string")))
-    return (rows.repartition("serie").groupBy("serie", "data")
+    return (rows.groupBy("serie", "data")
             .agg(F.count(F.lit(1)).alias("_n"), F.first("valor").alias("valor"))
             .select("serie", "data", F.when(F.col("_n") > 1, clash).otherwise(F.col("valor")).alias("valor")))
 

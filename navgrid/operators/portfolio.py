@@ -42,11 +42,12 @@ def weight_problems(weights: DataFrame, members: DataFrame, by: Sequence[str] =
 
 
 def check_weights(weights: DataFrame, members: DataFrame, by: Sequence[str] = PORTFOLIO) -> DataFrame:
-    """The weights, or an error naming up to ten faulty portfolios."""
-    faulty = weight_problems(weights, members, by).take(10)
-    if faulty:
-        raise ValueError("Weights must be non-negative and total 100%: " + ", ".join(
-            str({c: row[c] for c in (*by, "soma", "faltantes", "negativos")}) for row in faulty))
+    """The weights, or an error that names every faulty portfolio."""
+    entry = F.to_json(F.struct(*by, "soma", "faltantes", "negativos"))
+    faulty = weight_problems(weights, members, by).agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("quais")).first()
+    if faulty["n"]:
+        raise ValueError(f"{faulty['n']} portfolio(s) with missing or negative weights or another total than 1: {faulty['quais']}")
     return weights
 
 

@@ -25,7 +25,9 @@ def return_vectors(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def annual_cov(returns: DataFrame, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
-    """Full covariance matrix as (serie_i, serie_j, cov) rows, by blocks of series.
+    """Covariance matrix as (serie_i, serie_j, cov) rows with serie_i <= serie_j, by blocks of series.
+
+    ``mirrored`` adds the other half where a reader needs it; ask for few funds by filtering ``returns`` first.
 
     Panels of up to ``block`` series are one group. Wider ones are hashed into blocks; each pair of blocks is
     one group with at most two blocks of vectors, so a task never sees the whole universe and the shuffle grows
@@ -52,6 +54,13 @@ def annual_cov(returns: DataFrame, by: Sequence[str] = (), block: int = BLOCK) -
     return spread(pairs, *groups).groupBy(*groups).applyInPandas(_block_product(by), T.StructType(fields))
 
 
+def mirrored(cov: DataFrame) -> DataFrame:
+    """Both halves of a covariance table."""
+    others = [c for c in cov.columns if c not in ("serie_i", "serie_j")]
+    swapped = cov.where("serie_i <> serie_j").select(F.col("serie_j").alias("serie_i"), F.col("serie_i").alias("serie_j"), *others)
+    return cov.unionByName(swapped)
+
+
 def _block_product(by: tuple[str, ...]):
     def product(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         *panel, first, second = key
@@ -64,8 +73,11 @@ def _block_product(by: tuple[str, ...]):
             cov[:] = np.nan
         out = pd.DataFrame({"serie_i": np.repeat(left["serie"].to_numpy(), len(right)),
                             "serie_j": np.tile(right["serie"].to_numpy(), len(left)), "cov": cov.ravel()})
-        if first != second:
-            out = pd.concat([out, out.rename(columns={"serie_i": "serie_j", "serie_j": "serie_i"})])
+        if first == second:
+            out = out[out["serie_i"] <= out["serie_j"]]
+        else:
+            swap = out["serie_i"] > out["serie_j"]
+            out.loc[swap, ["serie_i", "serie_j"]] = out.loc[swap, ["serie_j", "serie_i"]].to_numpy()
         for name, value in zip(by, panel):
             out[name] = value
         return out[[*by, "serie_i", "serie_j", "cov"]]
@@ -85,9 +97,10 @@ def fund_points(returns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def bilinear(weights: DataFrame, cov: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Variance and risk from weights and a long covariance table, in two reductions (rows, then total)."""
+    """Variance and risk from weights and rows i <= j of a covariance table, in two reductions (rows, then total)."""
     by = list(by)
-    rows = (cov.join(weights.select(*by, F.col("serie").alias("serie_j"), F.col("peso").alias("_wj")),
+    twice = F.when(F.col("serie_i") == F.col("serie_j"), F.col("cov")).otherwise(2 * F.col("cov"))
+    rows = (cov.withColumn("cov", twice).join(weights.select(*by, F.col("serie").alias("serie_j"), F.col("peso").alias("_wj")),
                      [*by, "serie_j"])
             .groupBy(*by, "serie_i").agg(F.sum(F.col("cov") * F.col("_wj")).alias("_linha")))
     total = (rows.join(weights.select(*by, F.col("serie").alias("serie_i"), F.col("peso").alias("_wi")),

@@ -12,8 +12,8 @@ from navgrid.operators.tables import keep_last, select_pending, upsert, without_
 from navgrid.schema import (
     ERROR_TEXT_LIMIT, EXCLUDED_IDS, LEDGER, QUOTE_KEY, QUOTES, RECENT_MONTHS, STATUS_ERROR, STATUS_OK,
 )
-from navgrid.session import materialise
-from navgrid.sources.archives import BLOCK_ROWS, file_errors, open_shared, parse_daily, read_archives
+from navgrid.session import discard, materialise
+from navgrid.sources.archives import BLOCK_ROWS, open_shared, parse_daily, read_archives
 from navgrid.sources.catalog import catalog_order, source_catalog
 from navgrid.sources.register import read_register, read_sheet
 from navgrid.sources.store import Store, month_of
@@ -85,20 +85,25 @@ def run_load(spark: SparkSession, cfg: LoadConfig) -> DataFrame:
     cfg.check()
     store = Store(spark, cfg.root)
     register = read_register(read_sheet(spark, cfg.sheet)).withColumn("atualizado_em", F.lit(cfg.now))
-    funds = without_keys(upsert(store.read("fundos"), register, ["cnpj"], ["atualizado_em"]))
+    # The register counts, and excluded funds go, whatever becomes of the files.
+    store.commit(without_keys(upsert(store.read("fundos"), register, ["cnpj"], ["atualizado_em"])), None,
+                 *_without_excluded(store))
     ledger = store.read("cargas")
     catalog = source_catalog(spark, cfg.history, cfg.monthly)
     picked = (select_pending(catalog, ledger, cfg.start, cfg.end, cfg.force, cfg.recent)
               .orderBy(*catalog_order()).collect())
     if not picked:
-        store.commit(funds, ledger, *_without_excluded(store))
         return spark.createDataFrame([], LEDGER)
 
     files = spark.createDataFrame(
         [(i, r["arquivo"], r["url"], r["periodo_inicial"], r["periodo_final"]) for i, r in enumerate(picked)],
         "ordem int, arquivo string, url string, periodo_inicial string, periodo_final string")
     parsed = materialise(parse_daily(read_archives(files, cfg.opener, cfg.block_rows), register))
-    failed = {r["ordem"]: r["erro"] for r in file_errors(parsed).collect()}
+    # One pass over the parsed rows: errors, counts and months of each file (as many entries as files and their months).
+    found = (parsed.groupBy("ordem", F.when(F.col("erro").isNull(), month_of()).alias("mes"))
+             .agg(F.count_if(F.col("erro").isNull()).alias("linhas"), F.min_by("erro", F.when(F.col("erro").isNotNull(), F.col("membro_ix"))).alias("erro"))
+             .collect())
+    failed = {r["ordem"]: r["erro"] for r in found if r["erro"] is not None}
     stop = len(picked) if cfg.continue_on_error or not failed else min(failed) + 1
     done = [i for i in range(stop) if i not in failed]
     last = {picked[i]["arquivo"]: i for i in done}
@@ -108,11 +113,14 @@ def run_load(spark: SparkSession, cfg: LoadConfig) -> DataFrame:
     rows = parsed.where(F.col("erro").isNull()).join(applied, "ordem").select(
         "ordem", "membro_ix", "linha", "_vale", "cnpj", "id_subclasse", "data", "valor_cota",
         F.col("arquivo").alias("arquivo_origem"), F.lit(cfg.now).alias("atualizado_em"))
-    months, merged = _merge(store, rows, sorted(last), cfg.keep)
-
-    counted = rows.groupBy("ordem").agg(F.count(F.lit(1)).alias("linhas"))
+    touched = {r["mes"] for r in found if r["mes"] and r["ordem"] in done}
+    months = sorted(touched | set(store.months_with(sorted(last))))
+    merged = _merge(store, rows, sorted(last), cfg.keep, months)
+    totals = {i: sum(r["linhas"] for r in found if r["ordem"] == i) for i in done}
+    counted = spark.createDataFrame(list(totals.items()), "ordem int, linhas long")
     news = _ledger_rows(files, counted, failed, range(stop), cfg.now)
-    store.commit(funds, upsert(ledger, news, ["arquivo"], ["processado_em"]), merged, months)
+    store.commit(None, upsert(ledger, news, ["arquivo"], ["processado_em"]), merged, months)
+    discard(parsed)
     if failed and not cfg.continue_on_error:
         raise LoadError(failed[min(failed)])
     return store.read("cargas").join(news.select("arquivo"), "arquivo", "left_semi").select(*LEDGER.fieldNames())
@@ -133,26 +141,17 @@ def _ledger_rows(files: DataFrame, counted: DataFrame, failed: dict[int, str], r
 
 def _without_excluded(store: Store) -> tuple[DataFrame | None, list[str]]:
     """Months that hold excluded funds, and their content without them."""
-    months = _months(store.read("cotas_diarias").where(F.col("cnpj").isin(list(EXCLUDED_IDS))))
+    months = store.months_with(funds=list(EXCLUDED_IDS))
     return (without_keys(store.read("cotas_diarias", months)), months) if months else (None, [])
 
 
-def _months(rows: DataFrame) -> list[str]:
-    """Months of some rows; bounded by the calendar."""
-    return sorted(r["mes"] for r in rows.select(month_of().alias("mes")).distinct().collect())
-
-
-def _merge(store: Store, rows: DataFrame, sources: list[str], keep: str) -> tuple[list[str], DataFrame]:
+def _merge(store: Store, rows: DataFrame, sources: list[str], keep: str, months: list[str]) -> DataFrame:
     """Replace by source and upsert, restricted to the months that change.
 
     The result equals applying the files one by one. A key belongs to the last file that has it; when a file
     name is loaded twice in one run, the second load also removes what the first took over.
     """
     names = store.spark.createDataFrame([(s,) for s in sources], "arquivo_origem string")
-    quotes = store.read("cotas_diarias")
-    stale = quotes.join(names, "arquivo_origem", "left_semi").unionByName(
-        quotes.where(F.col("cnpj").isin(list(EXCLUDED_IDS))), allowMissingColumns=True)
-    months = _months(stale.select("data").unionByName(rows.select("data")))
     keys = list(QUOTE_KEY)
     order = _ORDER if keep == "last" else ["ordem", -F.col("membro_ix"), -F.col("linha")]
     winners = keep_last(rows, keys, order)
@@ -160,7 +159,7 @@ def _merge(store: Store, rows: DataFrame, sources: list[str], keep: str) -> tupl
                .join(names, "arquivo_origem", "left_anti").join(winners.select(*keys), keys, "left_anti"))
     fresh = winners.where("_vale")
     columns = QUOTES.fieldNames()
-    return months, current.select(*columns).unionByName(fresh.select(*columns))
+    return current.select(*columns).unionByName(fresh.select(*columns))
 
 
 def final_report(store: Store) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ from navgrid.plans.load import LoadConfig, run_load
 from navgrid.queries.cleaning import _CLEAN_SQL, _raw
 from navgrid.queries.common import Tables, edge, query, r, text
 from navgrid.session import shared_dir
-from navgrid.sources.archives import parse_daily, read_archives
+from navgrid.sources.archives import arrow_uri, parse_daily, read_archives
 from navgrid.sources.catalog import catalog_order, source_catalog
 from navgrid.sources.register import read_register, read_sheet
 from navgrid.sources.store import Store
@@ -36,7 +36,7 @@ def _write_archives(rows: DataFrame, folder: str) -> int:
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         part = TaskContext.get().partitionId()
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = fs.FileSystem.from_uri(arrow_uri(folder))
         system.create_dir(path, recursive=True)
         name = f"{path}/inf_diario_fi_{2000 + part // 12}{part % 12 + 1:02d}.zip"
         kept = list(_HEADERS)
@@ -59,7 +59,7 @@ def _write_archives(rows: DataFrame, folder: str) -> int:
 def _prepare(t: Tables) -> tuple[str, DataFrame]:
     """A new working folder with archives and register sheet."""
     folder = f"{shared_dir(t.spark)}/navgrid-arquivos/{uuid.uuid4().hex}"
-    _write_archives(_raw(t), folder + "/mensal" if "://" in folder else "file://" + folder + "/mensal")
+    _write_archives(_raw(t), folder + "/mensal")
     wanted = t.customer.where(_WANTED).select(F.col("c_name").alias("Nome"), F.col("c_custkey").cast("string").alias("CNPJ"))
     wanted.write.csv(folder + "/fundos.csv", header=True)
     return folder, wanted.select(F.lpad("CNPJ", 14, "0").alias("cnpj"))

@@ -174,6 +174,13 @@ def day_first(t: Tables) -> DataFrame:
     return edge(t.orders.select("o_orderkey", N.parse_day_first(value).alias("data")))
 
 
+@query("p16_window_open", """
+    SELECT o_orderkey, o_orderdate < o_orderdate + to_days(CAST(o_orderkey % 5 - 2 AS INTEGER)) AS aberta FROM orders""")
+def window_open(t: Tables) -> DataFrame:
+    end = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 5 - 2).cast("int"))
+    return t.orders.select("o_orderkey", N.window_is_open(F.to_date("o_orderdate"), end).alias("aberta"))
+
+
 @query("p17_shorten", """
     SELECT doc_id, md5(CASE WHEN length(text) <= 62 THEN text ELSE substring(text, 1, 61) || '…' END) AS curto
     FROM documents""")
@@ -197,10 +204,9 @@ def format_day(t: Tables) -> DataFrame:
 
 
 @query("m12_benchmark_names", """
-    WITH m(escolha, nome) AS (VALUES ('CDI', 'Benchmark: CDI'), ('Ibovespa', 'Benchmark: Ibovespa'))
-    SELECT escolha, nome, (SELECT COUNT(*) FROM orders WHERE (o_orderstatus = 'F') = (escolha = 'CDI')) AS linhas FROM m""")
+    SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Benchmark: CDI' WHEN 'O' THEN 'Benchmark: Ibovespa' END AS nome FROM orders""")
 def benchmark_names(t: Tables) -> DataFrame:
-    names = t.spark.createDataFrame([(k, v[0]) for k, v in BENCHMARKS.items()], "escolha string, nome string")
-    choice = F.when(F.col("o_orderstatus") == "F", "CDI").otherwise("Ibovespa").alias("escolha")
-    return t.orders.groupBy(choice).agg(F.count(F.lit(1)).alias("linhas")).join(names, "escolha").select(
-        "escolha", "nome", "linhas")
+    """The display name of a choice in every row; a choice that is none has no name."""
+    names = F.create_map(*[F.lit(x) for k, v in BENCHMARKS.items() for x in (k, v[0])])
+    choice = F.when(F.col("o_orderstatus") == "F", "CDI").when(F.col("o_orderstatus") == "O", "Ibovespa").otherwise("Nenhum")
+    return t.orders.select("o_orderkey", F.try_element_at(names, choice).alias("nome"))

@@ -51,17 +51,22 @@ class Tables:
         return _panel(rows, F.col("s_nationkey").cast("string"), F.to_date("l_shipdate"), "l_extendedprice")
 
     def supplier_month(self) -> DataFrame:
-        """Monthly panel per supplier with the supplier's nation as portfolio."""
+        """Monthly panel per supplier with portfolios of one nation's suppliers."""
         panel = _panel(self.lineitem, F.col("l_suppkey"), F.trunc("l_shipdate", "month"), "l_extendedprice")
         lookup = self.supplier.select(F.col("s_suppkey").alias("serie"),
-                                      F.col("s_nationkey").cast("string").alias("carteira"))
+                                      supplier_portfolio())
         return panel.join(lookup, "serie").withColumn("serie", F.col("serie").cast("string"))
 
     def suppliers(self) -> DataFrame:
-        return self.supplier.select(F.col("s_nationkey").cast("string").alias("carteira"),
+        return self.supplier.select(supplier_portfolio(),
                                     F.col("s_suppkey").cast("string").alias("serie"))
 
 
+def supplier_portfolio() -> Column:
+    """A nation's suppliers of one key range: portfolios of bounded width whatever the table size."""
+    return F.concat(F.col("s_nationkey").cast("string"), F.lit("-"), F.expr("cast(s_suppkey div 1000 as string)")).alias("carteira")
+
+
 def cents(c: str) -> Column:
     return F.round(F.col(c) * 100).cast("bigint")
 
@@ -111,14 +116,14 @@ P_PRIO = _sql_panel("p", "o_orderpriority", "o_orderdate", "o_totalprice", "orde
 P_NATION = _sql_panel("p", "CAST(s_nationkey AS VARCHAR)", "l_shipdate", "l_extendedprice",
                       "lineitem JOIN supplier ON l_suppkey = s_suppkey")
 P_SUPPLIER = (_sql_panel("sp", "l_suppkey", "date_trunc('month', l_shipdate)", "l_extendedprice", "lineitem")
-              + ", p AS (SELECT CAST(s_nationkey AS VARCHAR) AS carteira, CAST(serie AS VARCHAR) AS serie, data, "
+              + ", p AS (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, CAST(serie AS VARCHAR) AS serie, data, "
                 "valor FROM sp JOIN supplier ON serie = s_suppkey)")
 
 # Common dates of one panel (c), of a panel per portfolio (c), and simple returns over them (ret).
 COMMON = ("c AS (SELECT * FROM p WHERE data IN (SELECT data FROM p GROUP BY data "
           "HAVING COUNT(*) = (SELECT COUNT(DISTINCT serie) FROM p)))")
 COMMON_BY = ("c AS (SELECT p.* FROM p JOIN (SELECT carteira, data FROM p JOIN "
-             "(SELECT CAST(s_nationkey AS VARCHAR) AS carteira, COUNT(*) AS n FROM supplier GROUP BY 1) z "
+             "(SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, COUNT(*) AS n FROM supplier GROUP BY 1) z "
              "USING (carteira) GROUP BY carteira, data, n HAVING COUNT(*) = n) USING (carteira, data))")
 RETURNS = ("ret AS (SELECT * FROM (SELECT serie, data, valor / lag(valor) OVER (PARTITION BY serie ORDER BY data) "
            "- 1 AS retorno FROM c) WHERE retorno IS NOT NULL)")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from navgrid.operators import frontier as E, optimise as O, panel as P, performance as R, portfolio as H, risk as K
 from navgrid.queries.common import (
     COMMON, COMMON_BY, COV, MEAN, P_MONTH, P_SUPPLIER, RETURNS, RETURNS_BY, Tables, edge, query, r,
+    supplier_portfolio,
 )
 from navgrid.queries.panels import _SERIES, _common
 from navgrid.queries.portfolios import _BY, _MONTH_WEIGHTS, month_weights, panel
@@ -62,12 +63,12 @@ def f8(t: Tables) -> DataFrame:
     return edge(E.target_grid(low, high, 60, _BY))
 
 
-@query("f11_fill_to_floor", f"""WITH x AS (SELECT CAST(s_nationkey AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
-    least(greatest(s_acctbal / 10000, 0.001), 1) - 0.001 AS e, COUNT(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier),
+@query("f11_fill_to_floor", f"""WITH x AS (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
+    least(greatest(s_acctbal / 10000, 0.001), 1) - 0.001 AS e, COUNT(*) OVER (PARTITION BY s_nationkey, s_suppkey // 1000) AS n FROM supplier),
     y AS (SELECT *, sum(e) OVER (PARTITION BY carteira) AS s FROM x)
     SELECT carteira, serie, {r('CASE WHEN s <= 0 THEN 1.0 / n ELSE 0.001 + (1 - 0.001 * n) * e / s END')} AS peso FROM y""")
 def f11(t: Tables) -> DataFrame:
-    raw = t.supplier.select(F.col("s_nationkey").cast("string").alias("carteira"),
+    raw = t.supplier.select(supplier_portfolio(),
                             F.col("s_suppkey").cast("string").alias("serie"), (F.col("s_acctbal") / 10000).alias("peso"))
     return edge(E.fill_to_floor(raw, 0.001, _BY))
 
@@ -89,12 +90,15 @@ def _scored(t: Tables) -> DataFrame:
     return E.score(drawn, K.annual_mean(rets), K.annual_cov(rets), _SERIES)
 
 
-@query("f13_candidate_weights", f"""{_MONTH_SQL}, {_CAND_SQL}, m AS (SELECT l_returnflag || l_linestatus AS serie, COUNT(*) AS linhas
-    FROM lineitem GROUP BY 1) SELECT candidata, serie, {r('peso')} AS peso, linhas FROM cw JOIN m USING (serie)""")
+@query("f13_candidate_weights", f"""WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS serie FROM lineitem),
+    u AS (SELECT id AS candidata, serie, COUNT(*) OVER (PARTITION BY id) AS n, -ln((CAST('0x' || substr(md5('42|' || id || '|' || serie), 1, 13)
+    AS BIGINT) + 0.5) / 4503599627370496.0) AS e FROM (SELECT DISTINCT o_orderkey AS id FROM orders), s)
+    SELECT candidata, serie, {r(f'{_FLOOR} + (1 - {_FLOOR} * n) * e / sum(e) OVER (PARTITION BY candidata)')} AS peso FROM u""")
 def f13(t: Tables) -> DataFrame:
-    counts = t.lineitem.groupBy(F.concat("l_returnflag", "l_linestatus").alias("serie")).agg(F.count(F.lit(1)).alias("linhas"))
-    drawn = E.long_weights(E.candidate_weights(t.spark, _SERIES, 3000, _FLOOR), _SERIES)
-    return edge(drawn.join(counts, "serie").select("candidata", "serie", "peso", "linhas"))
+    """One candidate per order over the series that the table has (their list is bounded by flag and status)."""
+    series = [x[0] for x in t.lineitem.select(F.concat("l_returnflag", "l_linestatus")).distinct().orderBy(F.col("concat(l_returnflag, l_linestatus)")).collect()]
+    ids = t.orders.select(F.col("o_orderkey").alias("candidata")).distinct()
+    return edge(E.long_weights(E.candidate_weights(t.spark, series, ids, _FLOOR), series))
 
 
 @query("f12_score_candidates", f"{_MONTH_SQL}, {_SCORE_SQL} {_SCORED}")
@@ -195,10 +199,41 @@ def f9_certificate(t: Tables) -> DataFrame:
         ((gap >= -1e-7) & (~above | (gap <= 1e-7))).alias("otima"))
 
 
-@query("f10_frontier", None)
+@query("f10_frontier", f"""{_FEASIBLE_SQL}, mb AS (SELECT carteira, serie, avg(retorno) * 252 AS media FROM ret JOIN ok USING (carteira)
+    GROUP BY 1, 2), e AS (SELECT carteira, {_FLOOR} * sum(media) + (1 - {_FLOOR} * COUNT(*)) * min(media) AS lo,
+    {_FLOOR} * sum(media) + (1 - {_FLOOR} * COUNT(*)) * max(media) AS hi FROM mb GROUP BY 1)
+    SELECT carteira, CAST(k AS INTEGER) AS alvo_ix, {r('lo + k * (hi - lo) / 59')} AS alvo, {r('lo + k * (hi - lo) / 59')} AS retorno,
+           true AS soma_um, true AS no_piso_ou_acima, true AS risco_dos_pesos, true AS otima, true AS ramo FROM e, range(60) q(k)""")
 def f10(t: Tables) -> DataFrame:
-    curve = O.frontier(_feasible(t), 60, _FLOOR, _BY)
-    return edge(E.efficient_flag(curve, _BY).select("carteira", "alvo_ix", "alvo", "retorno", "risco", "eficiente"))
+    """Every point of every curve with its certificate, all from the returns and the weights, not from the solver.
+
+    At the optimum a holding's covariance with the portfolio is a level plus a slope times its mean, and no series lies
+    below that line; the line is fitted to the holdings above the floor. The ends of a curve have one holding above
+    the floor, for which some slope always does. ``ramo``: a point is marked efficient from the lowest risk on.
+    """
+    rets, point = _feasible(t), [*_BY, "alvo_ix"]
+    curve = E.efficient_flag(O.frontier(rets, 60, _FLOOR, _BY), _BY)
+    w = O.frontier_weights(curve, rets, _FLOOR, _BY)
+    daily = (rets.join(w, [*_BY, "serie"]).groupBy(*point, "data").agg(F.sum(F.col("peso") * F.col("retorno")).alias("_p")))
+    spread = daily.groupBy(*point).agg(F.sqrt(F.var_samp("_p") * 252).alias("_risco"))
+    pull = rets.join(daily, [*_BY, "data"]).groupBy(*point, "serie").agg(
+        F.covar_samp("retorno", "_p").alias("_g"), F.avg("retorno").alias("_m"), F.var_samp("retorno").alias("_v"))
+    rows = pull.join(w, [*point, "serie"]).withColumn("_livre", F.col("peso") > _FLOOR + 1e-5)
+    held = lambda f, *c: f(*[F.when(F.col("_livre"), F.col(x)) for x in c])
+    line = rows.groupBy(*point).agg(
+        F.sum("peso").alias("_soma"), F.min("peso").alias("_menor"), F.max("_v").alias("_escala"), held(F.avg, "_g").alias("_gm"),
+        held(F.avg, "_m").alias("_mm"), held(F.covar_pop, "_g", "_m").alias("_gv"), held(F.var_pop, "_m").alias("_mv"))
+    slope = F.when(F.col("_mv") > 1e-18, F.col("_gv") / F.col("_mv"))
+    gap = (F.col("_g") - F.col("_gm") - slope * (F.col("_m") - F.col("_mm"))) / F.col("_escala")
+    fits = F.coalesce((gap >= -1e-5) & (~F.col("_livre") | (gap <= 1e-5)), F.lit(True))
+    checked = rows.join(line, point).groupBy(*point).agg(
+        F.bool_and(fits).alias("otima"), F.first("_soma").alias("_soma"), F.first("_menor").alias("_menor"))
+    least = curve.groupBy(*_BY).agg(F.min_by("alvo_ix", F.struct("risco", -F.col("retorno"))).alias("_base"))
+    return edge(curve.join(checked, point).join(spread, point).join(least, _BY).select(
+        *point, "alvo", "retorno", (F.abs(F.col("_soma") - 1) < 1e-9).alias("soma_um"),
+        (F.col("_menor") >= _FLOOR - 1e-12).alias("no_piso_ou_acima"),
+        (F.abs(F.col("_risco") - F.col("risco")) <= 1e-9 * F.col("_risco")).alias("risco_dos_pesos"), "otima",
+        (F.col("eficiente") == (F.col("alvo_ix") >= F.col("_base"))).alias("ramo")))
 
 
 @query("f10_frontier_ends", f"""{_FEASIBLE_SQL}, mb AS (SELECT carteira, serie, avg(retorno) * 252 AS media, var_samp(retorno) AS x
@@ -222,8 +257,8 @@ def f10_ends(t: Tables) -> DataFrame:
     1 - {_FLOOR}) AS w FROM m) SELECT carteira, si AS serie, {r('w')} AS peso FROM o
     UNION ALL SELECT carteira, sj, {r('1 - w')} FROM o""")
 def f9_wide(t: Tables) -> DataFrame:
-    """The column-generation path for portfolios too wide for one task, on the same closed form."""
-    return edge(O.wide_min_variance(_pairs(t), _FLOOR, _BY))
+    """From one series at a time, as portfolios too wide for one task are solved, on the same closed form."""
+    return edge(O.min_variance(_pairs(t), _FLOOR, _BY, seeds=0, batch=1))
 
 
 @query("f5_single_portfolio", f"""{_MONTH_SQL}, {COV}, {_MONTH_WEIGHTS} SELECT {r('(SELECT sum(peso * media) FROM mw JOIN mu USING (serie))')}

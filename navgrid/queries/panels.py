@@ -68,7 +68,7 @@ def a5(t: Tables) -> DataFrame:
     return edge(_common(t.prio()), None)
 
 
-@query("a5_common_dates_by_portfolio", f"""WITH {P_SUPPLIER}, n AS (SELECT CAST(s_nationkey AS VARCHAR) AS carteira,
+@query("a5_common_dates_by_portfolio", f"""WITH {P_SUPPLIER}, n AS (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira,
     COUNT(*) AS n FROM supplier GROUP BY 1), k AS (SELECT carteira, data FROM p JOIN n USING (carteira)
     GROUP BY carteira, data, n HAVING COUNT(*) = n) SELECT carteira, {_PANEL} FROM p JOIN k USING (carteira, data)""")
 def a5_by(t: Tables) -> DataFrame:

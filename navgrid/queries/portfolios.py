@@ -5,12 +5,13 @@ from pyspark.sql import DataFrame, functions as F
 from navgrid.operators import panel as P, performance as R, portfolio as H, risk as K
 from navgrid.queries.common import (
     COMMON, COMMON_BY, COV, MEAN, P_MONTH, P_SUPPLIER, RETURNS, RETURNS_BY, Tables, edge, query, r, text,
+    supplier_portfolio,
 )
 from navgrid.queries.panels import _common
 
 _BY = ["carteira"]
-_WEIGHTS_SQL = """w AS (SELECT CAST(s_nationkey AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
-    (abs(s_acctbal) + 1) / sum(abs(s_acctbal) + 1) OVER (PARTITION BY s_nationkey) AS peso FROM supplier)"""
+_WEIGHTS_SQL = """w AS (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
+    (abs(s_acctbal) + 1) / sum(abs(s_acctbal) + 1) OVER (PARTITION BY s_nationkey, s_suppkey // 1000) AS peso FROM supplier)"""
 _HELD_SQL = """held AS (SELECT c.carteira, c.serie, c.data, peso * valor / first_value(valor) OVER
     (PARTITION BY c.carteira, c.serie ORDER BY data) AS posicao FROM c JOIN w USING (carteira, serie)),
     tot AS (SELECT carteira, data, sum(posicao) AS total FROM held GROUP BY 1, 2),
@@ -25,11 +26,11 @@ def panel(t: Tables) -> DataFrame:
 
 def percentages(t: Tables) -> DataFrame:
     stake = F.abs("s_acctbal") + 1
-    rows = t.supplier.select(F.col("s_nationkey").cast("string").alias("carteira"),
+    rows = t.supplier.select(supplier_portfolio(),
                              F.col("s_suppkey").cast("string").alias("serie"), stake.alias("_valor"))
     totals = rows.groupBy("carteira").agg(F.sum("_valor").alias("_total"))
     return P.attach(rows, totals, _BY, "_total").select(
-        "carteira", "serie", (100.0 * F.col("_valor") / F.col("_total")).alias("percentual"))
+        "carteira", "serie", (100.005 * F.col("_valor") / F.col("_total")).alias("percentual"))
 
 
 def weights(t: Tables) -> DataFrame:
@@ -47,8 +48,8 @@ _MONTH_WEIGHTS = """mw AS (SELECT l_returnflag || l_linestatus AS serie, COUNT(*
     FROM lineitem GROUP BY 1)"""
 
 
-@query("f20_equal_weights", """SELECT CAST(s_nationkey AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
-    round_even(100.0 / count(*) OVER (PARTITION BY s_nationkey), 2) + 0.0 AS percentual FROM supplier""")
+@query("f20_equal_weights", """SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
+    round_even(100.0 / count(*) OVER (PARTITION BY s_nationkey, s_suppkey // 1000), 2) + 0.0 AS percentual FROM supplier""")
 def f20(t: Tables) -> DataFrame:
     return edge(H.equal_weights(t.suppliers()))
 
@@ -64,7 +65,7 @@ def a16(t: Tables) -> DataFrame:
 
 
 @query("p26_weight_problems", """
-    WITH x AS (SELECT CAST(s_nationkey AS VARCHAR) AS carteira, CASE WHEN s_acctbal < 1000 THEN NULL
+    WITH x AS (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, CASE WHEN s_acctbal < 1000 THEN NULL
                ELSE s_acctbal / 10000 - 0.2 END AS peso FROM supplier)
     SELECT carteira, round(sum(peso), 6) + 0.0 AS soma, COUNT(*) FILTER (peso IS NULL) AS faltantes,
            COUNT(*) FILTER (peso < 0) AS negativos FROM x GROUP BY 1
@@ -72,7 +73,7 @@ def a16(t: Tables) -> DataFrame:
         OR abs(sum(peso) - 1) > 1e-5 + 1e-8""")
 def p26(t: Tables) -> DataFrame:
     some = t.supplier.where("s_acctbal >= 1000").select(
-        F.col("s_nationkey").cast("string").alias("carteira"), F.col("s_suppkey").cast("string").alias("serie"),
+        supplier_portfolio(), F.col("s_suppkey").cast("string").alias("serie"),
         (F.col("s_acctbal") / 10000 - 0.2).alias("peso"))
     return edge(H.weight_problems(some, t.suppliers()))
 
@@ -132,7 +133,7 @@ def a9(t: Tables) -> DataFrame:
 
 @query("a10_annual_cov", f"WITH {P_MONTH}, {COMMON}, {RETURNS}, {COV} SELECT serie_i, serie_j, {r('cov')} AS cov FROM sg")
 def a10(t: Tables) -> DataFrame:
-    return edge(K.annual_cov(R.returns(_common(t.month()))))
+    return edge(K.mirrored(K.annual_cov(R.returns(_common(t.month())))))
 
 
 @query("j8_cov_by_portfolio", f"""WITH {P_SUPPLIER}, {COMMON_BY}, {RETURNS_BY} SELECT a.carteira AS carteira,
@@ -140,7 +141,7 @@ def a10(t: Tables) -> DataFrame:
     FROM ret a JOIN ret b USING (carteira, data) GROUP BY 1, 2, 3""")
 def j8(t: Tables) -> DataFrame:
     """Blocks of eight series, so that wide portfolios take the many-block path here too."""
-    return edge(K.annual_cov(R.returns(panel(t), _BY), _BY, block=8))
+    return edge(K.mirrored(K.annual_cov(R.returns(panel(t), _BY), _BY, block=8)))
 
 
 @query("f17_fund_points", f"""WITH {P_SUPPLIER}, {COMMON_BY}, {RETURNS_BY} SELECT carteira, serie,
@@ -173,7 +174,7 @@ def j9(t: Tables) -> DataFrame:
            (SELECT COUNT(*) FROM mu WHERE media IS NULL OR NOT isfinite(media)) AS medias""")
 def p24(t: Tables) -> DataFrame:
     rets = R.returns(_common(t.month()))
-    return K.bad_estimates(K.annual_mean(rets), K.annual_cov(rets))
+    return K.bad_estimates(K.annual_mean(rets), K.mirrored(K.annual_cov(rets)))
 
 
 @query("p27_feasibility", f"""WITH {P_SUPPLIER}, {COMMON_BY}, {RETURNS_BY}, n AS (SELECT carteira, COUNT(DISTINCT serie) AS series,

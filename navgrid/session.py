@@ -57,6 +57,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove what materialise() wrote for tables that no later step reads."""
+    for table in tables:
+        spark, hadoop = table.sparkSession, table.sparkSession._jvm.org.apache.hadoop.fs
+        root = f"{shared_dir(spark)}/navgrid/"
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = hadoop.Path(folder)
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            if str(fs.makeQualified(path)).startswith(str(fs.makeQualified(hadoop.Path(root)))):
+                fs.delete(path, True)
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Hash rows by group over all shuffle partitions.
 

@@ -1,139 +1,140 @@
-"""Archive scan: ZIP files of delimited text with changing headers, read in blocks inside Spark tasks.
+"""Archive scan: ZIP files of delimited text whose header changes over the years.
 
-A first, small job lists the members of every archive, a shuffle spreads them, and each task streams one member
-at a time, so an archive with many members is not one task and no file is ever held whole in memory. Only the
-four raw text columns leave Python; all cleaning is done by Spark expressions in ``parse_daily``.
+Reading and meaning are apart. A first, small job lists the members of every archive; the members are dealt over tasks,
+and each task streams one member at a time and hands over blocks: the header and the cells of some rows, all text. What
+a header means is decided once per block by Spark expressions, which then open the rows and parse them.
 """
 
-import unicodedata
+import csv
+import io
+import itertools
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from navgrid.functions import normalise_id, positive, subclass_or_blank, to_day, to_double
+from navgrid.functions import normalise_id, positive, subclass_or_blank, to_day, to_double, trim_all
 from navgrid.schema import DATE_COLUMN, ID_COLUMNS, SUBCLASS_COLUMN, VALUE_COLUMN
+from navgrid.session import materialise
 
-BLOCK_ROWS = 250_000
+BLOCK_ROWS = 20_000  # rows that a task hands over at once
 MEMBERS = "ordem int, arquivo string, url string, membro_ix int, membro string, erro string"
-RAW = ("ordem int, arquivo string, membro_ix int, linha long, cnpj_bruto string, subclasse_bruta string, "
-       "data_bruta string, valor_bruto string, erro string, sem_valor boolean")
-_RAW_COLUMNS = ["ordem", "arquivo", "membro_ix", "linha", "cnpj_bruto", "subclasse_bruta", "data_bruta",
-                "valor_bruto", "erro", "sem_valor"]
+BLOCKS = ("ordem int, arquivo string, membro_ix int, primeira long, cabecalho array<string>, linhas array<array<string>>, "
+          "erro string")
+MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+           "None", "n/a", "nan", "null")  # fixed values: cells that count as absent
+
+def arrow_uri(url: str) -> str:
+    """A storage address of Hadoop as Arrow writes it."""
+    for old, new in (("s3a://", "s3://"), ("s3n://", "s3://")):
+        url = url.replace(old, new, 1) if url.startswith(old) else url
+    return "file://" + url[len("file:"):] if url.startswith("file:/") and not url.startswith("file://") else url
 
 
 def open_shared(url: str):
     """Open a file of any storage that Arrow reaches (local, HDFS, S3, GCS)."""
     from pyarrow import fs
-    for old, new in (("s3a://", "s3://"), ("s3n://", "s3://")):
-        url = url.replace(old, new, 1) if url.startswith(old) else url
-    if url.startswith("file:/") and not url.startswith("file://"):
-        url = "file://" + url[len("file:"):]
-    system, path = fs.FileSystem.from_uri(url)
+    system, path = fs.FileSystem.from_uri(arrow_uri(url))
     return system.open_input_file(path)
 
 
-def normalise_header(name: object) -> str:
-    """Upper case without accents or outer blanks."""
-    text = unicodedata.normalize("NFKD", str(name).strip().upper())
-    return "".join(c for c in text if not unicodedata.combining(c))
+def column_name(cell: Column) -> Column:
+    """A header cell as the accepted names are written: capitals, no accents (of Latin-1 letters), no outer blanks."""
+    return F.translate(F.upper(trim_all(cell)), "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY")
 
 
-def resolve_header(columns: list[str]) -> tuple[str, bool, bool]:
-    """Identifier column, and whether subclass and value columns exist; an unknown layout is an error."""
-    found = next((c for c in ID_COLUMNS if c in columns), None)
-    if found is None or DATE_COLUMN not in columns:
-        raise ValueError(f"Unknown layout: {sorted(columns)}")
-    return found, SUBCLASS_COLUMN in columns, VALUE_COLUMN in columns
+def place_of(header: Column, *accepted: str) -> Column:
+    """Place from 1 of the first accepted name that the header has; null if it has none."""
+    return F.coalesce(*[F.nullif(F.array_position(header, name), F.lit(0).cast("long")) for name in accepted])
 
 
-def list_members(catalog: DataFrame, opener: Callable = open_shared) -> DataFrame:
-    """One row per CSV member; an unreadable archive or one without CSV gives a row with ``erro``."""
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for ordem, arquivo, url in frame[["ordem", "arquivo", "url"]].itertuples(index=False):
-                try:
-                    with opener(url) as raw, zipfile.ZipFile(raw) as pack:
-                        names = [n for n in pack.namelist() if n.lower().endswith(".csv")]
-                    if not names:
-                        raise ValueError("No CSV in the archive.")
-                    rows = [(ordem, arquivo, url, i, n, None) for i, n in enumerate(names)]
-                except Exception as problem:  # becomes the ledger entry of this file
-                    rows = [(ordem, arquivo, url, -1, None, f"{arquivo}: {problem}")]
-                yield pd.DataFrame(rows, columns=["ordem", "arquivo", "url", "membro_ix", "membro", "erro"])
-
-    return catalog.select("ordem", "arquivo", "url").mapInPandas(members, MEMBERS)
-
-
-def read_members(members: DataFrame, opener: Callable = open_shared, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Raw text rows of every member, plus one row with ``erro`` for each member that fails."""
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def members_of(catalog: DataFrame, opener: Callable = open_shared) -> DataFrame:
+    """One row per CSV member; an archive that cannot be read or has none gives a row with ``erro``."""
+    def listed(arquivo: str, url: str) -> list[tuple]:
+        try:
+            with opener(url) as raw, zipfile.ZipFile(raw) as pack:
+                found = [info.filename for info in pack.infolist() if info.filename[-4:].lower() == ".csv"]
+        except Exception as problem:  # becomes the ledger entry of this file
+            return [(-1, None, f"{arquivo}: {problem}")]
+        return [(i, name, None) for i, name in enumerate(found)] or [(-1, None, f"{arquivo}: No CSV in the archive.")]
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                start = dict(ordem=row.ordem, arquivo=row.arquivo, membro_ix=row.membro_ix)
-                if row.erro is not None:
-                    yield _problem(start, row.erro)
-                    continue
-                try:
-                    with opener(row.url) as raw, zipfile.ZipFile(raw) as pack, pack.open(row.membro) as text:
-                        for block in pd.read_csv(text, sep=";", dtype=str, encoding="latin-1", low_memory=False,
-                                                 chunksize=block_rows):
-                            yield _raw_block(block, start)
-                except Exception as problem:
-                    yield _problem(start, f"{row.arquivo}: {problem}")
-
-    return members.mapInPandas(read, RAW)
-
-
-def _problem(start: dict, text: str) -> pd.DataFrame:
-    row = {**dict.fromkeys(_RAW_COLUMNS), **start, "linha": -1, "erro": text}
-    return pd.DataFrame([row], columns=_RAW_COLUMNS)
-
-
-def _raw_block(block: pd.DataFrame, start: dict) -> pd.DataFrame:
-    first = int(block.index[0]) if isinstance(block.index, pd.RangeIndex) and len(block) else 0
-    block.columns = [normalise_header(c) for c in block.columns]
-    key, has_subclass, has_value = resolve_header(list(block.columns))
-    return pd.DataFrame({
-        **start, "linha": range(first, first + len(block)), "cnpj_bruto": block[key].to_numpy(),
-        "subclasse_bruta": block[SUBCLASS_COLUMN].to_numpy() if has_subclass else None,
-        "data_bruta": block[DATE_COLUMN].to_numpy(),
-        "valor_bruto": block[VALUE_COLUMN].to_numpy() if has_value else None,
-        "erro": None, "sem_valor": not has_value})[_RAW_COLUMNS]
+            rows = [(*file, *member) for file in frame.itertuples(index=False, name=None) for member in listed(*file[1:])]
+            yield pd.DataFrame(rows, columns=["ordem", "arquivo", "url", "membro_ix", "membro", "erro"])
+
+    return catalog.select("ordem", "arquivo", "url").mapInPandas(work, MEMBERS)
+
+
+def blocks_of(members: DataFrame, opener: Callable = open_shared, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Header and rows of every member, in blocks; a member that fails ends with a block that only has ``erro``."""
+    def blocks(member) -> Iterator[tuple]:
+        with opener(member.url) as raw, zipfile.ZipFile(raw) as pack, pack.open(member.membro) as data:
+            lines = filter(None, csv.reader(io.TextIOWrapper(data, encoding="latin-1", newline=""), delimiter=";"))
+            header, first = next(lines, []), 0
+            while rows := list(itertools.islice(lines, block_rows)):
+                if (longest := max(map(len, rows))) > len(header):
+                    raise ValueError(f"a row of {longest} cells under a header of {len(header)}")
+                yield first, header, rows, None
+                first += len(rows)
+            if not first:
+                yield 0, header, [], None
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for member in (m for frame in frames for m in frame.itertuples(index=False)):
+            start = (member.ordem, member.arquivo, member.membro_ix)
+            try:
+                for block in blocks(member) if member.erro is None else [(0, None, None, member.erro)]:
+                    yield pd.DataFrame([(*start, *block)], columns=_BLOCK)
+            except Exception as problem:  # becomes the ledger entry of this file
+                yield pd.DataFrame([(*start, 0, None, None, f"{member.arquivo}: {problem}")], columns=_BLOCK)
+
+    return members.mapInPandas(work, BLOCKS)
+
+
+_BLOCK = ["ordem", "arquivo", "membro_ix", "primeira", "cabecalho", "linhas", "erro"]
 
 
 def read_archives(catalog: DataFrame, opener: Callable = open_shared, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Raw rows of all archives of a catalog with a load order column ``ordem``.
+    """Blocks of all archives of a catalog with a load order column ``ordem``.
 
-    The explicit partition number keeps the adaptive planner from merging the tiny member rows into few tasks.
+    As many tasks as there are archives list members, and as many as there are members read them: explicit numbers, so
+    that the adaptive planner does not merge the tiny rows of either list into few tasks.
     """
-    spark = catalog.sparkSession
-    files = catalog.count()
-    tasks = max(1, min(50_000, 4 * files))
-    spread = catalog.repartition(max(1, min(1_000, files)), "url")
-    return read_members(list_members(spread, opener).repartition(tasks, "url", "membro_ix"), opener, block_rows)
+    archives = max(1, catalog.count())
+    members = materialise(members_of(catalog.repartition(archives, "url"), opener))
+    return blocks_of(members.repartition(max(1, members.count()), "url", "membro_ix"), opener, block_rows)
 
 
-def parse_daily(raw: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Clean rows of the wanted funds and the error rows, in one pass over the archives.
+def parse_daily(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Clean rows of the wanted funds and the error rows of the files, in one pass over the archives.
 
-    The fund filter comes before dates and numbers are parsed. A file without a value column fails only when it
-    has a row of a wanted fund.
+    The fund filter is an inner join before dates and numbers are parsed, on rows that have a valid identifier. A file
+    without a value column fails only when it has a row of a wanted fund: that row carries the error, as a block without
+    rows carries the error of its member.
     """
-    mine = wanted.select(F.col("cnpj").alias("_id"), F.lit(True).alias("_meu"))
-    lacking = F.when(F.col("sem_valor"), F.concat("arquivo", F.lit(f": no column {VALUE_COLUMN}")))
-    kept = (raw.withColumn("_id", normalise_id("cnpj_bruto")).join(mine, "_id", "left")
-            .where(F.col("erro").isNotNull() | F.col("_meu")))
-    typed = kept.select("ordem", "arquivo", "membro_ix", "linha", F.col("_id").alias("cnpj"),
-                        subclass_or_blank("subclasse_bruta").alias("id_subclasse"),
-                        to_day("data_bruta").alias("data"), to_double("valor_bruto").alias("valor_cota"),
-                        F.coalesce("erro", lacking).alias("erro"))
+    names = F.transform("cabecalho", column_name)
+    placed = (blocks.withColumn("_nomes", names)
+              .withColumns({"_cnpj": place_of(F.col("_nomes"), *ID_COLUMNS), "_sub": place_of(F.col("_nomes"), SUBCLASS_COLUMN),
+                            "_data": place_of(F.col("_nomes"), DATE_COLUMN), "_valor": place_of(F.col("_nomes"), VALUE_COLUMN)}))
+    unknown = F.concat("arquivo", F.lit(": no identifier or no date among the columns "), F.array_join("_nomes", ", "))
+    checked = placed.withColumn("erro", F.coalesce("erro", F.when(F.col("_cnpj").isNull() | F.col("_data").isNull(), unknown)))
+    opened = checked.withColumn("_linhas", F.when(F.col("erro").isNull(), F.col("linhas"))).select(
+        "ordem", "arquivo", "membro_ix", "primeira", "erro", "_cnpj", "_sub", "_data", "_valor",
+        F.posexplode_outer("_linhas").alias("_i", "_celulas"))
+
+    def cell(place: str) -> Column:
+        text = F.get("_celulas", (F.col(place) - 1).cast("int"))
+        return F.when(~text.isin(*MISSING), text)
+
+    # Blocks with an error pass the join by a key of their own.
+    key = F.when(F.col("erro").isNotNull(), F.lit("erro")).otherwise(normalise_id(cell("_cnpj")))
+    keys = wanted.select("cnpj").union(wanted.sparkSession.createDataFrame([("erro",)], "cnpj string"))
+    mine = opened.withColumn("cnpj", key).where("cnpj IS NOT NULL").join(keys, "cnpj")
+    lacking = F.when(F.col("_valor").isNull(), F.concat("arquivo", F.lit(f": no column {VALUE_COLUMN}")))
+    typed = mine.select("ordem", "arquivo", "membro_ix", (F.col("primeira") + F.col("_i")).alias("linha"), "cnpj",
+                        subclass_or_blank(cell("_sub")).alias("id_subclasse"), to_day(cell("_data")).alias("data"),
+                        to_double(cell("_valor")).alias("valor_cota"), F.coalesce("erro", lacking).alias("erro"))
     valid = F.col("data").isNotNull() & F.col("valor_cota").isNotNull() & positive("valor_cota")
     return typed.where(F.col("erro").isNotNull() | valid)
-
-
-def file_errors(parsed: DataFrame) -> DataFrame:
-    """First error text of each failing file."""
-    return (parsed.where(F.col("erro").isNotNull()).groupBy("ordem", "arquivo")
-            .agg(F.min_by("erro", "membro_ix").alias("erro")))

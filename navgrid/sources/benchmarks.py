@@ -3,10 +3,12 @@
 from collections.abc import Callable, Sequence
 from datetime import date
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navgrid.operators.benchmark import clean_series, compound_closes, compound_rates
 from navgrid.schema import BENCHMARKS, CLOSES_BENCHMARK, NO_BENCHMARK, PANEL, RATES_BENCHMARK
+from navgrid.session import materialise
 
 
 class BenchmarkError(RuntimeError):
@@ -55,23 +57,32 @@ def read_closes(df: DataFrame, start: date, end: date, *, when: str = "data", se
 
 def load_benchmark(spark: SparkSession, choice: str, tables: dict[str, Callable[[], DataFrame]], start: date,
                    end: date) -> DataFrame | None:
-    """Base-100 series of the chosen benchmark; the choice of none gives an empty frame."""
+    """Base-100 series of the chosen benchmark; the choice of none gives an empty frame.
+
+    The reduced series (one row per day) is written once, so a table is scanned once. Whatever goes wrong while a
+    table is read becomes a BenchmarkError.
+    """
     if choice == NO_BENCHMARK:
         return spark.createDataFrame([], PANEL)
     if choice not in BENCHMARKS:
         raise ValueError(f"Unknown benchmark: {choice}")
-    series = (read_rates if choice == RATES_BENCHMARK else read_closes)(tables[choice](), start, end)
-    lowest, days = series.agg(F.min("valor"), F.count("valor")).first()
+    check_range(start, end)
+    if choice not in tables:
+        raise BenchmarkError(f"No table for {BENCHMARKS[choice][0]}.")
+    try:
+        series = materialise((read_rates if choice == RATES_BENCHMARK else read_closes)(tables[choice](), start, end))
+    except (PySparkException, OSError, KeyError) as problem:
+        raise BenchmarkError(f"{BENCHMARKS[choice][0]} cannot be read: {problem}") from problem
+    lowest, days, positive_days = series.agg(F.min("valor"), F.count("valor"), F.count_if(F.col("valor") > 0)).first()
     if not days:
         raise BenchmarkError(f"No valid observations for {BENCHMARKS[choice][0]}.")
     if choice == RATES_BENCHMARK:
         if lowest <= -100:
             raise BenchmarkError(f"{BENCHMARKS[choice][0]} has a daily rate of -100% or less.")
         return compound_rates(series)
-    closes = compound_closes(series)
-    if closes.isEmpty():
+    if not positive_days:
         raise BenchmarkError(f"{BENCHMARKS[choice][0]} has no positive closes.")
-    return closes
+    return compound_closes(series)
 
 
 def try_benchmark(spark: SparkSession, choice: str, tables: dict[str, Callable[[], DataFrame]], start: date,

@@ -8,23 +8,30 @@ from navgrid.functions import normalise_id, trim_all
 from navgrid.operators.tables import without_keys
 from navgrid.schema import EXCLUDED_IDS
 
-LISTED = 100  # faulty entries named in an error message
-
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """The sheet as (Nome, CNPJ, linha); header names are trimmed and ``linha`` counts from 2, below the header.
+    """The sheet as (Nome, CNPJ, linha); header names are trimmed.
 
-    Lines are numbered while reading: one sheet is one CSV file read as a whole (a register, not a fact table).
+    ``linha`` is text: the line of a CSV file, which counts from 2 below the header, or the file and row of a Parquet
+    sheet. A CSV file is read as a whole in one task (it may have line breaks inside quotes), so its rows number
+    without gaps; a folder of them numbers each file by its own name.
     """
-    if path.lower().endswith(".parquet"):
+    parquet = path.lower().endswith(".parquet")
+    if parquet:
         raw = spark.read.parquet(path)
     else:
         raw = spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=True)
-    sheet = raw.toDF(*[c.strip() for c in raw.columns])
+    sheet = raw.select(*[F.col(f"`{c}`").alias(c.strip()) for c in raw.columns], F.col("_metadata.file_name").alias("_arquivo"),
+                       F.monotonically_increasing_id().alias("_id"))
     lacking = {"Nome", "CNPJ"} - set(sheet.columns)
     if lacking:
         raise ValueError("The sheet lacks the columns: " + ", ".join(sorted(lacking)))
-    return sheet.select("Nome", "CNPJ").na.drop("all").withColumn("linha", F.monotonically_increasing_id() + 2)
+    firsts = sheet.groupBy("_arquivo").agg(F.min("_id").alias("_primeira"))
+    several = firsts.limit(2).count() > 1
+    line = (F.col("_id") - F.col("_primeira") + (1 if parquet else 2)).cast("string")
+    line = F.concat("_arquivo", F.lit(":"), line) if parquet or several else line
+    return (sheet.join(F.broadcast(firsts), "_arquivo").where("Nome IS NOT NULL OR CNPJ IS NOT NULL")
+            .select("Nome", "CNPJ", line.alias("linha")))
 
 
 def invalid_ids(sheet: DataFrame) -> DataFrame:
@@ -45,11 +52,12 @@ def read_register(sheet: DataFrame, excluded: Iterable[str] = EXCLUDED_IDS) -> D
     """Validated (cnpj, nome); an empty sheet, an invalid or a repeated identifier is an error."""
     if sheet.isEmpty():
         raise ValueError("The sheet has no funds.")
-    bad = invalid_ids(sheet).orderBy("linha").select("linha").take(LISTED)
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("linha").try_cast("long").alias("n"), "linha")))
+    bad = invalid_ids(sheet).agg(F.array_join(F.transform(in_order, lambda x: x["linha"]), ", ").alias("linhas")).first()["linhas"]
     if bad:
-        raise ValueError("Invalid identifier in line(s): " + ", ".join(str(r["linha"]) for r in bad))
+        raise ValueError(f"Invalid identifier in line(s): {bad}")
     register = clean_register(sheet)
-    twice = duplicate_ids(register).orderBy("cnpj").select("cnpj").take(LISTED)
+    twice = duplicate_ids(register).agg(F.array_join(F.array_sort(F.collect_list("cnpj")), ", ").alias("quais")).first()["quais"]
     if twice:
-        raise ValueError("Repeated identifiers: " + ", ".join(r["cnpj"] for r in twice))
+        raise ValueError(f"Repeated identifiers: {twice}")
     return without_keys(register, excluded)

@@ -2,13 +2,13 @@
 
     root/fundos/versao=N          root/cargas/versao=N
     root/cotas_diarias/versao=N/mes=YYYY-MM
+    root/indice/versao=N          which files and funds each month of that version holds
     root/manifesto/versao=N       which version holds each table and each month; written last
 
 A version counts once its manifest is there, so an interrupted load leaves the previous version in force and
-can simply run again. One writer at a time.
+can simply run again. ``vacuum`` removes what no current entry refers to. One writer at a time.
 """
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from navgrid.operators.coverage import coverage
@@ -16,6 +16,8 @@ from navgrid.schema import LEDGER, QUOTES, REGISTER
 
 _SMALL = {"fundos": REGISTER, "cargas": LEDGER}
 _QUOTES = "cotas_diarias"
+_INDEX = "indice"
+_INDEX_ROW = "mes string, tipo string, nome string"
 _MANIFEST = "tabela string, mes string, versao_dados int"
 
 
@@ -40,16 +42,64 @@ class Store:
         return self._known[0], dict(self._known[1])
 
     def _read_manifest(self) -> tuple[int, dict[tuple[str, str | None], int]]:
-        try:
-            commits = self.spark.read.schema(_MANIFEST + ", versao int").parquet(f"{self.root}/manifesto")
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return 0, {}
-            raise
-        version = commits.agg(F.max("versao")).first()[0] or 0
-        rows = commits.where(F.col("versao") == version).collect()
+        version = max(self._versions("manifesto"), default=0)
+        if not version:
+            return 0, {}
+        rows = self.spark.read.schema(_MANIFEST).parquet(self._path("manifesto", version)).collect()
         return version, {(r["tabela"], r["mes"]): r["versao_dados"] for r in rows}
 
+    def _versions(self, table: str) -> list[int]:
+        """Versions of a table whose folder is complete, from the listing alone."""
+        folder, fs = self._folder(f"{self.root}/{table}")
+        if not fs.exists(folder):
+            return []
+        found = [status.getPath() for status in fs.listStatus(folder) if status.getPath().getName().startswith("versao=")]
+        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return [int(p.getName().split("=")[1]) for p in done]
+
+    def _folder(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def vacuum(self) -> list[str]:
+        """Remove versions and months that the current manifest does not refer to; returns the removed folders.
+
+        Readers of older versions have to be done.
+        """
+        version, entries = self.manifest()
+        kept, removed = set(entries.items()), []
+        for table in (*_SMALL, _QUOTES, _INDEX, "manifesto"):
+            parent, fs = self._folder(f"{self.root}/{table}")
+            for status in fs.listStatus(parent) if fs.exists(parent) else ():
+                folder = status.getPath()
+                held = int(folder.getName().split("=")[1])
+                if table == "manifesto":
+                    stale = [folder] if held != version else []
+                elif table in _SMALL:
+                    stale = [folder] if entries.get((table, None)) != held else []
+                elif table == _INDEX:
+                    stale = [folder] if not any(t == _QUOTES and v == held for (t, _), v in kept) else []
+                else:
+                    months = [m.getPath() for m in fs.listStatus(folder) if m.isDirectory()]
+                    stale = [m for m in months if ((table, m.getName().split("=")[1]), held) not in kept]
+                    stale = [folder] if len(stale) == len(months) else stale
+                for path in stale:
+                    fs.delete(path, True)
+                    removed.append(str(path))
+        return removed
+
+    def months_with(self, sources: list[str] = (), funds: list[str] = ()) -> list[str]:
+        """Months that hold rows of these files or funds, from the index: no quote is scanned. Bounded by the calendar."""
+        _, entries = self.manifest()
+        held = {(month, v) for (table, month), v in entries.items() if table == _QUOTES}
+        if not held or not (sources or funds):
+            return []
+        index = (self.spark.read.schema(_INDEX_ROW + ", versao int").option("basePath", f"{self.root}/{_INDEX}")
+                 .parquet(*sorted({self._path(_INDEX, v) for _, v in held})))
+        names = self.spark.createDataFrame([("arquivo_origem", s) for s in sources] + [("cnpj", f) for f in funds], "tipo string, nome string")
+        found = index.join(names, ["tipo", "nome"], "left_semi").select("mes", "versao").distinct().collect()
+        return sorted({r["mes"] for r in found if (r["mes"], r["versao"]) in held})
+
     def read(self, table: str, months: list[str] | None = None) -> DataFrame:
         """Current content; for the quotes optionally only some months (others are not listed or scanned)."""
         _, entries = self.manifest()
@@ -71,9 +121,9 @@ class Store:
         months = [m for (t, m), _ in self.manifest()[1].items() if t == _QUOTES and first <= m <= last]
         return self.read(_QUOTES, months)
 
-    def commit(self, register: DataFrame, ledger: DataFrame, quotes: DataFrame | None = None,
+    def commit(self, register: DataFrame | None = None, ledger: DataFrame | None = None, quotes: DataFrame | None = None,
                months: list[str] = ()) -> int:
-        """Write a version. ``quotes`` replaces the listed months; all other months keep their files.
+        """Write a version. ``quotes`` replaces the listed months; other months, and tables not given, keep their files.
 
         Overwriting touches only what an interrupted attempt at the same, never committed version left behind.
 
@@ -82,6 +132,8 @@ class Store:
         version, entries = self.manifest()
         version += 1
         for table, frame in (("fundos", register), ("cargas", ledger)):
+            if frame is None:
+                continue
             frame.select(*_SMALL[table].fieldNames()).write.mode("overwrite").parquet(self._path(table, version))
             entries[table, None] = version
         if quotes is not None and months:
@@ -92,7 +144,11 @@ class Store:
              .parquet(self._path(_QUOTES, version)))
             layout = T.StructType([*QUOTES.fields, T.StructField("mes", T.StringType())])
             written = self.spark.read.schema(layout).parquet(self._path(_QUOTES, version))
-            for row in written.select("mes").distinct().collect():
+            kinds = [F.struct(F.lit(c).alias("tipo"), F.col(c).alias("nome")) for c in ("arquivo_origem", "cnpj")]
+            index = written.select("mes", "arquivo_origem", "cnpj").distinct().select("mes", F.explode(F.array(*kinds)).alias("k"))
+            index.select("mes", "k.*").distinct().write.mode("overwrite").parquet(self._path(_INDEX, version))
+            listed = self.spark.read.schema(_INDEX_ROW).parquet(self._path(_INDEX, version))
+            for row in listed.select("mes").distinct().collect():
                 entries[_QUOTES, row["mes"]] = version
         rows = [(table, month, held) for (table, month), held in entries.items()]
         (self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite")

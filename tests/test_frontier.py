@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from navgrid.operators import frontier as E, optimise as O, risk as K
 
@@ -78,21 +79,23 @@ def returns(spark):
 
 def test_covariance_in_blocks(returns):
     for block in (512, 8):
-        got = {v[:3]: v[3] for v in values(K.annual_cov(returns, ["carteira"], block=block))}
+        half = K.annual_cov(returns, ["carteira"], block=block)
+        assert half.count() == 40 * 41 // 2 + 7 * 8 // 2 and not half.where("serie_i > serie_j").count()
+        got = {v[:3]: v[3] for v in values(K.mirrored(half))}
         assert len(got) == 40 * 40 + 7 * 7
         for p, (n, days, seed) in {"p": (40, 60, 5), "q": (7, 90, 6)}.items():
             cov = problem(n, days, seed)[2]
             have = [[got[p, f"{p}{i:03d}", f"{p}{j:03d}"] for j in range(n)] for i in range(n)]
             assert np.allclose(have, cov, rtol=1e-10, atol=1e-15)
     single = K.annual_cov(returns.where("carteira = 'q'").drop("carteira"), block=2)
-    assert single.count() == 49
+    assert single.count() == 28
 
 
 @pytest.mark.parametrize("floor", [0.0, 0.002])
-def test_wide_portfolios_get_the_dense_answer(returns, floor):
-    """40 series on 60 dates: a size limit of 10 sends one portfolio through column generation."""
-    for limit in (512, 10):
-        w = {v[:2]: v[2] for v in values(O.min_variance(returns, floor, ["carteira"], dense=limit))}
+def test_column_generation_gets_the_dense_answer(returns, floor):
+    """40 series on 60 dates, from all columns at once and from few columns that others join."""
+    for seeds, batch in ((128, 64), (2, 5)):
+        w = {v[:2]: v[2] for v in values(O.min_variance(returns, floor, ["carteira"], seeds=seeds, batch=batch))}
         assert len(w) == 47
         for p, (n, days, seed) in {"p": (40, 60, 5), "q": (7, 90, 6)}.items():
             _, mean, cov = problem(n, days, seed)
@@ -102,13 +105,16 @@ def test_wide_portfolios_get_the_dense_answer(returns, floor):
             assert have @ cov @ have == pytest.approx(best @ cov @ best, rel=1e-7)
 
 
-def test_wide_curve_equals_dense_curve(returns):
-    small = {v[:2]: v[2:] for v in values(O.frontier(returns, 5, 0.002, ["carteira"]), "carteira", "alvo_ix", "alvo", "retorno", "risco")}
-    wide = O.frontier(returns, 5, 0.002, ["carteira"], dense=10).persist()
-    got = {v[:2]: v[2:] for v in values(wide, "carteira", "alvo_ix", "alvo", "retorno", "risco")}
-    assert got.keys() == small.keys() and len(got) == 10
+def test_curve_does_not_depend_on_the_first_columns(returns):
+    small = O.frontier(returns, 5, 0.002, ["carteira"])
+    wide = O.frontier(returns, 5, 0.002, ["carteira"], seeds=2, batch=5)
+    want, got = ({v[:2]: v[2:] for v in values(x, "carteira", "alvo_ix", "alvo", "retorno", "risco")} for x in (small, wide))
+    assert got.keys() == want.keys() and len(got) == 10
     for key, row in got.items():
-        assert row == pytest.approx(small[key], rel=1e-6)
+        assert row == pytest.approx(want[key], rel=1e-6)
+    held = [{(r["carteira"], r["alvo_ix"]): {a["serie"] for a in r["acima"] if a["excesso"] > 1e-5} for r in x.collect()} for x in (small, wide)]
+    assert held[0] == held[1] and max(map(len, held[0].values())) < 40
+    assert "Pandas" not in wide._jdf.queryExecution().toString()  # solved once, then a table
     weights = O.frontier_weights(wide, returns, 0.002, ["carteira"])
     assert weights.count() == 5 * 47
     assert all(v[1] == pytest.approx(1) for v in values(weights.groupBy("carteira", "alvo_ix").sum("peso"), "alvo_ix", "sum(peso)"))
@@ -116,18 +122,29 @@ def test_wide_curve_equals_dense_curve(returns):
 
 def test_single_wide_portfolio(returns):
     own = returns.where("carteira = 'p'").drop("carteira")
-    w = np.array([v[1] for v in values(O.min_variance(own, 0.0, dense=10))])
+    w = np.array([v[1] for v in values(O.min_variance(own, 0.0, seeds=2))])
     _, mean, cov = problem(40, 60, 5)
     best = O.dense_min_variance(mean, cov, 0.0)
     assert w @ cov @ w == pytest.approx(best @ cov @ best, rel=1e-7)
-    assert O.frontier(own, 3, 0.0, dense=10).count() == 3
+    assert O.frontier(own, 3, 0.0, seeds=2).count() == 3
 
 
 def test_floor_must_fit(returns):
     with pytest.raises(ValueError):
         O.min_variance(returns, -0.1, ["carteira"])
+    own = returns.where("carteira = 'p'").drop("carteira")
+    for job in (O.min_variance, O.frontier):
+        assert {r["carteira"] for r in job(returns, floor=0.05, by=["carteira"]).select("carteira").collect()} == {"q"}
+        with pytest.raises(ValueError, match="does not fit"):
+            job(own, floor=0.05)
+    mean = K.annual_mean(returns, ["carteira"]).withColumn("posicao", F.expr("cast(substring(serie, 2) as int)"))
+    assert {r["carteira"] for r in E.corner(mean, 0.05, by=["carteira"]).collect()} == {"q"}
     with pytest.raises(Exception, match="does not fit"):
-        O.min_variance(returns, 0.05, ["carteira"]).collect()
+        E.corner(mean.where("carteira = 'p'").drop("carteira"), 0.05).collect()
+    one = returns.where("serie = 'q001'").drop("carteira")
+    with pytest.raises(RuntimeError):
+        O.frontier(one)
+    assert [v[1] for v in values(O.min_variance(one))] == pytest.approx([1.0])
     reasons = {r["carteira"]: r["motivo"] for r in K.feasibility(returns, ["carteira"], 0.05).collect()}
     assert "floor" in reasons["p"] and reasons["q"] is None
 
@@ -180,8 +197,8 @@ def test_pareto_set_against_brute_force(spark, kind):
         if best[a] > bar:
             want.add((a, best[a]))
             bar = best[a]
-    for slices in (4, 64):
-        assert set(values(E.pareto_set(df, slices), "risco", "retorno")) == want
+    for slice_rows in (100_000, 20):
+        assert set(values(E.pareto_set(df, slice_rows), "risco", "retorno")) == want
 
 
 def test_buckets_and_efficient_flag(spark):

@@ -5,7 +5,7 @@ import pytest
 from conftest import values
 
 from navgrid.plans.load import LoadConfig, LoadError, check_period, final_report, run_load
-from navgrid.sources.archives import normalise_header, resolve_header
+from navgrid.sources.archives import column_name, place_of
 from navgrid.sources.store import Store
 
 OLD = "CNPJ_FUNDO;DT_COMPTC;VL_TOTAL;VL_QUOTA\n"
@@ -55,12 +55,12 @@ def q(fund, day, value, source, sub=""):
     return (fund.zfill(14), sub, day, value, f"inf_diario_fi_{source}.zip")
 
 
-def test_headers():
-    assert normalise_header("  Dt_cômptç ") == "DT_COMPTC"
-    assert resolve_header(["CNPJ_FUNDO", "CNPJ_FUNDO_CLASSE", "DT_COMPTC"]) == ("CNPJ_FUNDO_CLASSE", False, False)
-    for columns in (["CNPJ_FUNDO"], ["DT_COMPTC", "VL_QUOTA"]):
-        with pytest.raises(ValueError):
-            resolve_header(columns)
+def test_headers(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(["  Dt_cômptç ", "CNPJ_FUNDO", "CNPJ_FUNDO_CLASSE"],)], "h array<string>")
+    names = F.transform("h", column_name)
+    row = df.select(names.alias("n"), place_of(names, "CNPJ_FUNDO_CLASSE", "CNPJ_FUNDO").alias("a"), place_of(names, "VL_QUOTA").alias("b")).first()
+    assert row["n"][0] == "DT_COMPTC" and (row["a"], row["b"]) == (3, None)
 
 
 def test_header_variants_tokens_and_dirty_values(world):
@@ -200,6 +200,27 @@ def test_a_reloaded_file_without_rows_empties_its_month(world):
     assert world.ledger()["202101"] == ("OK", 0)
 
 
+def test_the_register_counts_before_the_files(world):
+    with pytest.raises(RuntimeError, match="No daily-quote archives"):
+        world.load()
+    assert values(world.store.read("fundos"), "nome") == [("Dois",), ("Um",)]
+
+
+def test_months_come_from_the_index_and_old_versions_go(world, spark):
+    for month in ("202101", "202102", "202103"):
+        world.archive(month, a_csv=OLD + f"1;{month[:4]}-{month[4:]}-04;5;1\n")
+    world.load()
+    assert world.store.months_with(["inf_diario_fi_202102.zip"]) == ["2021-02"] and world.store.months_with(funds=["1".zfill(14)]) == [
+        "2021-01", "2021-02", "2021-03"]
+    before = world.quotes()
+    world.archive("202102", a_csv=OLD + "1;2021-02-05;5;2\n")
+    world.load(force=True, start="2021-02", end="2021-02")
+    removed = world.store.vacuum()
+    assert any("mes=2021-02" in p for p in removed) and not any("mes=2021-01" in p for p in removed)
+    assert len(world.quotes()) == len(before) == 3 and q("1", "2021-02-05", 2.0, "202102") in world.quotes()
+    assert world.store.vacuum() == []
+
+
 def test_parameters(world):
     for bad in ("2021", "1999-01", "2021-13"):
         with pytest.raises(ValueError):

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from navgrid.operators import portfolio as H
 from navgrid.plans.portfolio import efficient_frontier, simulate
@@ -106,7 +107,7 @@ def test_fund_performance(spark):
                                   "data string, valor double, seq int").selectExpr("cast(data as timestamp) as data", "valor", "seq")
     span = (date(2024, 1, 1), date(2024, 1, 31))
     got = fund_performance(quotes, names, ["A", "B"], *span, benchmark="CDI", tables={"CDI": lambda: rates})
-    assert [(r["serie"], str(r["inicio_efetivo"]), round(r["rentabilidade"], 9)) for r in got.summary.collect()] == [
+    assert [(r["nome"], str(r["inicio_efetivo"]), round(r["rentabilidade"], 9)) for r in got.summary.collect()] == [
         ("Fundo A", "2024-01-02", 1.0), ("Benchmark: CDI", "2024-01-03", 0.1), ("Fundo B", "2024-01-02", 0.0)]
     assert tuple(str(v) for v in got.metrics.first()) == ("2024-01-02", "2024-01-04", "2")
     broken = fund_performance(quotes, names, ["A"], *span, benchmark="CDI", tables={"CDI": lambda: rates.limit(0)})
@@ -114,4 +115,13 @@ def test_fund_performance(spark):
     with pytest.raises(ValueError, match="C"):
         fund_performance(quotes, names, ["A", "C"], *span)
     with pytest.raises(ValueError, match="too few"):
-        fund_performance(quotes, names, ["A"], date(2024, 1, 1), date(2024, 1, 1))
+        fund_performance(quotes, names, ["A"], date(2024, 1, 4), date(2024, 1, 9))
+    for last in (date(2024, 1, 1), date(2023, 1, 1)):
+        with pytest.raises(ValueError, match="before the last"):
+            fund_performance(quotes, names, ["A"], date(2024, 1, 1), last)
+    same = names.withColumn("nome", F.lit("Um nome"))
+    assert {(r["serie"], r["nome"], r["rentabilidade"]) for r in fund_performance(quotes, same, ["A", "B"], *span).summary.collect()} == {
+        ("A", "Um nome", 1.0), ("B", "Um nome", 0.0)}
+    for tables in ({}, {"CDI": lambda: spark.read.parquet("/nowhere/at/all")}, {"CDI": lambda: rates.drop("valor")}):
+        got = fund_performance(quotes, names, ["A"], *span, benchmark="CDI", tables=tables)
+        assert got.benchmark_message and got.summary.count() == 1
