@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from navgrid.operators.panel import attach, series_window
 from navgrid.schema import TRADING_DAYS, WEIGHT_EPSILON
+from navgrid.session import materialise
 
 PORTFOLIO = ("carteira",)
 
@@ -67,8 +68,8 @@ def holdings(panel: DataFrame, weights: DataFrame, by: Sequence[str] = PORTFOLIO
 
 def buy_and_hold(panel: DataFrame, weights: DataFrame, by: Sequence[str] = PORTFOLIO, *,
                  shared: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Base-100 history and drifting weights of portfolios that never rebalance."""
-    held = holdings(panel, weights, by, shared=shared)
+    """Base-100 history and drifting weights of portfolios that never rebalance. The holdings are computed once."""
+    held = materialise(holdings(panel, weights, by, shared=shared))
     totals = portfolio_totals(held, by)
     start = F.first("total").over(Window.partitionBy(*by).orderBy("data"))  # one row per date
     history = totals.select(*by, "data", (F.col("total") / start * 100.0).alias("valor"))
