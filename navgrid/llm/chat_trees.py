@@ -10,8 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from navgrid.llm.common import drop_table
-from navgrid.session import materialise
+from navgrid.session import discard, materialise
 
 START, STOP = "<|im_start|>", "<|im_end|>\n"
 _CONTROL = r"(\|im_start\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>)"
@@ -57,7 +56,7 @@ def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
         longer = materialise(paths.unionByName(above))
         twice = materialise(jump.select("tree", "id", F.col("up").alias("mid")).join(
             jump.select("tree", F.col("id").alias("mid"), "up"), ["tree", "mid"]).select("tree", "id", "up"))
-        drop_table(paths), drop_table(jump)
+        discard(paths, jump)
         paths, jump = longer, twice
     whole = paths.join(roots, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("depth"))
     scored = paths.join(nodes, ["tree", "id"]).groupBy("tree", "leaf").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))

@@ -1,4 +1,4 @@
-"""Helpers of the operators: the shared folder, text columns as byte arrays, and window hashes over them."""
+"""Helpers of the operators: table access, text columns as byte arrays, and window hashes over them."""
 
 from collections.abc import Iterator
 
@@ -7,8 +7,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from navgrid.session import shared_dir
-
 CHUNK = 1 << 20  # bytes of text that are worked on at once inside a task
 
 
@@ -20,17 +18,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove what materialise() wrote for a table that no later step reads."""
-    spark, root = df.sparkSession, f"{shared_dir(df.sparkSession)}/navgrid/"
-    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if str(fs.makeQualified(path)).startswith(str(fs.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(root)))):
-            fs.delete(path, True)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the rows' offsets in them. Null counts as empty."""
     wide = pa.large_binary()

@@ -2,8 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from navgrid.llm.common import drop_table
-from navgrid.session import materialise
+from navgrid.session import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         above = state.select(F.col("node").alias("root"), F.col("root").alias("above"))
         moved = materialise(closer.join(above, "root").select(
             "node", F.least("root", "above").alias("root"), (F.least("root", "above") != F.col("was")).alias("moved")))
-        drop_table(state)
+        discard(state)
         state = moved.select("node", "root")
         if moved.where("moved").limit(1).count() == 0:
-            drop_table(both)
+            discard(both)
             return state

@@ -7,9 +7,8 @@ A draw is a hash of the document, so it does not depend on partitioning and a la
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from navgrid.llm.common import drop_table
 from navgrid.llm.host_rules import SPACE
-from navgrid.session import materialise
+from navgrid.session import discard, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 TOPICS = (  # the first that has one of its marks in the lower-cased text
@@ -59,7 +58,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
             errors.append(f"off_{name}")
         done = materialise(step)
         off = done.agg(F.max(F.greatest(*errors)).alias("off")).first().off
-        drop_table(weighted)
+        discard(weighted)
         weighted = done.drop(*errors)
         if off is None or off <= tolerance:
             break

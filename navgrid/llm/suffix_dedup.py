@@ -68,7 +68,9 @@ def _bucketed(blocks):
     spark, name = blocks.sparkSession, f"navgrid_blocks_{uuid.uuid4().hex}"
     (blocks.write.bucketBy(2 * partitions(spark), "block").option("compression", "none")
      .option("path", f"{shared_dir(spark)}/navgrid/{name}").saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files, which have a path of their own, stay
+    return table
 
 
 def _by_block(blocks, codes, work, schema):

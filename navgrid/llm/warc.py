@@ -13,8 +13,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from navgrid.llm.common import bounded, drop_table
-from navgrid.session import materialise, shared_dir
+from navgrid.llm.common import bounded
+from navgrid.session import discard, materialise, shared_dir
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -48,7 +48,7 @@ def write_archives(pages: DataFrame, path: str, smallest: int = 100, date: str =
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"), block)
     page.select(record.alias("value")).write.option("lineSep", END).text(path)
-    drop_table(known)
+    discard(known)
 
 
 def _urn(page_id: Column) -> Column:
@@ -126,7 +126,7 @@ def _reached(offsets: DataFrame) -> DataFrame:
         twice = jump.select("file", "offset", F.col("next").alias("mid")).join(
             jump.select("file", F.col("offset").alias("mid"), "next"), ["file", "mid"]).select("file", "offset", "next")
         squared = materialise(twice)
-        drop_table(reached), drop_table(jump)
+        discard(reached, jump)
         reached, jump = grown, squared
     return reached
 
