@@ -5,7 +5,7 @@ each of the three match their targets; documents are then drawn with their cell'
 A draw is a hash of the document, so it does not depend on partitioning and a larger budget keeps what a smaller kept.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from navgrid.llm.host_rules import SPACE
 from navgrid.session import discard, materialise
@@ -45,24 +45,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
     after `rounds` rounds. Values without a target, or with a share of 0, get weight 0. Each round is written to the
     shared folder.
     """
+    for name, target in targets.items():
+        cells = cells.join(target.select(name, F.col("share").alias(f"{name}_share")), name, "left")
     weighted = materialise(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for _ in range(rounds):
-        step = weighted
-        errors = []
-        for name, target in targets.items():
+    for _ in range(rounds if weighted.limit(1).count() else 0):
+        step, off = weighted, Observation()
+        for name in targets:
             total = step.groupBy(name).agg(F.sum("weight").alias("total"))
-            factor = total.join(target, name, "left").select(
-                name, F.when(F.col("total") > 0, F.coalesce("share", F.lit(0.0)) / F.col("total")).otherwise(0.0).alias("factor"),
-                F.abs(F.coalesce("share", F.lit(0.0)) - F.col("total")).alias(f"off_{name}"))
-            step = step.join(factor, name).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-            errors.append(f"off_{name}")
-        done = materialise(step)
-        off = done.agg(F.max(F.greatest(*errors)).alias("off")).first().off
+            share = F.coalesce(f"{name}_share", F.lit(0.0))
+            step = step.join(total, name).withColumns({
+                "weight": F.when(F.col("total") > 0, F.col("weight") * share / F.col("total")).otherwise(0.0),
+                f"{name}_off": F.abs(share - F.col("total"))}).drop("total")
+        errors = [f"{name}_off" for name in targets]
+        done = materialise(step.observe(off, F.max(F.greatest(*errors)).alias("most")).drop(*errors))
         discard(weighted)
-        weighted = done.drop(*errors)
-        if off is None or off <= tolerance:
+        weighted = done
+        if off.get["most"] <= tolerance:
             break
-    return weighted
+    return weighted.select(*DIMENSIONS, "tokens", "weight")
 
 
 def sampled(documents: DataFrame, targets: dict[str, DataFrame] | None = None, exponent: float = 0.7, share: float = 0.5,
