@@ -108,3 +108,39 @@ def test_register(spark, tmp_path):
 def test_register_errors(spark, tmp_path, text, words):
     with pytest.raises(ValueError, match=words):
         read_register(read_sheet(spark, sheet(tmp_path, text)))
+
+
+def test_register_errors_name_every_line(spark, tmp_path):
+    from navgrid.sources.register import read_register, read_sheet
+    lines = [f"Fundo {i},{'x' if i % 2 else i + 1}" for i in range(500)]
+    (tmp_path / "f.csv").write_text("Nome,CNPJ\n" + "\n".join(lines) + "\n")
+    with pytest.raises(ValueError) as error:
+        read_register(read_sheet(spark, str(tmp_path / "f.csv")))
+    assert str(error.value).endswith(": " + ", ".join(str(i + 2) for i in range(1, 500, 2)))
+    (tmp_path / "g.csv").write_text("Nome,CNPJ\n" + "\n".join(f"F,{i % 150}" for i in range(300)) + "\n")
+    with pytest.raises(ValueError) as error:
+        read_register(read_sheet(spark, str(tmp_path / "g.csv")))
+    assert all(str(i).zfill(14) in str(error.value) for i in range(150))
+    sheet = spark.createDataFrame([(f"F{i}", "" if i == 7 else str(i)) for i in range(20)], "Nome string, CNPJ string")
+    sheet.repartition(4).write.parquet(str(tmp_path / "s.parquet"))
+    with pytest.raises(ValueError, match=r"part-.*\.parquet:\d$"):
+        read_register(read_sheet(spark, str(tmp_path / "s.parquet")))
+
+
+def test_every_faulty_portfolio_is_named(spark):
+    from navgrid.operators.portfolio import check_weights
+    weights = spark.createDataFrame([(f"c{i:02d}", "A", 0.5) for i in range(25)], "carteira string, serie string, peso double")
+    with pytest.raises(ValueError) as error:
+        check_weights(weights, weights.select("carteira", "serie"))
+    assert str(error.value).startswith("25 ") and all(f"c{i:02d}" in str(error.value) for i in range(25))
+
+
+def test_a_missing_fund_empties_the_panel_also_by_subclass(spark):
+    from datetime import date
+    from navgrid.operators.panel import load_panel
+    quotes = spark.createDataFrame([("A", s, f"2024-01-0{d}", 1.0) for s in ("x", "y") for d in (1, 2, 3)],
+                                   "cnpj string, id_subclasse string, data string, valor_cota double").selectExpr(
+        "cnpj", "id_subclasse", "cast(data as date) as data", "valor_cota")
+    span, key = (date(2024, 1, 1), date(2024, 1, 9)), ("cnpj", "id_subclasse")
+    assert load_panel(quotes, ["A"], *span, series_key=key).count() == 6
+    assert load_panel(quotes, ["A", "B"], *span, series_key=key).count() == 0
