@@ -22,7 +22,7 @@ PAGES = [
 ]
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, monkeypatch):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "first": F.lit(2), "file": F.lit(3)})
     first = {}
     for k, _, h in PAGES:
@@ -33,7 +33,8 @@ def test_archives_round_trip(spark):
         again = len(data) >= 100 and k != first[h or ""]
         expected.append((k, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first[h or ""] if again else None))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    for parts in (1, 4):
+    for parts, rows in ((1, warc.BROADCAST_ROWS), (4, 0)):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
         found = warc.archived_pages(pages.repartition(parts)).select(*columns).collect()
         assert multiset(map(tuple, found)) == multiset(expected)
     assert warc.archived_pages(pages.limit(0)).count() == 0

@@ -137,6 +137,7 @@ def test_similar_texts(documents, empty):
 def test_similar_texts_in_chunks(spark, monkeypatch):
     """A class over many chunks: each text has a few words of its own, all are linked to all."""
     monkeypatch.setattr(lsh_forest, "CHUNK_TEXTS", 7)
+    monkeypatch.setattr(lsh_forest, "BROADCAST_ROWS", 0)
     texts = [(i, prose(9, 200) + f" own{i}") for i in range(30)] + [(100 + i, prose(50 + i, 60)) for i in range(5)]
     found = lsh_forest.similar_texts(spark.createDataFrame(texts, SCHEMA)).select("doc_id", "class_id", "n_links").collect()
     assert multiset(map(tuple, found)) == multiset(jaccard_classes(texts)[0])
