@@ -9,16 +9,16 @@ from navgrid.llm import line_dedup, lsh_forest, raking, string_kernel, winnowing
 from navgrid.llm.common import table
 from navgrid.session import materialise, ship
 
-LEAST_SCORE = 0.4  # of a language; a text without a clear one is rejected
 ORACLE_SQL = None  # trained models, components and raking are no SQL; tests hold run() against a brute-force version
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a language that is known from the labelled ones among them; null and letterless texts go."""
+    """Texts with a language that is known from the labelled ones among them; null and letterless texts go.
+
+    The score does not decide: it falls with the number of languages and for short texts, however clean they are."""
     ship(spark)
     model = string_kernel.fit(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 != 0)
-    known = string_kernel.languages(docs, model)
-    return known.where((F.col("lang_pred") != string_kernel.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return string_kernel.languages(docs, model).where(F.col("lang_pred") != string_kernel.UNKNOWN).select(*docs.columns)
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,16 @@ def test_stages_and_run(spark, folder):
     assert {(r.doc_id, r.text) for r in again.collect()} == set(got.items())
 
 
+def test_short_texts_of_many_languages_stay(spark):
+    """One word is enough to be kept, whatever its score among 30 languages."""
+    letters = [chr(0x3B1 + i) + chr(0x431 + i % 20) + chr(97 + i % 26) for i in range(24)] + [chr(0x5D0 + i) for i in range(6)]
+    rows = [(100 * k + i, " ".join(x * (1 + (i + j) % 3) for j in range(20)), f"l{k}") for k, x in enumerate(letters) for i in range(12)]
+    short = [(9000 + k, x, None) for k, x in enumerate(letters)] + [(9100, "ok", "l0"), (9101, "De.", None)]
+    docs = spark.createDataFrame(rows + short + [(9200, "12 ...", "l1"), (9201, None, "l1")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {k for k, *_ in rows + short}
+
+
 def test_the_rest_does_not_need_the_subpackage():
     import __spark_entry__
     names = set(__spark_entry__.queries())
