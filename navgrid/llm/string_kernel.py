@@ -17,7 +17,8 @@ from navgrid.llm.common import utf8
 
 PER_LANGUAGE = 400  # training texts per language, about
 LANDMARKS = 60  # landmarks per language
-LANGUAGES = 1_000
+TEXTS_IN_ALL = 40_000  # shared out where there are over 100 languages, as are the landmarks
+LANDMARKS_IN_ALL = 6_000
 RIDGE = 1e-3
 SHARPNESS = 8.0
 UNKNOWN = "und"
@@ -36,24 +37,33 @@ class Model:
 
 def fit(documents: DataFrame, training: Column, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS,
         ridge: float = RIDGE) -> Model:
-    """Model from a sample of the rows that `training` allows: about `per_language` texts of each language, chosen by a
-    hash of doc_id. Only these texts' sets of n-grams reach the driver. Rows without text or lang are not used; without
-    any usable row the model knows no language and every prediction is `und`."""
+    """Model of every value of lang from a sample of the rows that `training` allows: about `per_language` texts of each
+    language, chosen by a hash of doc_id. Only these texts' sets of n-grams reach the driver. With many languages
+    TEXTS_IN_ALL and LANDMARKS_IN_ALL are shared out evenly; each language has one text and one landmark at least, so
+    beyond that the driver's memory bounds their number, and a fit that exceeds it fails. Rows without text or lang are
+    not used; without any usable row the model knows no language and every prediction is `und`."""
     rows = documents.where(training & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    nothing = Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
-        return nothing
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+        return Model([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
+    per_language = max(1, min(per_language, TEXTS_IN_ALL // len(counts)))
+    landmarks = max(1, min(landmarks, LANDMARKS_IN_ALL // len(counts)))
+    spark, kind = documents.sparkSession, documents.schema["lang"].dataType.simpleString()
+    shares = spark.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], f"lang {kind}, __share double")
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
-    sample = (rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
-              .mapInArrow(_sets, "lang string, grams binary").collect())
-    if not sample:
-        return nothing
+    sets = "lang string, grams binary"
+    sample = (rows.join(F.broadcast(shares), "lang").where(draw < F.col("__share")).select("lang", "text")
+              .mapInArrow(_sets, sets).collect())
+    missed = {r["lang"] for r in counts} - {r["lang"] for r in sample}
+    if missed:  # by the draw: their text with the smallest hash
+        left = rows.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(missed)], f"lang {kind}")), "lang")
+        sample += (left.groupBy("lang").agg(F.min_by("text", F.struct(draw, "text")).alias("text")).select("lang", "text")
+                   .mapInArrow(_sets, sets).collect())
     sample.sort(key=lambda r: (r["lang"], bytes(r["grams"])))
     sets = [np.frombuffer(r["grams"], np.int32) for r in sample]
     languages = sorted({r["lang"] for r in sample})
-    known = np.array([languages.index(r["lang"]) for r in sample])
+    number = {x: i for i, x in enumerate(languages)}
+    known = np.array([number[r["lang"]] for r in sample])
     marks = np.concatenate([np.flatnonzero(known == c)[np.linspace(0, (known == c).sum() - 1, min(landmarks, (known == c).sum())).astype(int)]
                             for c in range(len(languages))])
     codes = np.unique(np.concatenate([sets[i] for i in marks]))

@@ -235,6 +235,23 @@ def test_languages(spark, empty):
     assert {r.lang_pred for r in string_kernel.languages(documents, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Over 1,000 values of lang, and languages of which the draw takes no text."""
+    word = lambda k: chr(0x4E00 + k) + chr(0x5E00 + 7 * k % 5000)
+    rows = [(k, f"{word(k)} {word(k)}", f"l{k}") for k in range(1100)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = string_kernel.fit(documents, F.lit(True))
+    assert set(model.languages) == {x for *_, x in rows}
+    found = {r.doc_id: r.lang_pred for r in string_kernel.languages(documents, model).collect()}
+    assert sum(found[k] == x for k, _, x in rows) > 1000
+    monkeypatch.setattr(string_kernel, "TEXTS_IN_ALL", 3)
+    monkeypatch.setattr(string_kernel, "LANDMARKS_IN_ALL", 3)
+    many = spark.createDataFrame([(100 * k + i, f"{word(k)} {word(k)} {i}", f"l{k}") for k in range(30) for i in range(20)], documents.schema)
+    model = string_kernel.fit(many, F.lit(True))
+    assert set(model.languages) == {f"l{k}" for k in range(30)}
+    assert all(r.lang_pred == f"l{r.doc_id // 100}" for r in string_kernel.languages(many, model).collect())
+
+
 def test_neighbour_quality(spark, empty):
     rows = [(i, prose(i, 60) if i % 2 else "!! ".join(prose(i, 60).upper().split()), i % 2) for i in range(200)]
     rows += [(1000, None, 1), (1001, "", 0), (None, "x", 1)]
