@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample at the target weights, with each text's tokens, topic and probability."""
+    """The sample at the target weights, with each text's tokens, topic, probability and how often to use it (copies)."""
     return raking.sampled(docs).where("sampled").drop("sampled").withColumn("probability", F.round("probability", 6))
 
 

@@ -141,7 +141,8 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     drawn = sampled(table(spark, folder, "documents"))
-    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled")
+    return drawn.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled",
+                        "copies")
 
 
 @query

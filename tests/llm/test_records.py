@@ -160,3 +160,56 @@ def test_sampling(spark):
     drawn = sum(r.n_tokens for r in found if r.sampled)
     assert drawn == pytest.approx(sum(odds[k] * n for k, n in cells.items()), rel=0.06)
     assert raking.sampled(documents.limit(0)).count() == 0
+
+
+def held_totals(rows, name, uses):
+    out = collections.Counter()
+    for r in rows:
+        out[r[name]] += uses(r) * r.n_tokens
+    return out
+
+
+def test_full_cells_are_made_up_for(spark):
+    """A cell of fewer tokens than plain raking asks for is taken whole and the totals are those of the targets still."""
+    sizes = {("a", "x"): 1000, ("a", "y"): 200, ("b", "x"): 300, ("b", "y"): 10}
+    rows = [(i, f"w{i} " * 10, *cell) for cell, n in sizes.items() for i in range(n)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    shares = {"source": {"+a": .65, "+b": .35}, "lang": {"+x": .75, "+y": .25}, "topic": {"prose": 1.0}}
+    targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in shares.items()}
+    budget = 0.5 * 10 * len(rows)
+    found = raking.sampled(documents, targets).collect()
+    assert all(r.probability == pytest.approx(1.0) for r in found if (r.source, r.lang) == ("b", "y"))
+    assert all(r.copies == r.sampled for r in found)
+    for name in ("source", "lang"):
+        expected, drawn = held_totals(found, name, lambda r: r.probability), held_totals(found, name, lambda r: r.copies)
+        for value, share in shares[name].items():
+            assert expected[value[1:]] == pytest.approx(share * budget, rel=1e-4)
+            assert drawn[value[1:]] == pytest.approx(share * budget, rel=0.08)
+
+
+def test_targets_beyond_the_tokens(spark):
+    """A topic with fewer tokens than its target is used more than once; the sample meets targets and budget."""
+    rows = [(i, f"w{i} " * 9 + ("a@b" if i % 70 == 0 else "end"), "big" if i % 3 else "small", "en" if i % 4 else "fr") for i in range(8000)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("copies", F.lit(-1))
+    found = raking.sampled(documents).collect()
+    budget = 0.5 * 10 * len(rows)
+    assert sum(r.copies * r.n_tokens for r in found) == pytest.approx(budget, rel=0.03)
+    assert {r.copies for r in found if r.topic == "contact"} == {1, 2} or max(r.copies for r in found) > 2
+    assert all(r.sampled == (r.copies > 0) and r.probability <= 1 for r in found)
+    for name in raking.DIMENSIONS:
+        power = {k: n ** 0.7 for k, n in held_totals(found, name, lambda r: 1).items()}
+        drawn = held_totals(found, name, lambda r: r.copies)
+        for value, p in power.items():
+            assert drawn[value] == pytest.approx(p / sum(power.values()) * budget, rel=0.05), (name, value)
+
+
+def test_jointly_impossible_bounds(spark):
+    """Each value has the tokens its target asks for, but no sample without repeats meets all targets."""
+    cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "p", 1), ("b", "x", "p", 1), ("b", "y", "p", 100)],
+                                  "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": .9, "b": .1}, "lang": {"x": .1, "y": .9}, "topic": {"p": 1.0}}
+    targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in shares.items()}
+    found = raking.rake(cells, targets, rounds=12, budget=60.0).collect()
+    for name in raking.DIMENSIONS:
+        for value, share in shares[name].items():
+            assert sum(r.weight for r in found if r[name] == value) == pytest.approx(share, abs=1e-3)
