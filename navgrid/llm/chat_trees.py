@@ -36,10 +36,19 @@ def unescape_role(role: Column) -> Column:
 def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     """Chosen root-to-leaf paths of reply trees: tree, leaf, rank, score, id, place (0: root), one row per message.
 
-    messages: tree, id (unique in the tree), parent, score; further columns are ignored. A message with a null or
-    unknown parent is a root; messages on or below a cycle of parents belong to no branch. A null score counts as 0.
+    messages: tree, id (unique in the tree), parent, score; further columns are ignored. Null is a tree of its own. A message
+    with a null or unknown parent is a root; messages on or below a cycle of parents belong to no branch. A null score counts as 0.
     `keep` branches of each tree stay (None: all), by mean score, then by the leaf's id.
     """
+    return _branches(_keyed(messages), keep).withColumn("tree", F.col("tree.tree"))
+
+
+def _keyed(messages: DataFrame) -> DataFrame:
+    """With tree in a struct, which is equal to another one also where its field is null."""
+    return messages.withColumn("tree", F.struct("tree"))
+
+
+def _branches(messages: DataFrame, keep: int | None) -> DataFrame:
     nodes = materialise(messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
     ids = nodes.select("tree", F.col("id").alias("parent"))
     jump = materialise(nodes.where("parent is not null").select("tree", "id", "parent").join(ids, ["tree", "parent"], "left_semi")
@@ -77,12 +86,13 @@ def conversations(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     piece = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
     turn = F.array(piece(F.concat(F.lit(START), escape_role(role), F.lit("\n")), F.lit(False)),
                    piece(escape(text), role == LEARNED), piece(F.lit(STOP), F.lit(False)))
-    turns = branches(messages, keep).join(messages.select("tree", "id", turn.alias("turn")), ["tree", "id"])
+    messages = _keyed(messages)
+    turns = _branches(messages, keep).join(messages.select("tree", "id", turn.alias("turn")), ["tree", "id"])
     whole = turns.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("score").alias("score"),
                                               F.array_sort(F.collect_list(F.struct("place", "turn"))).alias("turns"))
     segments = F.flatten(F.transform("turns", lambda t: t["turn"]))
     return (whole.withColumn("segments", segments).select(
-        "tree", "leaf", "rank", "score", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"))
+        "tree.tree", "leaf", "rank", "score", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"))
 
 
 def read_back(formatted: Column) -> Column:

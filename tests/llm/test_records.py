@@ -111,6 +111,15 @@ def test_reply_trees(spark):
     assert chat_trees.conversations(messages.limit(0)).count() == 0
 
 
+def test_messages_without_a_tree(spark):
+    """Null is a tree: its messages make a conversation like those of any other."""
+    rows = [(t, i, i - 1 if i else None, 1.0, "user" if i % 2 else "assistant", f"turn {i}") for t in (None, 1) for i in range(5)]
+    messages = spark.createDataFrame(rows, "tree long, id long, parent long, score double, role string, text string")
+    found = {r.tree: r for r in chat_trees.conversations(messages).collect()}
+    assert set(found) == {None, 1} and found[None].formatted == found[1].formatted
+    assert multiset((r.tree, r.leaf, r.id, r.place) for r in chat_trees.branches(messages).collect()) == multiset((t, 4, i, i) for t in (None, 1) for i in range(5))
+
+
 CELLS = [("a", "x", "p", 100), ("a", "x", "q", 50), ("a", "y", "p", 10), ("b", "x", "p", 400), ("b", "y", "q", 30), ("c", "y", "p", 5), ("c", "x", "q", 7)]
 
 
