@@ -57,7 +57,8 @@ def _urn(page_id: Column) -> Column:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all files in the folder: file, offset, length, type, id, refers_to, target, payload_bytes,
-    payload_digest (of what the record holds: null for revisits). A broken file ends at its last complete record.
+    payload_digest (of what the record holds: null for revisits), stated_digest (of its header). A broken
+    file ends at its last complete record.
 
     Payload is what follows the HTTP header of the block, or the whole block if it is no HTTP message.
     """
@@ -73,7 +74,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.expr("try_cast(%s as long)" % "nullif(regexp_extract(concat('\\r\\n', substring_index(value, '\\r\\n\\r\\n', 1)), "
                "'(?i)\\\\r\\\\nContent-Length:[ \\\\t]*([0-9]{1,18})[ \\\\t]*(\\\\r\\\\n|$)', 1), '')").alias("content"),
         field("WARC-Type").alias("type"), field("WARC-Record-ID").alias("id"), field("WARC-Refers-To").alias("refers_to"),
-        field("WARC-Target-URI").alias("target"), "value")
+        field("WARC-Target-URI").alias("target"), field("WARC-Payload-Digest").alias("stated_digest"), "value")
     block = F.substring(F.col("value").cast("binary"), (F.col("header") + 1).cast("int"), F.col("content").cast("int"))
     whole = F.col("header") + F.col("content") + 4 <= F.col("n")
     pieces = materialise(pieces.withColumns({f"_{k}": F.when(whole, v) for k, v in _payload(block).items()}).drop("value"))
@@ -86,7 +87,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return done.withColumns({x: F.when(F.col("type") != "revisit", F.col(x)) for x in ("payload_bytes", "payload_digest")})
 
 
-_OUT = ["file", "offset", "length", "type", "id", "refers_to", "target", "payload_bytes", "payload_digest"]
+_OUT = ["file", "offset", "length", "type", "id", "refers_to", "target", "stated_digest", "payload_bytes", "payload_digest"]
 
 
 def _payload(block: Column) -> dict[str, Column]:
@@ -109,7 +110,7 @@ def _offsets(pieces: DataFrame) -> DataFrame:
     length = F.lit(magic) + F.col("header") + F.col("content") + 4
     return (placed.join(splits, ["file", "split"]).withColumn("offset", offset)
             .select("file", "split", "at", "offset", length.alias("length"), (offset + length).alias("next"), "type", "id",
-                    "refers_to", "target", F.col("_payload_bytes").alias("payload_bytes"),
+                    "refers_to", "target", "stated_digest", F.col("_payload_bytes").alias("payload_bytes"),
                     F.col("_payload_digest").alias("payload_digest")))
 
 
@@ -133,7 +134,7 @@ def _reached(offsets: DataFrame) -> DataFrame:
 
 def _rejoined(source: DataFrame, offsets: DataFrame, torn: DataFrame) -> DataFrame:
     """Records whose payload holds magic: their pieces, in order, with the magic between them."""
-    of = torn.select("file", F.col("offset").alias("of"), "length", "type", "id", "refers_to", "target")
+    of = torn.select("file", F.col("offset").alias("of"), "length", "type", "id", "refers_to", "target", "stated_digest")
     marked = offsets.select("file", "split", "at", "offset").join(torn.select("file", "offset", F.lit(1).alias("start")), ["file", "offset"], "left")
     owner = marked.selectExpr("file", "split", "at", "offset",
                               "last(case when start = 1 then offset end, true) over (partition by file order by offset) as of")
@@ -154,17 +155,18 @@ def _rejoined(source: DataFrame, offsets: DataFrame, torn: DataFrame) -> DataFra
 
 def archived_pages(pages: DataFrame, smallest: int = 100) -> DataFrame:
     """Pages written to archives in the shared folder and read back: one row per record, revisits with the payload
-    length and digest of the response that they refer to. Columns: page_id, payload_bytes, payload_digest, record_type,
-    refers_to. See write_archives for nulls and ties; an empty table gives no rows."""
+    length and digest of the response that they refer to; of several with its page_id, the one of the digest that the
+    revisit states. Columns: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    See write_archives for nulls and ties; an empty table gives no rows."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/navgrid/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, smallest)
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) as long)")
     records = materialise(read_archives(spark, path).select(
         number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
-        number("refers_to").alias("refers_to")))
+        number("refers_to").alias("refers_to"), F.regexp_replace("stated_digest", "^sha256:", "").alias("stated")))
     responses = records.where("record_type = 'response' and payload_bytes >= %d" % smallest).groupBy(
-        F.col("page_id").alias("refers_to")).agg(F.max_by(F.struct("payload_bytes", "payload_digest"), "payload_digest").alias("p"))
-    again = records.where("record_type = 'revisit'").join(responses, "refers_to").select(
-        "page_id", F.col("p.payload_bytes"), F.col("p.payload_digest"), "record_type", "refers_to")
-    return records.where("record_type = 'response'").unionByName(again)
+        F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated")).agg(F.max("payload_bytes").alias("n"))
+    again = records.where("record_type = 'revisit'").join(responses, ["refers_to", "stated"]).select(
+        "page_id", F.col("n").alias("payload_bytes"), F.col("stated").alias("payload_digest"), "record_type", "refers_to")
+    return records.where("record_type = 'response'").drop("stated").unionByName(again)

@@ -40,6 +40,15 @@ def test_archives_round_trip(spark, monkeypatch):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_revisits_of_a_repeated_page_id(spark):
+    """Two responses share a page_id; each revisit has the payload that it repeats."""
+    texts = {"p": "<p>one</p>" * 20, "q": "<q>other</q>" * 30, "r": "r" * 101 + FAKE}
+    rows = [(1, "u", texts["p"]), (1, "u", texts["q"]), (1, "u", texts["r"])] + [(2 + i, "u", texts["pqr"[i % 3]]) for i in range(9)]
+    found = warc.archived_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    expected = [(k, len(h), hashlib.sha256(h.encode()).hexdigest(), "response" if k == 1 else "revisit", None if k == 1 else 1) for k, _, h in rows]
+    assert multiset(map(tuple, found)) == multiset(expected)
+
+
 def test_archives_in_small_splits(spark, tmp_path):
     """Records over many byte ranges, and a file that was cut off inside a record."""
     pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 40) + (FAKE if i % 5 == 0 else "")) for i in range(300)],
