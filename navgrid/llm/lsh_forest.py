@@ -1,8 +1,8 @@
-"""N-gram Jaccard self-join: MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join: banded MinHash with exact verification.
 
-Texts with the same words are one class of copies and go on as one text. A tree of the forest sorts signatures by a
-prefix of minimum hashes; the matched prefix is shortened from `max_depth` until `trees` trees find a pair at the
-threshold with the target probability. Texts that meet in a tree hang on the smallest of them (no pairs are sent), the
+Texts with the same words are one class of copies and go on as one text. Each of `trees` bands is a fixed prefix of
+minimum hashes in one label; its length is the largest up to `max_depth` with which the bands find a pair at the
+threshold with the target probability, the same for all data. There is no sorted forest of signatures. Texts that meet in a band hang on the smallest of them (no pairs are sent), the
 components of these links are gathered with their shingle sets, and every pair of texts inside a component is compared
 exactly, by products of incidence matrices. Components that are too large for one task are dealt out as pairs of
 chunks; their texts get link counts and one edge each from every task, never a row per pair.
