@@ -1,16 +1,13 @@
-"""Suffix-array dedup of byte strings by a distributed difference cover.
+"""Dedup of repeated byte strings with a difference cover as filter and equal hashes in place of a suffix order.
 
-A string of `length` bytes is repeated if it starts at two places. Suffixes need comparing over `length` bytes only, so
-the difference-cover construction stops there:
+A string of `length` bytes is repeated if it starts at two places. No suffixes are sorted, ranked or merged:
 
-1. Sampled tuples. Positions i of a text with i mod 133 in a cover of 12 residues are sampled: for any two positions
+1. Sampled strings. Positions i of a text with i mod 133 in a cover of 12 residues are sampled: for any two positions
    there is a shift below 133 that takes both into the sample. The strings of length - 132 bytes at sampled positions
-   are sorted and named in buckets. This is the triples step with period 133 in place of 3.
-2. Recursion on names. Where a name occurs once the order of its suffix is settled. If two places start the same string
-   of `length` bytes, a shift below 133 leads both to sampled positions of the same name; so only positions at most 132
-   before a repeated name go on, sampled or not.
-3. Merge. What goes on gets the name of its whole `length` bytes; these are sorted in buckets and neighbours with the
-   same prefix are marked.
+   are named by hashes, which are grouped in buckets.
+2. Filter. If two places start the same string of `length` bytes, a shift below 133 leads both to sampled positions of
+   the same name; so only positions at most 132 before a repeated name go on, sampled or not.
+3. What goes on gets a hash of its whole `length` bytes; these are grouped in buckets and equal ones are marked.
 
 Texts are packed into blocks. A block sends each name once, so a copy held by a third of all rows reaches a bucket once
 per block, and what a bucket returns is one code per name in the order in which the block sent them. Names are compared
