@@ -6,10 +6,13 @@ import corpus_pipeline
 from navgrid.llm import chat_trees, neighbour_quality, string_kernel
 from navgrid.llm.common import table
 from navgrid.llm.host_rules import judged
+from navgrid.llm.importance import importance
 from navgrid.llm.line_dedup import MIN_WORDS, without_repeated_runs
 from navgrid.llm.lsh_forest import similar_texts
+from navgrid.llm.maxscore import ranked
 from navgrid.llm.raking import sampled
 from navgrid.llm.suffix_dedup import repeated_substrings
+from navgrid.llm.vantage import similar_fingerprints
 from navgrid.llm.warc import archived_pages
 from navgrid.llm.winnowing import contamination
 
@@ -209,6 +212,59 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op11_ranked_search"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(w) * n_docs) // n_terms AS m FROM d, s WHERE len(w) > 0),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY 1, 2),
+t AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY 1, 2),
+p AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0) WHERE rank <= 20"""
+
+
+@query
+def op12_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op13_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_FEATURES = "SELECT {id} unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS feature FROM {table}"
+SQL["op13_importance"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS ({_FEATURES.format(id="doc_id,", table="d")}), bf AS ({_FEATURES.format(id="", table="b")}),
+tab AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, x)) AS t),
+hexed AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT feature FROM df UNION SELECT feature FROM bf)),
+crc AS (SELECT feature, xor(4294967295, list_reduce(
+          list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+          lambda c, x: xor(c // 256, t[CAST(xor(c, x) % 256 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT))) % 10000 AS bucket FROM hexed, tab),
+dc AS (SELECT bucket, count(*) AS s FROM df JOIN crc USING (feature) GROUP BY bucket),
+bc AS (SELECT bucket, count(*) AS t FROM bf JOIN crc USING (feature) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM df) AS s_all, (SELECT count(*) FROM bf) AS t_all),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain
+         FROM dc LEFT JOIN bc USING (bucket), total),
+sums AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS gain FROM df JOIN crc USING (feature) JOIN gain USING (bucket) GROUP BY doc_id),
+w AS (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(gain // n, 0) - CASE WHEN gain % n < 0 THEN 1 ELSE 0 END AS weight,
+             CAST('0x' || substr(sha256('7:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+      FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id),
+scored AS (SELECT doc_id, n_words, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM scored LEFT JOIN drawn ON scored.doc_id = drawn.doc_id"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -75,5 +75,5 @@ def test_short_texts_of_many_languages_stay(spark):
 def test_the_rest_does_not_need_the_subpackage():
     import __spark_entry__
     names = set(__spark_entry__.queries())
-    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and len([n for n in names if n.startswith("op")]) == 10
+    assert {"pipeline", *(n for n in names if n.startswith("op"))} <= names and len([n for n in names if n.startswith("op")]) == 13
     assert all(corpus_pipeline.STAGES[i][0] for i in range(5)) and corpus_pipeline.ORACLE_SQL is None
