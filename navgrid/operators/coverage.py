@@ -6,18 +6,27 @@ from navgrid.functions import status
 from navgrid.schema import STATUS_EMPTY
 
 
+def held_by_fund(quotes: DataFrame) -> DataFrame:
+    """First and last date and row count per fund. Such rows of parts of the quotes merge by minimum, maximum and sum."""
+    return quotes.groupBy("cnpj").agg(
+        F.min("data").alias("primeira"), F.max("data").alias("ultima"), F.count("data").alias("linhas"))
+
+
+def covered(register: DataFrame, held: DataFrame) -> DataFrame:
+    """First and last date, row count and status per registered fund, from what is held per fund."""
+    total = F.coalesce("linhas", F.lit(0))
+    return register.select("cnpj", "nome").join(held, "cnpj", "left").select(
+        "cnpj", "nome", F.col("primeira").alias("primeira_data_disponivel"), F.col("ultima").alias("ultima_data_disponivel"),
+        total.cast("bigint").alias("quantidade_registros"), status(total).alias("status"))
+
+
 def coverage(register: DataFrame, quotes: DataFrame) -> DataFrame:
     """First and last date, row count and status per registered fund.
 
     Quotes are reduced per fund before the join, so the fact table is shuffled as partial aggregates only.
+    ``Store.coverage`` has the same from the store's index, without the quotes.
     """
-    held = quotes.groupBy("cnpj").agg(
-        F.min("data").alias("primeira_data_disponivel"), F.max("data").alias("ultima_data_disponivel"),
-        F.count("data").alias("_n"))
-    total = F.coalesce("_n", F.lit(0))
-    return register.select("cnpj", "nome").join(held, "cnpj", "left").select(
-        "cnpj", "nome", "primeira_data_disponivel", "ultima_data_disponivel",
-        total.cast("bigint").alias("quantidade_registros"), status(total).alias("status"))
+    return covered(register, held_by_fund(quotes))
 
 
 def fund_list(cov: DataFrame) -> DataFrame:

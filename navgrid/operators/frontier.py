@@ -62,7 +62,7 @@ def fill_to_floor(weights: DataFrame, floor: float = MIN_ALLOCATION, by: Sequenc
         .otherwise(floor + rest * F.col("_excesso") / F.col("_soma")).alias("peso"))
 
 
-def _uniform(seed: int, candidate: Column, fund: Column) -> Column:
+def uniform(seed: int, candidate: Column, fund: Column) -> Column:
     """Number in (0, 1) from a hash of seed, candidate and fund: the same on any partitioning."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), candidate.cast("string"), fund))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(2 ** 52)
@@ -77,7 +77,7 @@ def candidate_weights(spark: SparkSession, funds: Sequence[str], n: int | DataFr
     if floor < 0 or floor * len(funds) >= 1.0:
         raise ValueError(f"A floor of {floor} does not fit {len(funds)} series.")
     names = F.array(*[F.lit(f) for f in funds])
-    draws = F.transform(names, lambda fund: -F.log(_uniform(seed, F.col("candidata"), fund)))
+    draws = F.transform(names, lambda fund: -F.log(uniform(seed, F.col("candidata"), fund)))
     room = 1.0 - floor * len(funds)
     shares = F.aggregate("_e", F.lit(0.0), lambda acc, x: acc + x,
                          lambda total: F.transform("_e", lambda e: floor + room * e / total))

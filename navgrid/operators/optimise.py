@@ -25,12 +25,16 @@ PART = 5_000  # series priced against one copy of a portfolio's solutions
 
 # --- small dense problem, used inside tasks ------------------------------------------------------------------
 
-def solve_excess(cov: np.ndarray, base: np.ndarray, total: float, mean: np.ndarray | None = None,
-                 target: float = 0.0) -> tuple[np.ndarray, float, float]:
+KKT = 1e-10  # largest violation of an optimality condition, in units of the largest covariance, at which an answer counts
+
+
+def solve_excess(cov: np.ndarray, base: np.ndarray, total: float, mean: np.ndarray | None = None, target: float = 0.0,
+                 near: np.ndarray | None = None) -> tuple[np.ndarray, float, float]:
     """Minimise x'Cx/2 + base'x over x >= 0 with sum(x) = total and, if given, mean'x = target.
 
-    Returns x and the multipliers of the two equalities. Primal-dual interior point with a predictor-corrector
-    step; the barrier term keeps the system regular when the covariance is singular.
+    Returns x and the multipliers of the two equalities. An interior point method finds which series are above zero, and
+    an active-set method goes on from there to the exact solution; ``near``, the answer to a neighbouring problem, is tried
+    first in its place. An answer counts only if it meets all optimality conditions, otherwise RuntimeError.
     """
     n = len(base)
     scale = max(float(np.abs(cov).max()) * total, float(np.abs(base).max()), 1e-300)
@@ -42,33 +46,101 @@ def solve_excess(cov: np.ndarray, base: np.ndarray, total: float, mean: np.ndarr
         rows.append((mean - centre) / width)
         right.append((target / total - centre) / width)
     a, b = np.array(rows), np.array(right)
-    x, s, y = np.full(n, 1.0 / n), np.ones(n), np.zeros(len(b))
-    for _ in range(100):
+    for guess in (near, None):
+        if guess is not None:
+            x, free = guess / total, guess > 0
+        elif near is None or found is None:
+            x, slack = _interior(h, c, a, b)
+            free = x > slack
+        else:
+            break
+        found = _active_set(h, c, a, b, x, free)
+    if found is None:
+        raise RuntimeError("the optimisation did not converge")
+    x, y = found
+    slope = scale * y[1] / width if mean is not None else 0.0
+    return x * total, scale * y[0] - (slope * centre if mean is not None else 0.0), slope
+
+
+def _interior(h: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x near the solution and the slack of each x >= 0: primal-dual steps with a predictor and a corrector.
+
+    The corrector is left out, and the step centred, whenever the last round did not bring the gap down. Where the rounds
+    end does not matter for the result: it is the start of the active-set method.
+    """
+    n = len(c)
+    x, s, y, last = np.full(n, 1.0 / n), np.ones(n), np.zeros(len(b)), np.inf
+    for _ in range(60):
         dual, primal, gap = h @ x + c - a.T @ y - s, a @ x - b, float(x @ s) / n
         if gap < 1e-14 and np.abs(primal).max() < 1e-12 and np.abs(dual).max() < 1e-11:
             break
         kkt = np.block([[h + np.diag(s / x), -a.T], [a, np.zeros((len(b), len(b)))]])
 
         def step(cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            rhs = np.concatenate([-dual - cross / x, -primal])
-            try:
-                d = np.linalg.solve(kkt, rhs)
-            except np.linalg.LinAlgError:
-                d = np.linalg.lstsq(kkt, rhs, rcond=None)[0]
+            d = _solved(kkt, np.concatenate([-dual - cross / x, -primal]))
             return d[:n], d[n:], -(cross + s * d[:n]) / x
 
-        dx, _, ds = step(x * s)
-        reach_x, reach_s = _reach(x, dx), _reach(s, ds)
-        centring = (float((x + reach_x * dx) @ (s + reach_s * ds)) / n / gap) ** 3 if gap > 0 else 0.0
-        dx, dy, ds = step(x * s + dx * ds - centring * gap)
+        dx, dy, ds = step(x * s)
+        reach = float((x + _reach(x, dx) * dx) @ (s + _reach(s, ds) * ds)) / n
+        if gap < 0.9 * last:
+            dx, dy, ds = step(x * s + dx * ds - max((reach / gap) ** 3, 1e-8) * gap)
+        else:
+            dx, dy, ds = step(x * s - 0.3 * gap)
         if not (np.isfinite(dx).all() and np.isfinite(ds).all()):
             break
-        move = 0.9995 * min(_reach(x, dx), _reach(s, ds))
+        move, last = 0.995 * min(_reach(x, dx), _reach(s, ds)), gap
         x, y, s = np.maximum(x + move * dx, 1e-300), y + move * dy, np.maximum(s + move * ds, 1e-300)
-    if np.abs(a @ x - b).max() > 1e-7:
-        raise RuntimeError("the optimisation did not converge")
-    slope = scale * y[1] / width if mean is not None else 0.0
-    return x * total, scale * y[0] - (slope * centre if mean is not None else 0.0), slope
+    return x, s
+
+
+def _solved(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    try:
+        found = np.linalg.solve(matrix, right)
+        if np.abs(matrix @ found - right).max() <= 1e-11 * max(1.0, float(np.abs(right).max())):
+            return found
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(matrix, right, rcond=None)[0]
+
+
+def _active_set(h: np.ndarray, c: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray,
+                free: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Exact solution and multipliers, from a guess of x and of the set above zero; None without an optimal answer.
+
+    Solves the equalities over the free set, stops at the first bound on the way and takes that series out, or, with no
+    bound in the way, lets the series in that lowers the risk most.
+    """
+    n, m = len(c), len(b)
+    free = free.copy() if free.any() else np.ones(n, bool)
+    x = np.where(free, np.maximum(x, 0.0), 0.0)
+    for _ in range(20 * n + 100):
+        at = np.flatnonzero(free)
+        z = _solved(np.block([[h[np.ix_(at, at)], -a[:, at].T], [a[:, at], np.zeros((m, m))]]), np.concatenate([-c[at], b]))
+        z, y = z[:len(at)], z[len(at):]
+        if np.abs(a[:, at] @ z - b).max() > KKT:  # these series cannot meet the target
+            ends = [int(a[-1].argmin()), int(a[-1].argmax())]
+            if free[ends].all():
+                return None
+            free[ends] = True
+            continue
+        below = z < -1e-14
+        if below.any():
+            way = np.where(below, x[at] / np.maximum(x[at] - z, 1e-300), np.inf)
+            first = int(way.argmin())
+            x[at] = np.maximum(x[at] + min(way[first], 1.0) * (z - x[at]), 0.0)
+            x[at[first]] = 0.0
+            free[at[first]] = False
+            continue
+        x = np.zeros(n)
+        x[at] = np.maximum(z, 0.0)
+        price = h @ x + c - a.T @ y
+        outside = np.where(free, np.inf, price)
+        enters = int(outside.argmin())
+        if outside[enters] >= -KKT / 10:
+            good = np.abs(a @ x - b).max() <= KKT and np.abs(price[at]).max() <= KKT
+            return (x, y) if good else None
+        free[enters] = True
+    return None
 
 
 def _reach(x: np.ndarray, d: np.ndarray) -> float:
@@ -76,12 +148,13 @@ def _reach(x: np.ndarray, d: np.ndarray) -> float:
     return min(1.0, float((-x[falling] / d[falling]).min())) if falling.any() else 1.0
 
 
-def excess_over_floor(mean: np.ndarray, cov: np.ndarray, base: np.ndarray, total: float,
-                      need: float | None) -> tuple[np.ndarray, float, float, float | None]:
+def excess_over_floor(mean: np.ndarray, cov: np.ndarray, base: np.ndarray, total: float, need: float | None,
+                      near: np.ndarray | None = None) -> tuple[np.ndarray, float, float, float | None]:
     """Optimal amounts above the floor, the two multipliers, and the mean that binds at an end of the range.
 
     ``need`` is the return asked of the amounts above the floor (None: no target). At either end of the
-    reachable range only the series with that mean can carry more than the floor.
+    reachable range only the series with that mean can carry more than the floor. ``near`` are the amounts of a
+    neighbouring target.
     """
     chosen, edge = np.arange(len(mean)), None
     if need is not None:
@@ -101,8 +174,8 @@ def excess_over_floor(mean: np.ndarray, cov: np.ndarray, base: np.ndarray, total
         excess[chosen] = total
         level = float(part[0, 0] * total + base[chosen][0])
     else:
-        found, level, slope = solve_excess(part, base[chosen], total, None if need is None else mean[chosen],
-                                           need or 0.0)
+        found, level, slope = solve_excess(part, base[chosen], total, None if need is None else mean[chosen], need or 0.0,
+                                           None if need is None or near is None else near[chosen])
         excess[chosen] = total * found / found.sum()
     return excess, level, slope, edge
 
@@ -223,12 +296,16 @@ def _column_generation(vectors: DataFrame, problems: DataFrame, keys: list[str],
     first = (ends.select(*keys, F.explode(F.array("_a", "_b", "_c")).alias("serie"))
              .union(vectors.where(F.pmod(F.xxhash64("serie", F.lit(1)), F.col("n")) < seeds).select(*keys, "serie")).distinct())
     columns, finished = materialise(problems.select(*task).distinct().join(first, keys)), []
+    priced = problems.where(F.col("n") > seeds).limit(1).count() > 0  # panels of up to `seeds` series start with all of them
     while True:
         restricted = spread(columns.join(vectors, [*keys, "serie"]).select(*task, "serie", "retornos", "media"), *task)
         solved = materialise(restricted.groupBy(*task).cogroup(spread(problems, *task).groupBy(*task)).applyInPandas(
             _restricted(task), _fields(problems, task, *_SOLVED)))
+        if not priced:
+            discard(columns, problems)
+            return solved.drop("bloco")
         entering = materialise(
-            _price(vectors, solved, problems, keys, task).where(F.col("_ordem") <= batch).select(*task, "serie").distinct()
+            _price(vectors.where(F.col("n") > seeds), solved, problems, keys, task).where(F.col("_ordem") <= batch).select(*task, "serie").distinct()
             .join(columns, [*task, "serie"], "left_anti"))
         if entering.isEmpty():
             discard(columns, entering, problems)
@@ -271,11 +348,13 @@ def _restricted(task: list[str]):
             centred = rows - rows.mean(axis=1, keepdims=True)
             year = TRADING_DAYS / max(days - 1, 1)
             cov, pull = centred @ centred.T * year, centred @ (base - base.mean()) * year
+        near = None
         for row in problems.sort_values("alvo_ix").to_dict("records") if len(group) else ():
             target = None if pd.isna(row["alvo"]) else float(row["alvo"])
             need = None if target is None else target - float(row["piso_retorno"])
             try:
-                excess, level, slope, edge = excess_over_floor(mean, cov, pull, float(row["total"]), need)
+                excess, level, slope, edge = excess_over_floor(mean, cov, pull, float(row["total"]), need, near)
+                near = excess if edge is None else None
             except RuntimeError:
                 continue
             path = base + excess @ rows

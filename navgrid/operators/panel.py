@@ -29,9 +29,22 @@ def attach(df: DataFrame, totals: DataFrame, by: Sequence[str], *columns: str) -
     return df.select("*", *[scalar(totals, c).alias(c) for c in columns])
 
 
+OR_TERMS = 200  # values up to which a list is a disjunction of equalities, which Parquet checks by dictionary and Bloom filter
+
+
+def any_of(column: str, values: Sequence[str]) -> Column:
+    """Membership in a list. A long IN reaches Parquet only as the range from its least to its greatest value."""
+    terms = [F.col(column) == v for v in dict.fromkeys(values)]
+    if not 0 < len(terms) <= OR_TERMS:
+        return F.col(column).isin(list(values))
+    while len(terms) > 1:  # a balanced tree, not a chain
+        terms = [a | b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) - len(terms) % 2:]
+    return terms[0]
+
+
 def quote_scan(quotes: DataFrame, funds: Sequence[str], start, end) -> DataFrame:
     """Quotes of the listed funds inside the inclusive date range. Both filters reach the file scan."""
-    return (quotes.where(F.col("cnpj").isin(list(funds)) & F.col("data").between(F.lit(start), F.lit(end)))
+    return (quotes.where(any_of("cnpj", funds) & F.col("data").between(F.lit(start), F.lit(end)))
             .select("data", "cnpj", "valor_cota"))
 
 
@@ -47,7 +60,7 @@ def load_panel(quotes: DataFrame, funds: Sequence[str] | DataFrame, start, end,
         chosen = quotes.where(keep).join(funds.select("cnpj").distinct(), "cnpj", "left_semi")
         wanted = scalar(funds.agg(F.countDistinct("cnpj").alias("n")), "n")
     else:
-        chosen = quotes.where(keep & F.col("cnpj").isin(list(funds)))
+        chosen = quotes.where(keep & any_of("cnpj", funds))
         wanted = len(set(funds))
     keys = [F.col(c) for c in series_key]
     key = keys[0] if len(keys) == 1 else F.concat_ws("|", *keys)

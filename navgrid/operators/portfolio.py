@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from navgrid.operators.panel import attach, series_window
+from navgrid.operators.report import refuse
 from navgrid.schema import TRADING_DAYS, WEIGHT_EPSILON
 from navgrid.session import materialise
 
@@ -43,12 +44,10 @@ def weight_problems(weights: DataFrame, members: DataFrame, by: Sequence[str] =
 
 
 def check_weights(weights: DataFrame, members: DataFrame, by: Sequence[str] = PORTFOLIO) -> DataFrame:
-    """The weights, or an error that names every faulty portfolio."""
+    """The weights, or an error with the faulty portfolios: the first by name, and the table of all."""
     entry = F.to_json(F.struct(*by, "soma", "faltantes", "negativos"))
-    faulty = weight_problems(weights, members, by).agg(
-        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(entry)), ", ").alias("quais")).first()
-    if faulty["n"]:
-        raise ValueError(f"{faulty['n']} portfolio(s) with missing or negative weights or another total than 1: {faulty['quais']}")
+    refuse(weight_problems(weights, members, by), "{n} portfolio(s) with missing or negative weights or another total than 1",
+           entry, [*by, "faltantes"])
     return weights
 
 

@@ -109,10 +109,36 @@ def s4(t: Tables) -> DataFrame:
     return read_register(read_sheet(t.spark, path))
 
 
-@query("s13_coverage_view", f"""{_CLEAN_SQL}, {_WANTED_SQL} SELECT lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS cnpj, c_name AS nome,
+_COVERAGE_SQL = f"""{_CLEAN_SQL}, {_WANTED_SQL} SELECT lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS cnpj, c_name AS nome,
     {text('MIN(data)')} AS primeira_data_disponivel, {text('MAX(data)')} AS ultima_data_disponivel,
     COUNT(data) AS quantidade_registros, CASE WHEN COUNT(data) = 0 THEN 'SEM DADOS' ELSE 'OK' END AS status
-    FROM customer LEFT JOIN good ON cnpj = lpad(CAST(c_custkey AS VARCHAR), 14, '0') WHERE {_WANTED} GROUP BY 1, 2""")
+    FROM customer LEFT JOIN good ON cnpj = lpad(CAST(c_custkey AS VARCHAR), 14, '0') WHERE {_WANTED} GROUP BY 1, 2"""
+
+
+@query("s13_coverage_view", _COVERAGE_SQL)
 def s13(t: Tables) -> DataFrame:
     _load(t)[0].create_views()
     return edge(t.spark.table("fundos_controle"))
+
+
+@query("s13_coverage_index", _COVERAGE_SQL)
+def s13_index(t: Tables) -> DataFrame:
+    """From the index that each commit writes: after the load, a reload of the recent archives and a clean up."""
+    folder, _ = _prepare(t)
+    for day in (5, 6):
+        cfg = LoadConfig(root=folder + "/banco", sheet=folder + "/fundos.csv", monthly=folder + "/mensal",
+                         now=datetime(2026, 1, day, 10, tzinfo=timezone.utc))
+        run_load(t.spark, cfg)
+    store = Store(t.spark, cfg.root)
+    store.vacuum()
+    return edge(store.coverage())
+
+
+@query("s5_scan_by_fund", f"""{_CLEAN_SQL}, {_WANTED_SQL} SELECT {_ROWS} FROM good
+    WHERE CAST(cnpj AS BIGINT) IN (SELECT c_custkey FROM customer WHERE {_WANTED} ORDER BY c_custkey LIMIT 20)""")
+def s5_funds(t: Tables) -> DataFrame:
+    """Twenty funds out of all quotes of the store, by the row groups that may hold them (the list is the operator's input)."""
+    store = _load(t)[0]
+    funds = [r["cnpj"] for r in store.read("fundos").orderBy("cnpj").limit(20).select("cnpj").collect()]
+    limits = store.date_limits().first()
+    return edge(store.quotes_of(funds, limits["inicio"], limits["fim"]).select("cnpj", "id_subclasse", "data", "valor_cota"))

@@ -2,13 +2,14 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from navgrid.operators import frontier as E, optimise as O, panel as P, performance as R, portfolio as H, risk as K
+from navgrid.operators import frontier as E, optimise as O, panel as P, performance as R, portfolio as H, risk as K, wide as W
 from navgrid.queries.common import (
     COMMON, COMMON_BY, COV, MEAN, P_MONTH, P_SUPPLIER, RETURNS, RETURNS_BY, Tables, edge, query, r,
     supplier_portfolio,
 )
 from navgrid.queries.panels import _SERIES, _common
 from navgrid.queries.portfolios import _BY, _MONTH_WEIGHTS, month_weights, panel
+from navgrid.session import materialise
 
 _FLOOR = 0.01
 _MONTH_SQL = f"WITH {P_MONTH}, {COMMON}, {RETURNS}, {MEAN}"
@@ -33,7 +34,7 @@ _HIGH, _LOW = _corner_sql("arg_max(serie, media)"), _corner_sql("arg_min(serie,
 
 
 def _supplier_mean(t: Tables) -> DataFrame:
-    return _positions(K.annual_mean(R.returns(panel(t), _BY), _BY)).persist()
+    return materialise(_positions(K.annual_mean(R.returns(panel(t), _BY), _BY)))
 
 
 @query("f6_highest_return_corner", f"{_SUPP_SQL}, {_HIGH} SELECT carteira, serie, {r('peso')} AS peso FROM cn")
@@ -106,6 +107,15 @@ def f12(t: Tables) -> DataFrame:
     return edge(_scored(t))
 
 
+@query("f12_wide_score", f"{_MONTH_SQL}, {_SCORE_SQL} {_SCORED}")
+def f12_wide(t: Tables) -> DataFrame:
+    """The same candidates in blocks of two funds, as selections too wide for one array are scored."""
+    rets = month_returns(t)
+    blocks = W.fund_blocks(rets.select("serie"), 2)
+    drawn = W.draw_weights(t.spark.range(3000).withColumnRenamed("id", "candidata"), blocks, _FLOOR)
+    return edge(W.score_wide(drawn, blocks, W.dense_blocks(K.annual_cov(rets), K.annual_mean(rets), blocks), 1000))
+
+
 @query("f14_lowest_risk_per_bucket", f"""{_MONTH_SQL}, {_SCORE_SQL}, e AS (SELECT min(retorno) AS lo, max(retorno) AS hi FROM sc),
     z AS (SELECT sc.*, CAST(least(floor((retorno - lo) / (hi - lo) * 20), 19) AS INTEGER) AS faixa FROM sc, e)
     SELECT faixa, arg_min(candidata, risco) AS candidata, {r('min(risco)')} AS risco,
@@ -118,7 +128,7 @@ def f14(t: Tables) -> DataFrame:
     FROM (SELECT *, max(retorno) OVER (ORDER BY risco ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS barra FROM sc)
     WHERE barra IS NULL OR retorno > barra""")
 def f14_pareto(t: Tables) -> DataFrame:
-    return edge(E.pareto_set(_scored(t).persist()))
+    return edge(E.pareto_set(_scored(t)))
 
 
 @query("f15_efficient_flag", f"""{_MONTH_SQL}, {_SCORE_SQL} SELECT candidata, {r('retorno')} AS retorno, {r('risco')} AS risco,
@@ -136,7 +146,7 @@ _PAIR_SQL = f"""WITH {P_MONTH}, {COMMON}, {RETURNS}, r2 AS (SELECT left(serie, 1
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return month_returns(t).withColumn("carteira", F.left("serie", F.lit(1))).persist()
+    return materialise(month_returns(t).withColumn("carteira", F.left("serie", F.lit(1))))
 
 
 @query("f9_min_variance_pairs", f"""{_PAIR_SQL}, o AS (SELECT *, least(greatest((vj - cij) / (vi + vj - 2 * cij), {_FLOOR}),
@@ -166,9 +176,9 @@ def f10_weights(t: Tables) -> DataFrame:
 
 
 def _feasible(t: Tables) -> DataFrame:
-    rets = R.returns(panel(t), _BY).persist()
+    rets = materialise(R.returns(panel(t), _BY))
     usable = K.feasibility(rets, _BY, _FLOOR).where("motivo IS NULL")
-    return rets.join(usable.select("carteira"), _BY, "left_semi").persist()
+    return materialise(rets.join(usable.select("carteira"), _BY, "left_semi"))
 
 
 _FEASIBLE_SQL = (f"WITH {P_SUPPLIER}, {COMMON_BY}, {RETURNS_BY}, ok AS (SELECT carteira FROM ret GROUP BY 1 HAVING "

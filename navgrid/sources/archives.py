@@ -8,13 +8,14 @@ a header means is decided once per block by Spark expressions, which then open t
 import csv
 import io
 import itertools
+import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from navgrid.functions import normalise_id, positive, subclass_or_blank, to_day, to_double, trim_all
+from navgrid.functions import normalise_id, positive, subclass_or_blank, to_day, to_double
 from navgrid.schema import DATE_COLUMN, ID_COLUMNS, SUBCLASS_COLUMN, VALUE_COLUMN
 from navgrid.session import materialise
 
@@ -39,9 +40,26 @@ def open_shared(url: str):
     return system.open_input_file(path)
 
 
+def _plain(character: str) -> str:
+    """A character in capitals, taken apart (compatibility decomposition), without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", character.upper()) if not unicodedata.combining(c))
+
+
+# How the 256 characters of Latin-1 are written, where that differs, from the rule above.
+_PLAIN = {c: _plain(c) for c in map(chr, range(256)) if _plain(c) != c}
+_ONE = {c: p for c, p in _PLAIN.items() if len(p) == 1}
+_OTHER = {c: p for c, p in _PLAIN.items() if len(p) != 1}  # taken apart into several characters
+_BLANKS = "".join(c for c in map(chr, range(256)) if c.isspace())
+
+
 def column_name(cell: Column) -> Column:
-    """A header cell as the accepted names are written: capitals, no accents (of Latin-1 letters), no outer blanks."""
-    return F.translate(F.upper(trim_all(cell)), "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY")
+    """A header cell as the accepted names are written: no outer blanks, capitals, compatibility decomposition, no accents.
+
+    Covers every character of Latin-1, the encoding of the files, also those that become several (a half, a sharp s)."""
+    out = F.btrim(cell, F.lit(_BLANKS))
+    for character, parts in _OTHER.items():
+        out = F.replace(out, F.lit(character), F.lit(parts))
+    return F.translate(out, "".join(_ONE), "".join(_ONE.values()))
 
 
 def place_of(header: Column, *accepted: str) -> Column:

@@ -42,9 +42,17 @@ def source_catalog(spark: SparkSession, history: str | None, monthly: str | None
     return catalog.orderBy(*catalog_order())
 
 
+def fingerprints(spark: SparkSession, history: str | None, monthly: str | None, salt: str = "") -> DataFrame:
+    """(url, impressao) of every archive: a hash of address, size, time of change and ``salt``."""
+    parts = [listing for path in (history, monthly) if path and (listing := _listing(spark, path)) is not None]
+    listing = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    state = F.concat_ws("|", "path", "length", F.unix_micros("modificationTime"), F.lit(salt))
+    return listing.select(F.col("path").alias("url"), F.sha2(state, 256).alias("impressao")).distinct()
+
+
 def _listing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+        return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "length", "modificationTime")
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" in str(problem):
             return None

@@ -5,8 +5,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from navgrid.functions import normalise_id, trim_all
+from navgrid.operators.report import refuse
 from navgrid.operators.tables import without_keys
 from navgrid.schema import EXCLUDED_IDS
+from navgrid.session import materialise
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -26,6 +28,7 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     lacking = {"Nome", "CNPJ"} - set(sheet.columns)
     if lacking:
         raise ValueError("The sheet lacks the columns: " + ", ".join(sorted(lacking)))
+    sheet = materialise(sheet.select("Nome", "CNPJ", "_arquivo", "_id"))  # numbers of one scan: another may split the files otherwise
     firsts = sheet.groupBy("_arquivo").agg(F.min("_id").alias("_primeira"))
     several = firsts.limit(2).count() > 1
     line = (F.col("_id") - F.col("_primeira") + (1 if parquet else 2)).cast("string")
@@ -49,15 +52,10 @@ def clean_register(sheet: DataFrame) -> DataFrame:
 
 
 def read_register(sheet: DataFrame, excluded: Iterable[str] = EXCLUDED_IDS) -> DataFrame:
-    """Validated (cnpj, nome); an empty sheet, an invalid or a repeated identifier is an error."""
+    """Validated (cnpj, nome); an empty sheet, an invalid or a repeated identifier is an error (operators.report)."""
     if sheet.isEmpty():
         raise ValueError("The sheet has no funds.")
-    in_order = F.array_sort(F.collect_list(F.struct(F.col("linha").try_cast("long").alias("n"), "linha")))
-    bad = invalid_ids(sheet).agg(F.array_join(F.transform(in_order, lambda x: x["linha"]), ", ").alias("linhas")).first()["linhas"]
-    if bad:
-        raise ValueError(f"Invalid identifier in line(s): {bad}")
+    refuse(invalid_ids(sheet), "Invalid identifier in line(s)", F.col("linha"), [F.col("linha").try_cast("long"), "linha"])
     register = clean_register(sheet)
-    twice = duplicate_ids(register).agg(F.array_join(F.array_sort(F.collect_list("cnpj")), ", ").alias("quais")).first()["quais"]
-    if twice:
-        raise ValueError(f"Repeated identifiers: {twice}")
+    refuse(duplicate_ids(register), "Repeated identifiers", F.col("cnpj"), ["cnpj"])
     return without_keys(register, excluded)

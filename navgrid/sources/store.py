@@ -1,24 +1,41 @@
 """Versioned Parquet tables: register, quotes and ledger switch together, and only changed months are written.
 
-    root/fundos/versao=N          root/cargas/versao=N
-    root/cotas_diarias/versao=N/mes=YYYY-MM
-    root/indice/versao=N          which files and funds each month of that version holds
-    root/manifesto/versao=N       which version holds each table and each month; written last
+    root/fundos/versao=ID         root/cargas/versao=ID
+    root/cotas_diarias/versao=ID/mes=YYYY-MM
+    root/indice/versao=ID         per month of that write: files and funds, each with first and last date and row count
+    root/manifesto/versao=N.parquet   where version N holds each table and each month
 
-A version counts once its manifest is there, so an interrupted load leaves the previous version in force and
-can simply run again. ``vacuum`` removes what no current entry refers to. One writer at a time.
+A version counts once its manifest is there, so an interrupted write leaves the previous version in force and can simply
+run again. A manifest is a file that is created only if it does not exist: of two writers of one version one is told so. It
+goes on from the new version if the other changed nothing that it replaces, otherwise it gets Conflict, and ``update``
+builds its change again. ``vacuum`` removes what no current entry refers to.
+
+Inside a month rows are clustered by fund: ranges of funds per file, small row groups and a Bloom filter, so a scan of a
+few funds reads few row groups. Coverage comes from the index alone, whose entries of different months add up.
 """
 
+import uuid
+from collections.abc import Callable, Sequence
+from datetime import timedelta
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from navgrid.operators.coverage import coverage
+from navgrid.operators.coverage import covered
+from navgrid.operators.panel import any_of, date_limits
 from navgrid.schema import LEDGER, QUOTES, REGISTER
 
 _SMALL = {"fundos": REGISTER, "cargas": LEDGER}
 _QUOTES = "cotas_diarias"
 _INDEX = "indice"
-_INDEX_ROW = "mes string, tipo string, nome string"
-_MANIFEST = "tabela string, mes string, versao_dados int"
+_INDEX_ROW = "mes string, tipo string, nome string, primeira date, ultima date, linhas long"
+_MANIFEST = "tabela string, mes string, versao_dados string"
+ROW_GROUP = 16 << 20  # bytes of a row group of quotes
+GROUP_FUNDS = 50_000  # funds in a row group that its Bloom filter is made for
+
+
+class Conflict(RuntimeError):
+    """Another writer has replaced a table or month in the meantime."""
 
 
 def month_of(column: str = "data"):
@@ -29,52 +46,58 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self._known = spark, root.rstrip("/"), None
 
-    def _path(self, table: str, version: int) -> str:
+    def _path(self, table: str, version: str) -> str:
         return f"{self.root}/{table}/versao={version}"
 
-    def manifest(self) -> tuple[int, dict[tuple[str, str | None], int]]:
+    def manifest(self) -> tuple[int, dict[tuple[str, str | None], str]]:
         """Current version and where it keeps each table and month (one entry per calendar month).
 
-        Read once per Store and after each commit; open a new Store to see another writer's version.
+        Read once per Store and after each commit; ``refresh`` or a new Store see another writer's version.
         """
         if self._known is None:
             self._known = self._read_manifest()
         return self._known[0], dict(self._known[1])
 
-    def _read_manifest(self) -> tuple[int, dict[tuple[str, str | None], int]]:
-        version = max(self._versions("manifesto"), default=0)
+    def refresh(self) -> None:
+        self._known = None
+
+    def _read_manifest(self) -> tuple[int, dict[tuple[str, str | None], str]]:
+        version = max(self._versions(), default=0)
         if not version:
             return 0, {}
-        rows = self.spark.read.schema(_MANIFEST).parquet(self._path("manifesto", version)).collect()
+        rows = self.spark.read.schema(_MANIFEST).parquet(self._manifest_path(version)).collect()
         return version, {(r["tabela"], r["mes"]): r["versao_dados"] for r in rows}
 
-    def _versions(self, table: str) -> list[int]:
-        """Versions of a table whose folder is complete, from the listing alone."""
-        folder, fs = self._folder(f"{self.root}/{table}")
-        if not fs.exists(folder):
-            return []
-        found = [status.getPath() for status in fs.listStatus(folder) if status.getPath().getName().startswith("versao=")]
-        done = [p for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return [int(p.getName().split("=")[1]) for p in done]
+    def _manifest_path(self, version: int) -> str:
+        return self._path("manifesto", f"{version:08d}.parquet")
+
+    def _versions(self) -> list[int]:
+        folder, fs = self._folder(f"{self.root}/manifesto")
+        names = [status.getPath().getName() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+        return [int(n[len("versao="):-len(".parquet")]) for n in names if n.startswith("versao=") and n.endswith(".parquet")]
 
     def _folder(self, path: str):
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def vacuum(self) -> list[str]:
+    def vacuum(self, older_than: timedelta = timedelta(0)) -> list[str]:
         """Remove versions and months that the current manifest does not refer to; returns the removed folders.
 
-        Readers of older versions have to be done.
+        Readers of older versions have to be done. Where others may be writing, ``older_than`` keeps what is newer.
         """
+        self.refresh()
         version, entries = self.manifest()
         kept, removed = set(entries.items()), []
+        newest = self.spark._jvm.java.lang.System.currentTimeMillis() - int(older_than.total_seconds() * 1000)
         for table in (*_SMALL, _QUOTES, _INDEX, "manifesto"):
             parent, fs = self._folder(f"{self.root}/{table}")
             for status in fs.listStatus(parent) if fs.exists(parent) else ():
                 folder = status.getPath()
-                held = int(folder.getName().split("=")[1])
+                held = folder.getName().partition("=")[2]
+                if status.getModificationTime() > newest:
+                    continue
                 if table == "manifesto":
-                    stale = [folder] if held != version else []
+                    stale = [folder] if held != f"{version:08d}.parquet" else []
                 elif table in _SMALL:
                     stale = [folder] if entries.get((table, None)) != held else []
                 elif table == _INDEX:
@@ -88,19 +111,42 @@ class Store:
                     removed.append(str(path))
         return removed
 
-    def months_with(self, sources: list[str] = (), funds: list[str] = ()) -> list[str]:
+    # --- reading ---------------------------------------------------------------------------------------------
+
+    def _index(self) -> DataFrame | None:
+        """Index rows of the months that are in force (the list of months is bounded by the calendar)."""
+        held = [(month, v) for (table, month), v in self.manifest()[1].items() if table == _QUOTES]
+        if not held:
+            return None
+        index = (self.spark.read.schema(_INDEX_ROW + ", versao string").option("basePath", f"{self.root}/{_INDEX}")
+                 .parquet(*sorted({self._path(_INDEX, v) for _, v in held})))
+        return index.join(F.broadcast(self.spark.createDataFrame(held, "mes string, versao string")), ["mes", "versao"], "left_semi")
+
+    def months_with(self, sources: Sequence[str] = (), funds: Sequence[str] = ()) -> list[str]:
         """Months that hold rows of these files or funds, from the index: no quote is scanned. Bounded by the calendar."""
-        _, entries = self.manifest()
-        held = {(month, v) for (table, month), v in entries.items() if table == _QUOTES}
-        if not held or not (sources or funds):
+        index = self._index()
+        if index is None or not (sources or funds):
             return []
-        index = (self.spark.read.schema(_INDEX_ROW + ", versao int").option("basePath", f"{self.root}/{_INDEX}")
-                 .parquet(*sorted({self._path(_INDEX, v) for _, v in held})))
         names = self.spark.createDataFrame([("arquivo_origem", s) for s in sources] + [("cnpj", f) for f in funds], "tipo string, nome string")
-        found = index.join(names, ["tipo", "nome"], "left_semi").select("mes", "versao").distinct().collect()
-        return sorted({r["mes"] for r in found if (r["mes"], r["versao"]) in held})
+        return sorted(r["mes"] for r in index.join(names, ["tipo", "nome"], "left_semi").select("mes").distinct().collect())
 
-    def read(self, table: str, months: list[str] | None = None) -> DataFrame:
+    def held(self) -> DataFrame:
+        """First and last date and number of quotes per fund, from the index: partial results per month are merged."""
+        index = self._index()
+        if index is None:
+            return self.spark.createDataFrame([], "cnpj string, primeira date, ultima date, linhas long")
+        return (index.where("tipo = 'cnpj'").groupBy(F.col("nome").alias("cnpj"))
+                .agg(F.min("primeira").alias("primeira"), F.max("ultima").alias("ultima"), F.sum("linhas").alias("linhas")))
+
+    def coverage(self) -> DataFrame:
+        """What operators.coverage gives over all quotes, from register and index: no quote is scanned."""
+        return covered(self.read("fundos"), self.held())
+
+    def date_limits(self) -> DataFrame:
+        """First and last date of all quotes, from the index. No quotes at all is an error of the job."""
+        return date_limits(self.held().select(F.explode(F.array("primeira", "ultima")).alias("data")))
+
+    def read(self, table: str, months: Sequence[str] | None = None) -> DataFrame:
         """Current content; for the quotes optionally only some months (others are not listed or scanned)."""
         _, entries = self.manifest()
         if table in _SMALL:
@@ -121,43 +167,105 @@ class Store:
         months = [m for (t, m), _ in self.manifest()[1].items() if t == _QUOTES and first <= m <= last]
         return self.read(_QUOTES, months)
 
+    def quotes_of(self, funds: Sequence[str], start, end) -> DataFrame:
+        """Quotes of some funds in an inclusive date range: only the row groups that may hold them are read."""
+        return self.quotes_between(start, end).where(any_of("cnpj", funds) & F.col("data").between(F.lit(start), F.lit(end)))
+
+    # --- writing ---------------------------------------------------------------------------------------------
+
     def commit(self, register: DataFrame | None = None, ledger: DataFrame | None = None, quotes: DataFrame | None = None,
-               months: list[str] = ()) -> int:
+               months: Sequence[str] = ()) -> int:
         """Write a version. ``quotes`` replaces the listed months; other months, and tables not given, keep their files.
 
-        Overwriting touches only what an interrupted attempt at the same, never committed version left behind.
-
-        The rebalance hint lets the adaptive planner split a month that holds most rows and join small ones.
+        The frames are changes to the version that this Store has read. Data go to folders of their own, so writers never
+        touch each other's files. Raises Conflict if another writer has replaced one of the same tables or months since.
         """
-        version, entries = self.manifest()
-        version += 1
+        base, before = self.manifest()
+        name = f"{base + 1:08d}-{uuid.uuid4().hex[:8]}"
+        written, owned = {}, set()
         for table, frame in (("fundos", register), ("cargas", ledger)):
             if frame is None:
                 continue
-            frame.select(*_SMALL[table].fieldNames()).write.mode("overwrite").parquet(self._path(table, version))
-            entries[table, None] = version
+            frame.select(*_SMALL[table].fieldNames()).write.parquet(self._path(table, name))
+            written[table, None] = name
         if quotes is not None and months:
-            for month in months:
-                entries.pop((_QUOTES, month), None)
-            (quotes.select(*QUOTES.fieldNames(), month_of().alias("mes")).hint("rebalance", "mes")
-             .sortWithinPartitions("mes", "cnpj", "data").write.mode("overwrite").partitionBy("mes")
-             .parquet(self._path(_QUOTES, version)))
-            layout = T.StructType([*QUOTES.fields, T.StructField("mes", T.StringType())])
-            written = self.spark.read.schema(layout).parquet(self._path(_QUOTES, version))
-            kinds = [F.struct(F.lit(c).alias("tipo"), F.col(c).alias("nome")) for c in ("arquivo_origem", "cnpj")]
-            index = written.select("mes", "arquivo_origem", "cnpj").distinct().select("mes", F.explode(F.array(*kinds)).alias("k"))
-            index.select("mes", "k.*").distinct().write.mode("overwrite").parquet(self._path(_INDEX, version))
-            listed = self.spark.read.schema(_INDEX_ROW).parquet(self._path(_INDEX, version))
-            for row in listed.select("mes").distinct().collect():
-                entries[_QUOTES, row["mes"]] = version
+            owned = {(_QUOTES, month) for month in months}
+            written |= {(_QUOTES, month): name for month in self._write_quotes(quotes, name)}
+        owned |= set(written)
+        version, entries = base, before
+        while True:
+            entries = {k: v for k, v in entries.items() if k not in owned} | written
+            if self._publish(version + 1, entries):
+                self.refresh()
+                return version + 1
+            self.refresh()
+            version, entries = self.manifest()
+            if version == base:
+                raise OSError(f"The manifest of version {base + 1} could not be created.")
+            changed = {k for k in before.keys() | entries.keys() if before.get(k) != entries.get(k)}
+            if changed & owned:
+                raise Conflict("Replaced by another writer: " + ", ".join(sorted("/".join(filter(None, k)) for k in changed & owned)))
+            base = version
+
+    def update(self, change: Callable[["Store"], tuple], attempts: int = 5) -> int:
+        """Commit what ``change`` makes of the current version; after a conflict it is made again from the new one."""
+        for attempt in range(1, attempts + 1):
+            try:
+                return self.commit(*change(self))
+            except Conflict:
+                if attempt == attempts:
+                    raise
+
+    def _write_quotes(self, quotes: DataFrame, name: str) -> list[str]:
+        """Months written. Ranges of (month, fund) spread a month with most rows over tasks and keep a fund's rows together."""
+        path = self._path(_QUOTES, name)
+        (quotes.select(*QUOTES.fieldNames(), month_of().alias("mes")).repartitionByRange("mes", "cnpj")
+         .sortWithinPartitions("mes", "cnpj", "data").write.partitionBy("mes")
+         .option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#cnpj", "true")
+         .option("parquet.bloom.filter.expected.ndv#cnpj", GROUP_FUNDS).parquet(path))
+        layout = T.StructType([*QUOTES.fields, T.StructField("mes", T.StringType())])
+        counted = self.spark.read.schema(layout).parquet(path).groupBy("mes", "arquivo_origem", "cnpj").agg(
+            F.min("data").alias("primeira"), F.max("data").alias("ultima"), F.count(F.lit(1)).alias("linhas"))
+        kinds = [F.struct(F.lit(c).alias("tipo"), F.col(c).alias("nome")) for c in ("arquivo_origem", "cnpj")]
+        index = counted.select("mes", F.explode(F.array(*kinds)).alias("k"), "primeira", "ultima", "linhas")
+        (index.groupBy("mes", "k").agg(F.min("primeira").alias("primeira"), F.max("ultima").alias("ultima"), F.sum("linhas").alias("linhas"))
+         .select("mes", "k.*", "primeira", "ultima", "linhas").write.parquet(self._path(_INDEX, name)))
+        listed = self.spark.read.schema(_INDEX_ROW).parquet(self._path(_INDEX, name))
+        return [row["mes"] for row in listed.select("mes").distinct().collect()]
+
+    def _publish(self, version: int, entries: dict) -> bool:
+        """Create the manifest unless it exists: a complete file under another name first, then one atomic step."""
+        target, fs = self._folder(self._manifest_path(version))
+        draft, _ = self._folder(f"{self.root}/manifesto/_{uuid.uuid4().hex}")
         rows = [(table, month, held) for (table, month), held in entries.items()]
-        (self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite")
-         .parquet(self._path("manifesto", version)))
-        self._known = None
-        return version
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.parquet(str(draft))
+        part = next(s.getPath() for s in fs.listStatus(draft) if s.getPath().getName().endswith(".parquet"))
+        try:
+            return self._create_only(fs, part, target)
+        finally:
+            fs.delete(draft, True)
+
+    def _create_only(self, fs, source, target) -> bool:
+        """Local: a hard link. HDFS: a rename, which never replaces a file. Object stores: a create without overwrite, which
+        they decide when the object is complete."""
+        jvm, scheme = self.spark._jvm, fs.getUri().getScheme()
+        try:
+            if scheme == "file":
+                place = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(place(target), place(source))
+                return True
+            if scheme in ("hdfs", "viewfs", "webhdfs"):
+                return fs.rename(source, target)
+            conf = self.spark._jsc.hadoopConfiguration()
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(source), fs.create(target, False), conf, True)
+            return True
+        except Py4JJavaError as problem:
+            if "FileAlreadyExists" in problem.java_exception.getClass().getName():
+                return False
+            raise
 
     def create_views(self) -> None:
         """Temporary views under the table names, and the coverage view."""
         for table in (*_SMALL, _QUOTES):
             self.read(table).createOrReplaceTempView(table)
-        coverage(self.read("fundos"), self.read(_QUOTES)).createOrReplaceTempView("fundos_controle")
+        self.coverage().createOrReplaceTempView("fundos_controle")

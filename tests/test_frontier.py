@@ -208,3 +208,38 @@ def test_buckets_and_efficient_flag(spark):
     assert values(E.efficient_flag(df), "candidata", "eficiente") == [(0, False), (1, True), (2, True), (3, True)]
     same = df.selectExpr("candidata", "risco", "0.5D as retorno")
     assert values(E.lowest_risk_per_bucket(same, 3), "faixa", "candidata") == [(0, 1)]
+
+
+def test_every_answer_meets_the_optimality_conditions():
+    """10,000 problems of three to eight series, also singular, badly scaled and with twins, along their curves."""
+    rng, worst, solved = np.random.default_rng(5), 0.0, 0
+    for k in range(1430):
+        n, days, floor = int(rng.integers(3, 9)), int(rng.integers(4, 90)), float(rng.choice([0, 0.01, 0.05]))
+        r = rng.normal(0, 0.02, (n, days)) * rng.choice([1, 1e-3, 10], n)[:, None] ** (k % 3 == 0) + rng.normal(0, 0.01, days) * (k % 2)
+        if k % 7 == 0:
+            r[-1] = r[0]
+        if k % 11 == 0:
+            r[1] = 0
+        mean, cov = r.mean(axis=1) * 252, np.cov(r) * 252
+        base, total, near = floor * cov.sum(axis=1), 1 - floor * n, None
+        ends = [floor * mean.sum() + total * x for x in (mean.min(), mean.max())]
+        for target in [*np.linspace(*ends, 6), None]:
+            need = None if target is None else target - floor * mean.sum()
+            x, level, slope, edge = O.excess_over_floor(mean, cov, base, total, need, near if target is not None else None)
+            near, solved = (x if edge is None else None), solved + 1
+            assert abs(x.sum() - total) < 1e-9 and x.min() >= 0
+            if edge is None:
+                assert need is None or abs(mean @ x - need) < 1e-9 * max(1.0, np.ptp(mean))
+                pull = cov @ x + base - level - slope * mean
+                worst = max(worst, -pull.min() / np.abs(cov).max(), np.abs(pull[x > 0]).max() / np.abs(cov).max())
+    assert solved > 10_000 and worst < 1e-9
+
+
+def test_small_problems_against_every_active_set():
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        n = int(rng.integers(3, 7))
+        _, mean, cov = problem(n, seed=100 + k, twin=k % 5 == 0)
+        for target in np.linspace(0.01 * mean.sum() + (1 - 0.01 * n) * mean.min(), 0.01 * mean.sum() + (1 - 0.01 * n) * mean.max(), 5)[1:4]:
+            w = O.dense_min_variance(mean, cov, 0.01, float(target))
+            assert w @ cov @ w == pytest.approx(brute(mean, cov, 0.01, target)[0], rel=1e-9)

@@ -144,3 +144,38 @@ def test_a_missing_fund_empties_the_panel_also_by_subclass(spark):
     span, key = (date(2024, 1, 1), date(2024, 1, 9)), ("cnpj", "id_subclasse")
     assert load_panel(quotes, ["A"], *span, series_key=key).count() == 6
     assert load_panel(quotes, ["A", "B"], *span, series_key=key).count() == 0
+
+
+def test_long_reports_are_tables(spark, tmp_path, monkeypatch):
+    """The error is bounded; the table it names has every faulty row."""
+    from navgrid.operators import report
+    from navgrid.operators.portfolio import check_weights
+    from navgrid.sources.register import read_register, read_sheet
+    monkeypatch.setattr(report, "SHOWN", 5)
+    (tmp_path / "f.csv").write_text("Nome,CNPJ\n" + "\n".join(f"F,{'x' if i % 2 else i + 1}" for i in range(300)) + "\n")
+    with pytest.raises(report.ReportedError, match=r"line\(s\): 3, 5, 7, 9, 11 and 145 more, all listed in ") as error:
+        read_register(read_sheet(spark, str(tmp_path / "f.csv")))
+    assert error.value.rows == 150 and error.value.place in str(error.value)
+    assert {r["linha"] for r in error.value.report(spark).collect()} == {str(i + 2) for i in range(1, 300, 2)}
+    (tmp_path / "g.csv").write_text("Nome,CNPJ\n" + "\n".join(f"F,{i % 90}" for i in range(180)) + "\n")
+    with pytest.raises(report.ReportedError, match="and 85 more") as error:
+        read_register(read_sheet(spark, str(tmp_path / "g.csv")))
+    assert values(error.value.report(spark)) == [(str(i).zfill(14), 2) for i in range(90)]
+    weights = spark.createDataFrame([(f"c{i:02d}", "A", 0.5) for i in range(25)], "carteira string, serie string, peso double")
+    with pytest.raises(report.ReportedError, match="^25 .*c00.*c04.* and 20 more") as error:
+        check_weights(weights, weights.select("carteira", "serie"))
+    assert error.value.report(spark).count() == 25
+    assert check_weights(weights.withColumn("peso", weights.peso * 2), weights.select("carteira", "serie")) is not None
+
+
+def test_sheet_lines_do_not_depend_on_later_splits(spark, tmp_path):
+    """Lines are numbered in one scan: smaller splits afterwards do not move them."""
+    from navgrid.sources.register import read_sheet
+    spark.range(3000).selectExpr("concat('F', id) as Nome", "cast(id as string) as CNPJ").coalesce(1).write.option("parquet.block.size", 2000).parquet(str(tmp_path / "s.parquet"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        sheet = read_sheet(spark, str(tmp_path / "s.parquet"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+        assert all(r["linha"].endswith(f":{int(r['CNPJ']) + 1}") for r in sheet.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
