@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from navgrid.llm.common import WORD, Rolling, bounded, chunks, grams, partitions, utf8, words
 from navgrid.llm.graph import components
-from navgrid.session import materialise
+from navgrid.session import discard, materialise
 
 BROADCAST_ROWS = 500_000  # candidates up to which the texts are matched with them without a shuffle (about 50 MB)
 CHUNK_TEXTS = 1_500
@@ -79,8 +79,9 @@ def _classes(documents, threshold, shingle, trees, max_depth, recall):
         F.min(F.struct("doc_id", "copy")).alias("of")))
     labels = worded.select("node", F.explode("labels").alias("label")).distinct()
     hubs = labels.groupBy("label").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    meeting = labels.join(hubs.select("label", "hub"), "label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    candidates = materialise(components(meeting).join(classes, "node"))
+    meeting = materialise(labels.join(hubs.select("label", "hub"), "label").select("node", "hub").distinct())
+    candidates = materialise(components(_contracted(meeting)).join(classes, "node"))
+    discard(meeting)
     links = materialise(_verified(texts, candidates, threshold, shingle))
     linked = components(links.where("peer is not null").select(F.col("node").alias("a"), F.col("peer").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
@@ -92,6 +93,15 @@ def _classes(documents, threshold, shingle, trees, max_depth, recall):
     return signed, of_class.join(names, "root")
 
 
+def _contracted(meeting: DataFrame) -> DataFrame:
+    """Edges with the components of (node, hub): each node on its smallest hub, and that hub on the node's other ones.
+
+    Texts that are alike meet in the same bands, so a group of n texts over 20 bands is n edges and a few between hubs."""
+    first = meeting.groupBy("node").agg(F.min("hub").alias("first"))
+    between = meeting.join(first, "node").where("hub <> first").select(F.col("first").alias("a"), F.col("hub").alias("b")).distinct()
+    return first.select(F.col("node").alias("a"), F.col("first").alias("b")).union(between)
+
+
 def _shingles(column, size):
     """Ranges of rows with the hashes of their shingles and the number of these before each row."""
     data, offsets = utf8(column)
