@@ -6,7 +6,9 @@ that refer to it and carry no payload.
 Reading: tasks read byte ranges and cut them at every occurrence of the record magic, also those inside payloads. Each
 piece that looks like a record names its successor: its own offset plus header and content length. Starting with the
 first byte of each file, pointer jumping keeps what the chain of records reaches; all other magic lies inside a payload,
-and the pieces it cut are joined again. Only lengths and headers are shuffled, and payloads that hold magic.
+and the pieces it cut are joined again. Only lengths and headers are shuffled, and payloads that hold magic. Pieces are
+numbered in one written scan; a second scan looks up the pieces of torn records by length and two hashes of their content,
+so it does not matter how either scan splits the files. A piece or a revisit's response that is not found fails the job.
 """
 
 import uuid
@@ -19,7 +21,8 @@ from navgrid.session import discard, materialise, shared_dir
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
+CELL = 1 << 20  # bytes of a file that pieces and torn records are matched by
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,7 +72,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     header = F.concat(F.lit("\r\n"), head)
     field = lambda name: F.nullif(F.regexp_extract(header, rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
     pieces = source.select(
-        "file", "split", "at", F.octet_length("value").cast("long").alias("n"),
+        "file", "split", "at", *_content(F.col("value")),
         F.when(F.instr("value", END) > 0, F.octet_length(head) + 4).cast("long").alias("header"),
         F.expr("try_cast(%s as long)" % "nullif(regexp_extract(concat('\\r\\n', substring_index(value, '\\r\\n\\r\\n', 1)), "
                "'(?i)\\\\r\\\\nContent-Length:[ \\\\t]*([0-9]{1,18})[ \\\\t]*(\\\\r\\\\n|$)', 1), '')").alias("content"),
@@ -110,7 +113,7 @@ def _offsets(pieces: DataFrame) -> DataFrame:
     length = F.lit(magic) + F.col("header") + F.col("content") + 4
     return (placed.join(splits, ["file", "split"]).withColumn("offset", offset)
             .select("file", "split", "at", "offset", length.alias("length"), (offset + length).alias("next"), "type", "id",
-                    "refers_to", "target", "stated_digest", F.col("_payload_bytes").alias("payload_bytes"),
+                    "n", "hash", "more", "refers_to", "target", "stated_digest", F.col("_payload_bytes").alias("payload_bytes"),
                     F.col("_payload_digest").alias("payload_digest")))
 
 
@@ -132,17 +135,29 @@ def _reached(offsets: DataFrame) -> DataFrame:
     return reached
 
 
+def _content(value: Column) -> list[Column]:
+    """What a piece is known by: its length and two hashes."""
+    return [F.octet_length(value).cast("long").alias("n"), F.xxhash64(value).alias("hash"), F.xxhash64(F.lit(7), value).alias("more")]
+
+
 def _rejoined(source: DataFrame, offsets: DataFrame, torn: DataFrame) -> DataFrame:
-    """Records whose payload holds magic: their pieces, in order, with the magic between them."""
+    """Records whose payload holds magic: their pieces, in order, with the magic between them.
+
+    Pieces meet their record by equal cells of the file, as many as the record touches. A record past the file's end is
+    incomplete and left out."""
     of = torn.select("file", F.col("offset").alias("of"), "length", "type", "id", "refers_to", "target", "stated_digest")
-    marked = offsets.select("file", "split", "at", "offset").join(torn.select("file", "offset", F.lit(1).alias("start")), ["file", "offset"], "left")
-    owner = marked.selectExpr("file", "split", "at", "offset",
-                              "last(case when start = 1 then offset end, true) over (partition by file order by offset) as of")
-    parts = (owner.join(of, ["file", "of"]).where(F.col("offset") < F.col("of") + F.col("length")))
-    keys = parts.select("file", "split", "at", "of", "offset")
-    keys = F.broadcast(keys) if bounded(keys, BROADCAST_ROWS) else keys
-    texts = (source.join(keys, ["file", "split", "at"]).groupBy("file", "of")
-             .agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts")))
+    cell = lambda x: F.floor(x / CELL)
+    touched = of.select("file", "of", "length", F.explode(F.sequence(cell(F.col("of")), cell(F.col("of") + F.col("length") - 1))).alias("cell"))
+    parts = (offsets.select("file", "offset", cell(F.col("offset")).alias("cell"), "n", "hash", "more").join(touched, ["file", "cell"])
+             .where((F.col("offset") >= F.col("of")) & (F.col("offset") < F.col("of") + F.col("length"))))
+    parts = materialise(parts.select("file", "of", "offset", "n", "hash", "more"))
+    content = ["n", "hash", "more"]
+    wanted = parts.select(*content).distinct()
+    wanted = F.broadcast(wanted) if bounded(wanted, BROADCAST_ROWS) else wanted
+    values = source.select("value", *_content(F.col("value"))).join(wanted, content, "left_semi").groupBy(*content).agg(F.first("value").alias("value"))
+    lost = F.raise_error(F.concat(F.lit("A piece of an archive was not found again: "), "file", F.lit(" "), F.col("offset").cast("string")))
+    texts = (parts.join(values, content, "left").withColumn("value", F.when(F.col("value").isNull(), lost).otherwise(F.col("value")))
+             .groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts")))
     text = F.concat_ws(MAGIC, F.transform("parts", lambda x: x["value"]))
     whole = texts.select("file", "of", text.alias("text"))
     header = F.octet_length(F.substring_index("text", END, 1)) + 4
@@ -156,7 +171,8 @@ def _rejoined(source: DataFrame, offsets: DataFrame, torn: DataFrame) -> DataFra
 def archived_pages(pages: DataFrame, smallest: int = 100) -> DataFrame:
     """Pages written to archives in the shared folder and read back: one row per record, revisits with the payload
     length and digest of the response that they refer to; of several with its page_id, the one of the digest that the
-    revisit states. Columns: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    revisit states. A count of records read back that differs from that of pages is an error. Columns: page_id,
+    payload_bytes, payload_digest, record_type, refers_to.
     See write_archives for nulls and ties; an empty table gives no rows."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/navgrid/warc-{uuid.uuid4().hex}"
@@ -165,8 +181,13 @@ def archived_pages(pages: DataFrame, smallest: int = 100) -> DataFrame:
     records = materialise(read_archives(spark, path).select(
         number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
         number("refers_to").alias("refers_to"), F.regexp_replace("stated_digest", "^sha256:", "").alias("stated")))
+    read, written = records.count(), pages.count()
+    if read != written:
+        raise RuntimeError(f"{written} pages were archived and {read} records read back")
     responses = records.where("record_type = 'response' and payload_bytes >= %d" % smallest).groupBy(
         F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated")).agg(F.max("payload_bytes").alias("n"))
-    again = records.where("record_type = 'revisit'").join(responses, ["refers_to", "stated"]).select(
-        "page_id", F.col("n").alias("payload_bytes"), F.col("stated").alias("payload_digest"), "record_type", "refers_to")
+    lost = F.raise_error(F.concat(F.lit("The response of a revisit is not in the archives: "), F.col("refers_to").cast("string")))
+    again = records.where("record_type = 'revisit'").join(responses, ["refers_to", "stated"], "left").select(
+        "page_id", F.when(F.col("n").isNull(), lost).otherwise(F.col("n")).alias("payload_bytes"), F.col("stated").alias("payload_digest"),
+        "record_type", "refers_to")
     return records.where("record_type = 'response'").drop("stated").unionByName(again)

@@ -95,6 +95,30 @@ TREES = [(1, 1, None, 1.0, "user", "hi"), (1, 2, 1, 3.0, "assistant", "a"), (1,
          *[(5, i, i - 1 if i else None, 0.0, "assistant" if i % 2 else "user", f"turn {i}") for i in range(70)]]
 
 
+def test_archives_when_splits_change_between_the_scans(spark, tmp_path, monkeypatch):
+    """Records with magic inside their payload come back whole, however the second scan splits the files."""
+    rows = [(i, "http://x", (f"page {i} " * 30 + (warc.MAGIC + f"Content-Length: {i % 40}\r\n\r\ninside " if i % 5 == 0 else "") + "end " * (i % 50)))
+            for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    reached, changed = warc._reached, []
+
+    def smaller_splits(offsets):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+        changed.append(True)
+        return reached(offsets)
+    monkeypatch.setattr(warc, "_reached", smaller_splits)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for limit in (warc.BROADCAST_ROWS, 0):
+            monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            found = warc.archived_pages(pages.coalesce(1)).collect()
+            assert multiset((r.page_id, r.payload_digest) for r in found) == multiset((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(changed) == 2
+
+
 def test_reply_trees(spark):
     messages = spark.createDataFrame(TREES, "tree long, id long, parent long, score double, role string, text string").withColumns(
         {"leaf": F.lit(1), "rank": F.lit(2), "place": F.lit(3), "up": F.lit(4)})
