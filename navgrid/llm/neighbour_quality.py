@@ -28,6 +28,7 @@ for _at, _set in ((5, b" \t"), (6, b"\n\r"), (7, b".,;:"), (8, b"!?"), (9, b"#*$
 _N_KINDS = 12
 _TERMS = _HASHED + _N_KINDS ** 3
 _REPEATS = 3
+_ROWS = 256  # texts whose terms are held densely at once
 _FEATURES = "label int, terms binary"
 
 
@@ -83,7 +84,7 @@ def _counts(column):
     """Ranges of rows with their term frequencies (roots of relative frequencies) and shares of repeated words."""
     data, offsets = utf8(column)
     rolling = Rolling(17)
-    for lo, hi in chunks(offsets):
+    for lo, hi in ((a, min(a + _ROWS, last)) for first, last in chunks(offsets) for a in range(first, last, _ROWS)):
         text = data[offsets[lo]:offsets[hi]]
         size = np.diff(offsets[lo:hi + 1])
         doc = np.repeat(np.arange(hi - lo), size)

@@ -5,6 +5,9 @@ the product of their numbers of n-grams. Nystroem: some training texts are landm
 text's features are its kernel values with the landmarks times K^(-1/2). One-versus-rest kernel ridge regression on these
 features gives a score per language. Presence is linear in the n-grams, so landmarks, K^(-1/2) and coefficients multiply
 to one matrix of n-grams by languages, and texts are scored by products of batches of presence vectors with it.
+
+Presence is kept as sorted sets and made dense only for stretches of n-grams (fitting) or few texts (scoring) at a time, so
+memory does not grow with n-grams times landmarks.
 """
 
 from dataclasses import dataclass
@@ -17,12 +20,13 @@ from navgrid.llm.common import utf8
 
 PER_LANGUAGE = 400  # training texts per language, about
 LANDMARKS = 60  # landmarks per language
-TEXTS_IN_ALL = 40_000  # shared out where there are over 100 languages, as are the landmarks
-LANDMARKS_IN_ALL = 6_000
+TEXTS_IN_ALL = 10_000  # shared out where there are over 25 languages, as are the landmarks
+LANDMARKS_IN_ALL = 1_500
 RIDGE = 1e-3
 SHARPNESS = 8.0
 UNKNOWN = "und"
-BATCH = 256  # texts in a matrix product
+BATCH = 256  # texts in a matrix product at most
+DENSE = 1 << 22  # cells of a dense presence matrix
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _GRAMS = (1 << 24) + (1 << 16) + (1 << 8)
@@ -67,20 +71,52 @@ def fit(documents: DataFrame, training: Column, per_language: int = PER_LANGUAGE
     marks = np.concatenate([np.flatnonzero(known == c)[np.linspace(0, (known == c).sum() - 1, min(landmarks, (known == c).sum())).astype(int)]
                             for c in range(len(languages))])
     codes = np.unique(np.concatenate([sets[i] for i in marks]))
+    roots = np.sqrt([len(s) for s in sets])
+    kernel = _common(sets, [sets[i] for i in marks], codes) / roots[:, None] / roots[marks][None, :]
+    values, vectors = np.linalg.eigh(kernel[marks])
+    keep = values > 1e-6 * values[-1]
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T
+    features = kernel @ whiten
+    ridge_matrix = features.T @ features + ridge * len(sets) * np.eye(len(marks))
+    moments = features.T @ (known[:, None] == np.arange(len(languages)))
+    of_marks = (whiten @ np.linalg.solve(ridge_matrix, moments)) / roots[marks][:, None]
+    weights = np.empty((len(codes), len(languages)), np.float32)
+    for lo, hi, mine in _stretches([sets[i] for i in marks], codes):
+        weights[lo:hi] = mine.T @ of_marks
+    return Model(languages, codes, weights)
+
+
+def _stretches(sets, codes):
+    """Ranges of n-grams (ascending codes) with the presence of these in every set."""
+    width = max(1, DENSE // max(1, len(sets)))
+    at = [np.searchsorted(codes, x) for x in sets]
+    held = [a[codes[np.minimum(a, len(codes) - 1)] == x] for a, x in zip(at, sets)]
+    doc, gram = np.repeat(np.arange(len(sets)), [len(x) for x in held]), np.concatenate(held)
+    order = np.argsort(gram, kind="stable")
+    doc, gram = doc[order], gram[order]
+    for lo in range(0, len(codes), width):
+        hi = min(lo + width, len(codes))
+        a, b = np.searchsorted(gram, [lo, hi])
+        mine = np.zeros((len(sets), hi - lo), np.float32)
+        mine[doc[a:b], gram[a:b] - lo] = 1
+        yield lo, hi, mine
+
+
+def _common(sets, marks, codes):
+    """Number of n-grams that each set has in common with each landmark."""
+    out = np.zeros((len(sets), len(marks)))
     place = np.full(_GRAMS, -1, np.int32)
     place[codes] = np.arange(len(codes))
-    held = _presence([sets[i] for i in marks], place, len(codes)).T / np.sqrt([len(sets[i]) for i in marks], dtype=np.float32)
-    values, vectors = np.linalg.eigh((held.T @ held).astype(np.float64))
-    keep = values > 1e-6 * values[-1]
-    features = (held @ ((vectors[:, keep] / np.sqrt(values[keep])) @ vectors[:, keep].T)).astype(np.float32)
-    squares, moments = np.zeros((len(marks), len(marks))), np.zeros((len(marks), len(languages)))
-    for i in range(0, len(sets), BATCH):
-        x = _presence(sets[i:i + BATCH], place, len(codes)) @ features
-        x /= np.sqrt([len(s) for s in sets[i:i + BATCH]], dtype=np.float32)[:, None]
-        squares += x.T @ x
-        moments += x.T @ (known[i:i + BATCH, None] == np.arange(len(languages)))
-    ridge_matrix = squares + ridge * len(sets) * np.eye(len(marks))
-    return Model(languages, codes, (features @ np.linalg.solve(ridge_matrix, moments)).astype(np.float32))
+    own = [np.sort(p[p >= 0]) for p in (place[x] for x in sets)]
+    for lo, hi, mine in _stretches(marks, codes):
+        for first in range(0, len(sets), BATCH):
+            some = own[first:first + BATCH]
+            x = np.zeros((len(some), hi - lo), np.float32)
+            for i, p in enumerate(some):
+                a, b = np.searchsorted(p, [lo, hi])
+                x[i, p[a:b] - lo] = 1
+            out[first:first + BATCH] += x @ mine.T
+    return out
 
 
 def languages(documents: DataFrame, model: Model) -> DataFrame:
@@ -132,8 +168,9 @@ def _score(batches, model, column):
     for batch in batches:
         data, offsets = utf8(batch.column(column))
         names, scores = [], []
-        for lo in range(0, len(offsets) - 1, BATCH):
-            hi = min(lo + BATCH, len(offsets) - 1)
+        at_once = max(1, min(BATCH, DENSE // max(1, len(model.codes))))
+        for lo in range(0, len(offsets) - 1, at_once):
+            hi = min(lo + at_once, len(offsets) - 1)
             texts = [_LOWER[data[a:b]] for a, b in zip(offsets[lo:hi], offsets[lo + 1:hi + 1])]
             known = np.array([bool(len(model.languages)) and (letters[x].any() or any(map(str.isalpha, x.tobytes().decode("utf-8", "replace"))))
                               for x in texts])

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,79 @@ def test_neighbour_quality(spark, empty):
     nothing = neighbour_quality.fit(documents, documents.select("doc_id", "label").limit(0), F.lit(True))
     assert {r.score for r in neighbour_quality.scores(documents, nothing).collect()} == {0.0}
     assert neighbour_quality.scores(empty, model).count() == 0
+
+
+def plain_terms(text):
+    """Term vector of a text, one byte and one word after the other."""
+    q, data, w = neighbour_quality, (text or "").encode(), words(text)
+    x = np.zeros(q._TERMS + 3)
+    for i in range(len(data) - 2):
+        code = ((data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 0x9E3779B1) & 0xFFFFFFFF
+        x[code >> 20] += 1
+        a, b, c = (int(q._KINDS[v]) for v in data[i:i + 3])
+        x[q._HASHED + (a * 12 + b) * 12 + c] += 1
+    x = np.sqrt(x / max(len(data) - 2, 1))
+    share = [sum(w[i] == w[i - k] for i in range(k, len(w))) / max(len(w), 1) for k in (1, 2)]
+    x[q._TERMS:] = np.sqrt([max(0.0, 1 - sum(share)), *share]) if data else 0
+    return x
+
+
+def test_quality_is_the_vote_of_the_nearest(spark):
+    """Scores against plain cosines with every labelled vector; a text over one chunk and a clashing column."""
+    q = neighbour_quality
+    rows = [(i, prose(i, 20 + i % 50) if i % 2 else "! ".join(prose(i, 30).upper().split()) + " the the", i % 2) for i in range(90)]
+    rows += [(200, None, 1), (201, "", 0), (202, "x", None), (203, "ab ab ab ab", None), (204, prose(7, 180_000), None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, label int").withColumns({"score": F.lit("a"), "terms": F.lit(1)})
+    model = q.fit(documents, documents.select("doc_id", "label"), F.col("doc_id") % 4 != 2)
+    assert len(model.vectors) == sum(1 for i, t, label in rows if label is not None and i % 4 != 2)
+    found = {r.doc_id: r.score for r in q.scores(documents, model).collect()}
+    groups = ((0, q._HASHED), (q._HASHED, q._TERMS), (q._TERMS, q._TERMS + 3))
+    for i, t, _ in rows[:-1]:
+        x = plain_terms(t)
+        if not x.any():
+            assert found[i] == 0
+            continue
+        x[:q._TERMS] *= model.idf
+        for a, b in groups:
+            x[a:b] /= max(np.linalg.norm(x[a:b]), 1e-12)
+        v = x @ model.projection
+        near = model.vectors @ (v / max(np.linalg.norm(v), 1e-12))
+        best = np.argsort(-near)[:q.NEIGHBOURS]
+        weight = np.maximum(near[best], 1e-6) ** q.POWER
+        assert found[i] == pytest.approx((weight * model.labels[best]).sum() / weight.sum(), abs=2e-3)
+    assert 0 <= found[204] <= 1
+
+
+def test_rows_of_terms_are_bounded():
+    """Many short texts are made dense a few at a time."""
+    column = neighbour_quality.pa.array([f"text {i}" for i in range(5000)])
+    sizes = [x.shape[0] for _, _, x in neighbour_quality._counts(column)]
+    assert sum(sizes) == 5000 and max(sizes) <= neighbour_quality._ROWS
+
+
+def presence(text):
+    data = text.encode().lower()
+    return {data[i:i + n] for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+
+
+@pytest.mark.parametrize("dense", [1 << 22, 3000])
+def test_language_scores_are_kernel_ridge_regression(spark, monkeypatch, dense):
+    """With every training text a landmark, scores are those of ridge regression on the whole kernel matrix."""
+    monkeypatch.setattr(string_kernel, "DENSE", dense)
+    rows = [(i, prose(i, 8 + i % 9).translate(str.maketrans("0123456789abcdef", letters)), name)
+            for i, (name, letters) in enumerate(itertools.islice(itertools.cycle(
+                [("aa", "eariotnslcudpmhg"), ("bb", "eaüötnslßudpmhgz"), ("cc", "eçrêotnslcùdpmàé")]), 75))]
+    rows += [(500, "ein", None), (501, prose(3, 180_000), None), (502, "3", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("a"), "lang_pred": F.lit(1), "grams": F.lit(1)})
+    training = [(t, lang) for i, t, lang in rows if lang and i % 5]
+    model = string_kernel.fit(documents, F.col("doc_id") % 5 != 0, landmarks=1000)
+    known, names = [presence(t) for t, _ in training], sorted({lang for _, lang in training})
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    gram = np.array([[kernel(a, b) for b in known] for a in known])
+    of = np.linalg.solve(gram + string_kernel.RIDGE * len(known) * np.eye(len(known)), np.array([[lang == x for x in names] for _, lang in training], float))
+    found = {r.doc_id: r for r in string_kernel.languages(documents, model).collect()}
+    for i, t, _ in rows[:-2]:
+        f = np.array([kernel(presence(t), b) for b in known]) @ of * string_kernel.SHARPNESS
+        share = np.exp(f - f.max()) / np.exp(f - f.max()).sum()
+        assert found[i].lang_pred == names[int(share.argmax())] and found[i].score == pytest.approx(share.max(), abs=2e-3)
+    assert found[501].lang_pred in names and found[502].lang_pred == "und"
