@@ -49,50 +49,57 @@ def _keyed(messages: DataFrame) -> DataFrame:
 
 
 def _branches(messages: DataFrame, keep: int | None) -> DataFrame:
+    """Rank first: in rounds that double the step every message gets the sum and the number of the scores above it, so a
+    leaf's mean is known without its path. Only the chosen leaves are then expanded to paths, by the same steps."""
     nodes = materialise(messages.select("tree", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")))
-    ids = nodes.select("tree", F.col("id").alias("parent"))
-    jump = materialise(nodes.where("parent is not null").select("tree", "id", "parent").join(ids, ["tree", "parent"], "left_semi")
-                       .select("tree", "id", F.col("parent").alias("up")))
-    roots = nodes.select("tree", "id").join(jump.select("tree", "id"), ["tree", "id"], "left_anti")
-    leaves = nodes.select("tree", "id").join(jump.select("tree", F.col("up").alias("id")), ["tree", "id"], "left_anti")
-    paths = materialise(leaves.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("up")))
-    roots = materialise(roots)
-    for k in range(max(1, math.ceil(math.log2(nodes.count() + 1)) + 1)):
-        if jump.limit(1).count() == 0:
+    known = nodes.select("tree", F.col("id").alias("parent"), F.col("id").alias("up"))
+    state = materialise(nodes.join(known, ["tree", "parent"], "left").select("tree", "id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")))
+    leaves = nodes.select("tree", "id").join(state.select("tree", F.col("up").alias("id")), ["tree", "id"], "left_anti")
+    steps = []
+    for _ in range(max(1, math.ceil(math.log2(nodes.count() + 1)) + 1)):
+        if state.where("up is not null").limit(1).count() == 0:
             break
-        above = paths.join(jump.withColumnRenamed("up", "above"), ["tree", "id"]).select(
-            "tree", "leaf", F.col("above").alias("id"), (F.col("up") + (1 << k)).alias("up"))
+        steps.append(state)
+        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("some"))
+        state = materialise(state.join(above, ["tree", "up"], "left").select(
+            "tree", "id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+            (F.col("n") + F.coalesce("some", F.lit(0))).alias("n")))
+    ended = state.where("up is null").join(leaves, ["tree", "id"], "left_semi")  # a message on or below a cycle never ends
+    ranked = ended.select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), (F.col("n") - 1).alias("depth"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    ranked = materialise(ranked.where(F.col("rank") <= keep) if keep else ranked)
+    paths = materialise(ranked.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up")))
+    for k, step in enumerate(steps):
+        jump = step.where("up is not null").select("tree", "id", F.col("up").alias("above"))
+        above = paths.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("up") + (1 << k)).alias("up"))
         longer = materialise(paths.unionByName(above))
-        twice = materialise(jump.select("tree", "id", F.col("up").alias("mid")).join(
-            jump.select("tree", F.col("id").alias("mid"), "up"), ["tree", "mid"]).select("tree", "id", "up"))
-        discard(paths, jump)
-        paths, jump = longer, twice
-    whole = paths.join(roots, ["tree", "id"]).select("tree", "leaf", F.col("up").alias("depth"))
-    scored = paths.join(nodes, ["tree", "id"]).groupBy("tree", "leaf").agg((F.sum("score") / F.count(F.lit(1))).alias("score"))
-    ranked = whole.join(scored, ["tree", "leaf"]).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    ranked = ranked.where(F.col("rank") <= keep) if keep else ranked
-    return (paths.join(ranked, ["tree", "leaf"]).where("up <= depth")
-            .select("tree", "leaf", "rank", "score", "id", (F.col("depth") - F.col("up")).alias("place")))
+        discard(paths)
+        paths = longer
+    out = materialise(paths.join(ranked, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "id", (F.col("depth") - F.col("up")).alias("place")))
+    discard(nodes, state, ranked, paths, *steps)
+    return out
 
 
 def conversations(messages: DataFrame, keep: int | None = 1) -> DataFrame:
-    """One row per chosen branch: tree, leaf, rank, score, formatted, segments.
+    """One row per chosen branch: tree, leaf, rank, score, formatted, mask.
 
-    messages: as for branches(), with role and text (null: empty). segments cut `formatted` into pieces with or without
-    loss; pieces under the loss mask are the texts of the assistant. A tree without a branch gives no row.
+    messages: as for branches(), with role and text (null: empty). mask are the ranges (start, end) of characters of
+    `formatted` that carry loss: the texts of the assistant, in order. A tree without a branch gives no row.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    piece = lambda x, loss: F.struct(x.alias("text"), loss.alias("loss"))
-    turn = F.array(piece(F.concat(F.lit(START), escape_role(role), F.lit("\n")), F.lit(False)),
-                   piece(escape(text), role == LEARNED), piece(F.lit(STOP), F.lit(False)))
     messages = _keyed(messages)
-    turns = _branches(messages, keep).join(messages.select("tree", "id", turn.alias("turn")), ["tree", "id"])
-    whole = turns.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("score").alias("score"),
-                                              F.array_sort(F.collect_list(F.struct("place", "turn"))).alias("turns"))
-    segments = F.flatten(F.transform("turns", lambda t: t["turn"]))
-    return (whole.withColumn("segments", segments).select(
-        "tree.tree", "leaf", "rank", "score", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments"))
+    turn = messages.select("tree", "id", F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"),
+                           F.concat(escape(text), F.lit(STOP)).alias("rest"), (role == LEARNED).alias("loss"))
+    length = F.length("head") + F.length("rest")
+    before = F.sum(length).over(Window.partitionBy("tree", "leaf").orderBy("place")) - length  # turns of one conversation
+    start = before + F.length("head")
+    span = F.when(F.col("loss"), F.struct(start.cast("long").alias("start"), (start + F.length("rest") - len(STOP)).cast("long").alias("end")))
+    turns = _branches(messages, keep).join(turn, ["tree", "id"]).withColumn("span", span)
+    whole = turns.groupBy("tree", "leaf").agg(
+        F.first("rank").alias("rank"), F.first("score").alias("score"),
+        F.array_sort(F.collect_list(F.struct("place", F.concat("head", "rest").alias("text"), "span"))).alias("turns"))
+    return whole.select("tree.tree", "leaf", "rank", "score", F.array_join(F.transform("turns", lambda t: t["text"]), "").alias("formatted"),
+                        F.array_compact(F.transform("turns", lambda t: t["span"])).alias("mask"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -107,6 +114,6 @@ def read_back(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def under_mask(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def under_mask(formatted: Column, mask: Column) -> Column:
+    """All text under the loss mask, cut out of the formatted conversation and unescaped."""
+    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")))), "")

@@ -62,7 +62,7 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.length("text").cast("double").alias("score"), "role", "text")
     read = chat_trees.conversations(messages).select(
         "tree", F.length("formatted").cast("long").alias("formatted_chars"), chat_trees.read_back(F.col("formatted")).alias("turns"),
-        chat_trees.under_mask(F.col("segments")).alias("loss"))
+        chat_trees.under_mask(F.col("formatted"), F.col("mask")).alias("loss"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
                        F.sha2(text, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
