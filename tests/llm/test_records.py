@@ -128,7 +128,7 @@ def test_reply_trees(spark):
         found.setdefault((r.tree, r.leaf), {})[r.place] = r.id
     assert {k: [v[i] for i in range(len(v))] for k, v in found.items()} == paths
     best = {r.tree: r for r in chat_trees.conversations(messages).select(
-        "*", chat_trees.read_back(F.col("formatted")).alias("turns"), chat_trees.under_mask(F.col("segments")).alias("loss")).collect()}
+        "*", chat_trees.read_back(F.col("formatted")).alias("turns"), chat_trees.under_mask(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
     text = {(t, i): (role or "", x or "") for t, i, _, _, role, x in TREES}
     score = {(t, i): s or 0.0 for t, i, _, s, _, _ in TREES}
     for tree, row in best.items():
@@ -138,7 +138,9 @@ def test_reply_trees(spark):
         turns = [text[tree, i] for i in paths[tree, leaf]]
         assert [(t.role, t.text) for t in row.turns] == turns
         assert row.loss == "".join(x for role, x in turns if role == "assistant")
-        assert "".join(s.text for s in row.segments) == row.formatted
+        at = [m.start for m in row.mask]
+        assert at == sorted(at) and len(at) == sum(role == "assistant" for role, _ in turns) and all(m.start <= m.end for m in row.mask)
+        assert all(row.formatted[:m.start].endswith("<|im_start|>assistant\n") and row.formatted[m.end:].startswith("<|im_end|>\n") for m in row.mask)
         assert row.formatted.count("<|im_start|>") == row.formatted.count("<|im_end|>") == len(turns)
     assert set(best) == {1, 2, 4, 5}
     assert chat_trees.conversations(messages.limit(0)).count() == 0
@@ -178,6 +180,18 @@ def test_raking(spark):
             assert sum(w for k, w in found.items() if k[axis] == value) == pytest.approx(share, abs=1e-5)
 
 
+def test_raking_reports_what_it_misses(spark):
+    """Too few rounds, and targets that no weights meet."""
+    cells = spark.createDataFrame(CELLS, "source string, lang string, topic string, tokens long")
+    shares = {"source": {"a": .3, "b": .5, "c": .2}, "lang": {"x": .6, "y": .4}, "topic": {"p": .7, "q": .3}}
+    targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in shares.items()}
+    assert raking.rake(cells, targets, rounds=1).first().off > 1e-2 and raking.rake(cells, targets).first().off <= 1e-6
+    apart = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], cells.schema)
+    shares = {"source": {"a": .9, "b": .1}, "lang": {"x": .1, "y": .9}, "topic": {"p": 1.0}}
+    targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in shares.items()}
+    assert raking.rake(apart, targets, rounds=6).first().off > 0.5
+
+
 def test_sampling(spark):
     rows = [(i, "word " * (1 + i % 9) + ("licensed under the MIT License" if i % 10 == 0 else ""), "big" if i % 3 else None, "en" if i % 4 else "fr") for i in range(4000)]
     rows += [(9000, None, "big", "en"), (9001, "", None, None), (None, "some words", "big", "en"), (1, "word word ", "big", "en")]
@@ -252,6 +266,7 @@ def test_jointly_impossible_bounds(spark):
     shares = {"source": {"a": .9, "b": .1}, "lang": {"x": .1, "y": .9}, "topic": {"p": 1.0}}
     targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in shares.items()}
     found = raking.rake(cells, targets, rounds=12, budget=60.0).collect()
+    assert {r.off for r in found} == {found[0].off} and found[0].off < 1e-2
     for name in raking.DIMENSIONS:
         for value, share in shares[name].items():
             assert sum(r.weight for r in found if r[name] == value) == pytest.approx(share, abs=1e-3)
