@@ -8,6 +8,7 @@ from navgrid.operators import panel as P, performance as R
 from navgrid.queries.common import (
     COMMON, P_DAY, P_MONTH, P_NATION, P_PRIO, P_SUPPLIER, RETURNS, Tables, edge, query, r, text,
 )
+from navgrid.session import materialise
 
 _PANEL = f"serie, {text('data')} AS data, valor"
 _SERIES = ["AF", "AO", "NF", "NO", "RF", "RO"]
@@ -27,7 +28,7 @@ def _wanted(panel: DataFrame):
 
 def _common(panel: DataFrame) -> DataFrame:
     """Common dates of all series. The panel is kept: the fact table below it is read once, not per branch."""
-    panel = panel.persist()
+    panel = materialise(panel)
     return P.common_dates(panel, _wanted(panel))
 
 
@@ -72,7 +73,7 @@ def a5(t: Tables) -> DataFrame:
     COUNT(*) AS n FROM supplier GROUP BY 1), k AS (SELECT carteira, data FROM p JOIN n USING (carteira)
     GROUP BY carteira, data, n HAVING COUNT(*) = n) SELECT carteira, {_PANEL} FROM p JOIN k USING (carteira, data)""")
 def a5_by(t: Tables) -> DataFrame:
-    panel = P.common_dates_per_group(t.supplier_month().persist(), t.suppliers(), ["carteira"])
+    panel = P.common_dates_per_group(materialise(t.supplier_month()), t.suppliers(), ["carteira"])
     return edge(panel.select("carteira", "serie", "data", "valor"), None)
 
 
@@ -137,7 +138,7 @@ def w2(t: Tables) -> DataFrame:
     SELECT serie, {text('data')} AS data, {r('retorno')} AS retorno FROM y WHERE data IN (SELECT data FROM y GROUP BY data
     HAVING COUNT(*) = (SELECT COUNT(DISTINCT serie) FROM p))""")
 def w2_gaps(t: Tables) -> DataFrame:
-    return edge(R.returns(t.day().persist(), common=False))
+    return edge(R.returns(materialise(t.day()), common=False))
 
 
 @query("p21_cumulative_return", f"""WITH {P_DAY}, {COMMON}, {_BASE} SELECT serie, {text('data')} AS data,

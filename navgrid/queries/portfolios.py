@@ -8,6 +8,7 @@ from navgrid.queries.common import (
     supplier_portfolio,
 )
 from navgrid.queries.panels import _common
+from navgrid.session import materialise
 
 _BY = ["carteira"]
 _WEIGHTS_SQL = """w AS (SELECT CAST(s_nationkey AS VARCHAR) || '-' || CAST(s_suppkey // 1000 AS VARCHAR) AS carteira, CAST(s_suppkey AS VARCHAR) AS serie,
@@ -21,7 +22,7 @@ _BASE_SQL = f"WITH {P_SUPPLIER}, {COMMON_BY}, {_WEIGHTS_SQL}, {_HELD_SQL}"
 
 def panel(t: Tables) -> DataFrame:
     """Common-date panel of every nation."""
-    return P.common_dates_per_group(t.supplier_month().persist(), t.suppliers(), _BY)
+    return P.common_dates_per_group(materialise(t.supplier_month()), t.suppliers(), _BY)
 
 
 def percentages(t: Tables) -> DataFrame:

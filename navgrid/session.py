@@ -32,10 +32,14 @@ def build_session(master: str | None = None, app: str = "navgrid", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: spark.checkpoint.dir, or where it is unset a folder in the session's warehouse.
 
-    With a scheme, so that executors and Spark's readers mean the same place."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
+    With a scheme, so that executors and Spark's readers mean the same place. On a cluster a warehouse on a local disk is no
+    such place: spark.checkpoint.dir has to be set there."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark._jvm.org.apache.hadoop.fs.Path(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+    full = str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)).rstrip("/")
+    if not named and full.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+    return full
 
 
 @cache
