@@ -40,7 +40,7 @@ def brute_ranking(texts, items, k):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 3, 20])
+@pytest.mark.parametrize("k", [2, 20])
 def test_ranked_search(spark, documents, empty, benchmark_items, monkeypatch, k):
     monkeypatch.setattr(maxscore, "ITEMS", 3)
     texts = [*TEXTS, LONG]
@@ -185,7 +185,7 @@ def brute_importance(texts, target, percent=25, seed=7):
     return list(map(tuple, rows))
 
 
-@pytest.mark.parametrize("percent", [0, 25, 100])
+@pytest.mark.parametrize("percent", [0, 60])
 def test_importance(spark, documents, empty, benchmark_items, percent):
     texts = [*TEXTS, LONG]
     every = documents.select("doc_id", "text", "score", "n_chars").unionByName(

@@ -340,3 +340,12 @@ def test_language_scores_are_kernel_ridge_regression(spark, monkeypatch, dense):
         share = np.exp(f - f.max()) / np.exp(f - f.max()).sum()
         assert found[i].lang_pred == names[int(share.argmax())] and found[i].score == pytest.approx(share.max(), abs=2e-3)
     assert found[501].lang_pred in names and found[502].lang_pred == "und"
+
+
+def test_common_ngrams_by_both_ways():
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 900, 110)).astype(np.int32) for _ in range(50)]
+    codes = np.unique(np.concatenate(sets[:9]))
+    want = [[len(set(x) & set(y)) for y in sets[:9]] for x in sets]
+    for way in (string_kernel._common_dense, string_kernel._common_sparse):
+        assert (way(sets, sets[:9], codes) == want).all()
