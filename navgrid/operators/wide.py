@@ -62,7 +62,7 @@ def dense_blocks(cov: DataFrame, mean: DataFrame, blocks: DataFrame) -> DataFram
     return materialise(sized.groupBy("i", "j").applyInPandas(_dense, "i int, j int, linhas long, colunas long, sigma binary, media binary"))
 
 
-def _dense(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _dense(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     n, m = int(rows["linhas"].iloc[0]), int(rows["colunas"].iloc[0])
     a, b, v = (rows[c].to_numpy() for c in ("a", "b", "v"))
     sigma, media, own = np.full((n, m), np.nan), np.full(n, np.nan), b < 0
@@ -95,7 +95,7 @@ def score_wide(candidates: DataFrame, blocks: DataFrame, dense: DataFrame, size:
         "candidata", "retorno", F.sqrt(F.greatest("_v", F.lit(0.0))).alias("risco"))
 
 
-def _partial(key, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+def _partial(key: tuple, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     _, i, j = key
     if rows.empty or block.empty:
         return pd.DataFrame(columns=["candidata", "retorno", "variancia"])

@@ -91,10 +91,13 @@ def _scored(t: Tables) -> DataFrame:
     return E.score(drawn, K.annual_mean(rets), K.annual_cov(rets), _SERIES)
 
 
-@query("f13_candidate_weights", f"""WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS serie FROM lineitem),
+_F13_SQL = f"""WITH s AS (SELECT DISTINCT l_returnflag || l_linestatus AS serie FROM lineitem),
     u AS (SELECT id AS candidata, serie, COUNT(*) OVER (PARTITION BY id) AS n, -ln((CAST('0x' || substr(md5('42|' || id || '|' || serie), 1, 13)
     AS BIGINT) + 0.5) / 4503599627370496.0) AS e FROM (SELECT DISTINCT o_orderkey AS id FROM orders), s)
-    SELECT candidata, serie, {r(f'{_FLOOR} + (1 - {_FLOOR} * n) * e / sum(e) OVER (PARTITION BY candidata)')} AS peso FROM u""")
+    SELECT candidata, serie, {r(f'{_FLOOR} + (1 - {_FLOOR} * n) * e / sum(e) OVER (PARTITION BY candidata)')} AS peso FROM u"""
+
+
+@query("f13_candidate_weights", _F13_SQL)
 def f13(t: Tables) -> DataFrame:
     """One candidate per order over the series that the table has (their list is bounded by flag and status)."""
     series = [x[0] for x in t.lineitem.select(F.concat("l_returnflag", "l_linestatus")).distinct().orderBy(F.col("concat(l_returnflag, l_linestatus)")).collect()]
@@ -102,6 +105,13 @@ def f13(t: Tables) -> DataFrame:
     return edge(E.long_weights(E.candidate_weights(t.spark, series, ids, _FLOOR), series))
 
 
+@query("f13_wide_weights", _F13_SQL)
+def f13_wide(t: Tables) -> DataFrame:
+    """The same with the series as a table, in blocks of two."""
+    blocks = W.fund_blocks(t.lineitem.select(F.concat("l_returnflag", "l_linestatus").alias("serie")), 2)
+    return edge(W.long_blocks(W.draw_weights(t.orders.select(F.col("o_orderkey").alias("candidata")).distinct(), blocks, _FLOOR), blocks))
+
+
 @query("f12_score_candidates", f"{_MONTH_SQL}, {_SCORE_SQL} {_SCORED}")
 def f12(t: Tables) -> DataFrame:
     return edge(_scored(t))

@@ -243,3 +243,28 @@ def test_small_problems_against_every_active_set():
         for target in np.linspace(0.01 * mean.sum() + (1 - 0.01 * n) * mean.min(), 0.01 * mean.sum() + (1 - 0.01 * n) * mean.max(), 5)[1:4]:
             w = O.dense_min_variance(mean, cov, 0.01, float(target))
             assert w @ cov @ w == pytest.approx(brute(mean, cov, 0.01, target)[0], rel=1e-9)
+
+
+def test_wide_selections_in_blocks(spark):
+    """70 funds in blocks of about 16 against whole matrices; no fund is named in a plan."""
+    from navgrid.operators import wide as W
+    returns, mean, cov = problem(70, 40, 9)
+    frame = returns_frame(spark, p=returns).drop("carteira")
+    names = [f"p{i:03d}" for i in range(70)]
+    blocks = W.fund_blocks(frame.select("serie"), 16)
+    assert blocks.count() == 70 and blocks.select("bloco").distinct().count() > 3
+    ids = spark.range(90).withColumnRenamed("id", "candidata")
+    drawn = W.draw_weights(ids, blocks, 0.002)
+    long = {v[:2]: v[2] for v in values(W.long_blocks(drawn, blocks), "candidata", "serie", "peso")}
+    plain = {r["candidata"]: r["pesos"] for r in E.candidate_weights(spark, names, 90, 0.002).collect()}
+    assert len(long) == 90 * 70 and all(long[c, x] == pytest.approx(w, rel=1e-12) for c in plain for x, w in zip(names, plain[c]))
+    dense = W.dense_blocks(K.annual_cov(frame, block=32), K.annual_mean(frame), blocks)
+    scored = W.score_wide(drawn, blocks, dense, 40)
+    got = {r["candidata"]: (r["retorno"], r["risco"]) for r in scored.collect()}
+    for c, w in plain.items():
+        w = np.array(w)
+        assert got[c] == pytest.approx((w @ mean, np.sqrt(w @ cov @ w)), rel=1e-9)
+    for df in (drawn, scored):
+        assert "p001" not in df._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="does not fit"):
+        W.draw_weights(ids, blocks, 0.02)
