@@ -7,6 +7,7 @@ some), which is undone when reading back, so no text can end or start a turn.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -55,28 +56,31 @@ def _branches(messages: DataFrame, keep: int | None) -> DataFrame:
     known = nodes.select("tree", F.col("id").alias("parent"), F.col("id").alias("up"))
     state = materialise(nodes.join(known, ["tree", "parent"], "left").select("tree", "id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("n")))
     leaves = nodes.select("tree", "id").join(state.select("tree", F.col("up").alias("id")), ["tree", "id"], "left_anti")
-    steps = []
+    going, over, steps = state.where("up is not null"), [state.where("up is null")], []
     for _ in range(max(1, math.ceil(math.log2(nodes.count() + 1)) + 1)):
-        if state.where("up is not null").limit(1).count() == 0:
+        if going.limit(1).count() == 0:
             break
-        steps.append(state)
-        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("some"))
-        state = materialise(state.join(above, ["tree", "up"], "left").select(
-            "tree", "id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("n") + F.coalesce("some", F.lit(0))).alias("n")))
-    ended = state.where("up is null").join(leaves, ["tree", "id"], "left_semi")  # a message on or below a cycle never ends
+        steps.append(going)
+        # Only messages with more above them are joined: a long branch costs its own rounds, not those of all others.
+        every = reduce(DataFrame.unionByName, [*over, going])
+        above = every.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("n").alias("some"))
+        further = materialise(going.join(above, ["tree", "up"]).select(
+            "tree", "id", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("some")).alias("n")))
+        over.append(further.where("up is null"))
+        going = further.where("up is not null")
+    ended = reduce(DataFrame.unionByName, over).join(leaves, ["tree", "id"], "left_semi")  # a message on or below a cycle never ends
     ranked = ended.select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), (F.col("n") - 1).alias("depth"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
     ranked = materialise(ranked.where(F.col("rank") <= keep) if keep else ranked)
     paths = materialise(ranked.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("up")))
     for k, step in enumerate(steps):
-        jump = step.where("up is not null").select("tree", "id", F.col("up").alias("above"))
+        jump = step.select("tree", "id", F.col("up").alias("above"))
         above = paths.join(jump, ["tree", "id"]).select("tree", "leaf", F.col("above").alias("id"), (F.col("up") + (1 << k)).alias("up"))
         longer = materialise(paths.unionByName(above))
         discard(paths)
         paths = longer
     out = materialise(paths.join(ranked, ["tree", "leaf"]).select("tree", "leaf", "rank", "score", "id", (F.col("depth") - F.col("up")).alias("place")))
-    discard(nodes, state, ranked, paths, *steps)
+    discard(nodes, state, ranked, paths, *steps, *over)
     return out
 
 
