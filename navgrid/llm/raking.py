@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are summed in cells (source, language, topic). Raking multiplies the cells' weights in turn until the totals of
+Tokens are summed in cells (source, language, topic), with topics learned from the texts. Raking multiplies the cells' weights in turn until the totals of
 each of the three match their targets, where a cell that is taken whole stays at its tokens and the free ones make up
 for it; documents are then drawn with their cell's weight over its tokens as probability. A target that asks for more
 tokens than there are is met by taking documents more than once. A draw is a hash of the document, so it does not depend
@@ -11,25 +11,11 @@ import warnings
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from navgrid.llm.host_rules import SPACE
+from navgrid.llm.host_rules import let
+from navgrid.llm.topics import UNKNOWN, learn, present, vocabulary, words_of
 from navgrid.session import discard, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
-TOPICS = (  # the first that has one of its marks in the lower-cased text
-    ("licensed", ("license", "all rights reserved", "copyright")),
-    ("contact", ("@", "http://", "https://")),
-)
-OTHER = "prose"
-
-
-def topic_of(text: Column, topics=TOPICS) -> Column:
-    low, out = F.lower(text), F.lit(OTHER)
-    for name, marks in reversed(topics):
-        found = F.lit(False)
-        for mark in marks:
-            found = found | F.contains(low, F.lit(mark))
-        out = F.when(found, name).otherwise(out)
-    return out
 
 
 def tempered(cells: DataFrame, exponent: float) -> dict[str, DataFrame]:
@@ -106,7 +92,7 @@ def _round(weighted: DataFrame, names: list[str]) -> tuple[DataFrame, float]:
 
 
 def sampled(documents: DataFrame, targets: dict[str, DataFrame] | None = None, exponent: float = 0.7, share: float = 0.5,
-            seed: int = 5, rounds: int = 50) -> DataFrame:
+            seed: int = 5, rounds: int = 50, topic: Column | None = None) -> DataFrame:
     """documents with n_tokens, topic, probability, sampled (whether the document was drawn) and copies (how often the
     sample has it); same-named columns are replaced, all others and all rows stay.
 
@@ -118,16 +104,31 @@ def sampled(documents: DataFrame, targets: dict[str, DataFrame] | None = None, e
     '+' and the value); null text has no tokens, and a document without tokens is never drawn.
     Rows of equal doc_id and text share their random number: equal rows are drawn together, rows that differ in source or lang
     each by the probability of their own cell. Column names that start with two underscores are reserved.
+
+    Topics are learned from all texts (see topics), a topic being named by its commonest term, '-' without any; `topic`
+    is an expression over documents to use instead.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
-    plain = documents.drop("n_tokens", "topic", "probability", "sampled", "copies")
-    text = F.coalesce("text", F.lit(""))
-    measured = plain.withColumns({
-        "n_tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("long"), "topic": topic_of(text),
-        "__source": key("source"), "__lang": key("lang"),
+    added = ["n_tokens", "topic", "probability", "sampled", "copies"]
+    names = [c for c in documents.columns if c not in added]
+    given = documents if topic is None else documents.withColumn("__topic", F.coalesce(topic.cast("string"), F.lit(UNKNOWN)))
+    terms = vocabulary(documents) if topic is None else []
+    measures = let(words_of(F.col("text")), lambda w: F.struct(
+        F.size(F.array_remove(w, "")).cast("long").alias("n_tokens"), present(w, terms).alias("present")))
+    measured = given.drop(*added).withColumns({
+        "__source": key("source"), "__lang": key("lang"), "__measures": measures,
         "__draw": F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)})
-    cells = materialise(measured.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), "topic")
+    if topic is None:
+        held = materialise(measured.select("__source", "__lang", "__measures.*").where("n_tokens > 0"))
+        model = learn(held, terms)
+        by_cell = held.withColumn("__topic", model.name(F.col("present")))
+        measured = measured.withColumn("__topic", model.name(F.col("__measures.present")))
+    else:
+        by_cell = measured.select("__source", "__lang", "__topic", "__measures.n_tokens")
+    cells = materialise(by_cell.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"))
                         .agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
+    if topic is None:
+        discard(held)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     weighted = rake(cells, targets or tempered(cells, exponent), rounds, budget=share * total)
     off = weighted.agg(F.max("off")).first()[0] or 0.0
@@ -135,8 +136,8 @@ def sampled(documents: DataFrame, targets: dict[str, DataFrame] | None = None, e
         warnings.warn(f"raking ended {off:.2%} off its targets after {rounds} rounds")
     odds = weighted.select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"),
                            (F.col("weight") * (share * total) / F.col("tokens")).alias("__odds"))
-    joined = measured.withColumn("__topic", F.col("topic")).join(odds, ["__source", "__lang", "__topic"], "left")
+    joined = measured.withColumn("n_tokens", F.col("__measures.n_tokens")).join(odds, ["__source", "__lang", "__topic"], "left")
     times = F.when(F.col("n_tokens") > 0, F.coalesce("__odds", F.lit(0.0))).otherwise(0.0)
     copies = F.greatest(F.ceil(times - F.col("__draw")), F.lit(0)).cast("long")
     return (joined.withColumn("probability", F.least(F.lit(1.0), times)).withColumn("copies", copies)
-            .withColumn("sampled", F.col("copies") > 0).select(*plain.columns, "n_tokens", "topic", "probability", "sampled", "copies"))
+            .withColumn("sampled", F.col("copies") > 0).select(*names, "n_tokens", F.col("__topic").alias("topic"), "probability", "sampled", "copies"))

@@ -1,0 +1,95 @@
+"""Topics learned from the texts themselves, with DataFrame functions.
+
+Terms are the commonest words among those that no more than a given share of the texts have, counted over all texts.
+Seeds are picked in turn, each the term with most texts that hold none of the seeds before it. From there texts and
+terms are clustered in turn: a text goes to the topic of most of its terms, a term to the topic whose terms come along
+with it relatively most often. The model is a list of terms with their topics, bounded by the number of terms; a text's
+topic depends on its words alone.
+"""
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from navgrid.llm.host_rules import SPACE, let
+from navgrid.session import discard, materialise
+
+TERMS, TOPICS, ROUNDS = 256, 8, 8
+COMMON = 0.05  # share of the texts above which a word says nothing of their topic
+UNKNOWN = "-"  # topic of texts without any term
+
+
+def words_of(text: Column) -> Column:
+    """Lower-cased words, with an empty one at either end where the text has white space there."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE)
+
+
+def vocabulary(texts: DataFrame, terms: int = TERMS, common: float = COMMON) -> list[str]:
+    """The `terms` words of 3 to 30 characters with most texts, of those in two texts or more but in no more than the
+    share `common` of all rows; equal ones in the order of their characters. texts needs text; null has no words."""
+    # The empty word is in every row, so its count is that of the rows.
+    words = F.array_distinct(F.concat(F.array(F.lit("")), words_of(F.col("text"))))
+    counts = materialise(texts.select(F.explode(words).alias("term")).where("term = '' or length(term) between 3 and 30")
+                         .groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = counts.where("term = ''").first()
+    most = common * rows.n if rows else 0
+    found = counts.where((F.col("term") != "") & (F.col("n") <= most)).orderBy(F.desc("n"), "term").limit(terms).collect()
+    discard(counts)
+    return [r.term for r in found]
+
+
+def present(words: Column, terms: list[str]) -> Column:
+    """Numbers of the terms among the words, each once."""
+    known = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
+    return F.transform(F.array_intersect(words, known), lambda w: (F.array_position(known, w) - 1).cast("int"))
+
+
+@dataclass
+class Topics:
+    terms: list[str]
+    of: list[int | None]  # topic of each term
+    names: list[str]  # of each topic, its commonest term
+
+    def number(self, present: Column) -> Column:
+        """Topic of most of a text's terms, the smallest of several; null without any."""
+        if not self.terms:
+            return F.lit(None).cast("int")
+        topic = F.array(*[F.lit(k).cast("int") for k in self.of])
+        held = F.filter(F.transform(present, lambda i: F.get(topic, i)), lambda k: k.isNotNull())
+        return let(held, lambda h: -F.array_max(F.transform(F.array_distinct(h), lambda k: F.struct(
+            F.size(F.filter(h, lambda x: x == k)).alias("n"), (-k).alias("k"))))["k"])
+
+    def name(self, present: Column) -> Column:
+        names = F.array(*map(F.lit, self.names)) if self.names else F.array().cast("array<string>")
+        return F.coalesce(F.get(names, self.number(present)), F.lit(UNKNOWN))
+
+    def topic(self, text: Column) -> Column:
+        return self.name(present(words_of(text), self.terms))
+
+
+def learn(held: DataFrame, terms: list[str], topics: int = TOPICS, rounds: int = ROUNDS) -> Topics:
+    """Topics of the terms, from the column `present` of all texts. Each step is one aggregate of at most terms times
+    topics rows; it ends when no term moves, or after `rounds` steps (any step's topics are a valid model). An empty
+    vocabulary has no topics, and there are never more topics than terms."""
+    seeds = []
+    while len(seeds) < min(topics, len(terms)):
+        free = held.where(~F.arrays_overlap("present", F.array(*map(F.lit, seeds)))) if seeds else held
+        left = free.select(F.explode("present").alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").first()
+        if left is None:  # every text holds a seed
+            break
+        seeds.append(left.term)
+    model = Topics(terms, [seeds.index(i) if i in seeds else None for i in range(len(terms))], [terms[i] for i in seeds])
+    for _ in range(rounds if seeds else 0):
+        counts = {(r.topic, r.term): r["count"] for r in held.select("present", model.number(F.col("present")).alias("topic"))
+                  .where("topic is not null").select("topic", F.explode("present").alias("term")).groupBy("topic", "term").count().collect()}
+        size = {}
+        for (topic, _), n in counts.items():
+            size[topic] = size.get(topic, 0) + n
+        moved = [max((k for k in size if (k, i) in counts), key=lambda k: (counts[k, i] / size[k], -k), default=model.of[i])
+                 for i in range(len(terms))]
+        if moved == model.of:
+            break
+        model = Topics(terms, moved, model.names)
+    # Terms are sorted by their number of texts, so the first of a topic is its commonest.
+    left = sorted({k for k in model.of if k is not None})
+    return Topics(terms, [None if k is None else left.index(k) for k in model.of], [terms[model.of.index(k)] for k in left])

@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from navgrid.llm import chat_trees, raking, warc
+from navgrid.llm import chat_trees, raking, topics as learned, warc
 
 
 def multiset(rows):
@@ -230,7 +231,7 @@ def test_full_cells_are_made_up_for(spark):
     sizes = {("a", "x"): 1000, ("a", "y"): 200, ("b", "x"): 300, ("b", "y"): 10}
     rows = [(i, f"w{i} " * 10, *cell) for cell, n in sizes.items() for i in range(n)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    shares = {"source": {"+a": .65, "+b": .35}, "lang": {"+x": .75, "+y": .25}, "topic": {"prose": 1.0}}
+    shares = {"source": {"+a": .65, "+b": .35}, "lang": {"+x": .75, "+y": .25}, "topic": {"-": 1.0}}
     targets = {k: spark.createDataFrame(list(v.items()), f"{k} string, share double") for k, v in shares.items()}
     budget = 0.5 * 10 * len(rows)
     found = raking.sampled(documents, targets).collect()
@@ -247,7 +248,7 @@ def test_targets_beyond_the_tokens(spark):
     """A topic with fewer tokens than its target is used more than once; the sample meets targets and budget."""
     rows = [(i, f"w{i} " * 9 + ("a@b" if i % 70 == 0 else "end"), "big" if i % 3 else "small", "en" if i % 4 else "fr") for i in range(8000)]
     documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("copies", F.lit(-1))
-    found = raking.sampled(documents).collect()
+    found = raking.sampled(documents, topic=F.when(F.contains("text", F.lit("@")), "contact").otherwise("prose")).collect()
     budget = 0.5 * 10 * len(rows)
     assert sum(r.copies * r.n_tokens for r in found) == pytest.approx(budget, rel=0.03)
     assert {r.copies for r in found if r.topic == "contact"} == {1, 2} or max(r.copies for r in found) > 2
@@ -270,3 +271,70 @@ def test_jointly_impossible_bounds(spark):
     for name in raking.DIMENSIONS:
         for value, share in shares[name].items():
             assert sum(r.weight for r in found if r[name] == value) == pytest.approx(share, abs=1e-3)
+
+
+def learned_topics(texts, terms, most, topics, rounds):
+    """The vocabulary and each text's topic, one text after the other."""
+    held = [set(re.split(r"[\x20\x09-\x0D]+", (t or "").lower())) for t in texts]
+    n = collections.Counter(w for x in held for w in x)
+    known = sorted((w for w in n if 3 <= len(w) <= 30 and 1 < n[w] <= most * len(texts)), key=lambda w: (-n[w], w))[:terms]
+    held = [x & set(known) for x in held]
+    seeds = []
+    while len(seeds) < min(topics, len(known)):
+        left = collections.Counter(w for x in held if not x & set(seeds) for w in x)
+        if not left:
+            break
+        seeds.append(min(left, key=lambda w: (-left[w], known.index(w))))
+    of = {w: k for k, w in enumerate(seeds)}
+
+    def topic(x):
+        count = collections.Counter(of[w] for w in x if w in of)
+        return min(count, key=lambda k: (-count[k], k)) if count else None
+
+    for _ in range(rounds):
+        pairs = collections.Counter((topic(x), w) for x in held for w in x if topic(x) is not None)
+        size = collections.Counter()
+        for (k, _w), c in pairs.items():
+            size[k] += c
+        moved = dict(of)
+        for w in known:
+            if any((k, w) in pairs for k in size):
+                moved[w] = max((k for k in size if (k, w) in pairs), key=lambda k: (pairs[k, w] / size[k], -k))
+        if moved == of:
+            break
+        of = moved
+    names = {k: next(w for w in known if of.get(w) == k) for k in set(of.values())}
+    return known, [names.get(topic(x), "-") for x in held]
+
+
+@pytest.mark.parametrize("terms,topics", [(60, 4), (5, 8), (0, 3)])
+def test_topics_are_learned(spark, terms, topics):
+    """Four subjects with words of their own among words that all have; against a plain loop, and against the subjects."""
+    rng = np.random.default_rng(5)
+    subjects = [[f"{name}{i}" for i in range(15)] for name in ("star", "soup", "goal", "debt")]
+    texts = [" ".join([*rng.choice(subjects[i % 4], 6), *rng.choice(["the", "and", "of", "to"], 5), f"own{i}"]) for i in range(400)]
+    texts += [None, "", " ", "The AND", "star1 soup1", "x" * 40 + " " + "x" * 40, texts[0].upper(), texts[0], "goal1 " * 5000]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"term": F.lit(1), "n": F.lit(2), "present": F.lit(3)})
+    known, expected = learned_topics(texts, terms, 0.3, topics, 8)
+    assert learned.vocabulary(documents, terms, 0.3) == known
+    held = documents.select(learned.present(learned.words_of(F.col("text")), known).alias("present"))
+    model = learned.learn(held, known, topics)
+    found = {r.doc_id: r.topic for r in documents.select("doc_id", model.topic(F.col("text")).alias("topic")).collect()}
+    assert [found[i] for i in range(len(texts))] == expected
+    if terms == 60:
+        groups = [collections.Counter(found[i] for i in range(k, 400, 4)).most_common(1)[0] for k in range(4)]
+        assert len({name for name, _ in groups}) == 4 and sum(n for _, n in groups) > 390
+    assert learned.vocabulary(documents.limit(0)) == [] and learned.learn(held.limit(0), known).names == []
+
+
+def test_sample_of_learned_topics(spark):
+    """The sample's totals by learned topic are those of the targets."""
+    names = ("star", "soup", "goal")
+    rows = [(i, " ".join(f"{names[k]}{(i * j) % 80}" for j in range(1, 11)), "s", "en") for i in range(3000) for k in [0 if i % 4 else 1 + i % 3 % 2]]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("topic", F.lit("old"))
+    found = raking.sampled(documents).collect()
+    drawn, held = held_totals(found, "topic", lambda r: r.copies), held_totals(found, "topic", lambda r: 1)
+    assert "old" not in held and len(held) > 2
+    power = {k: n ** 0.7 for k, n in held.items()}
+    for name, p in power.items():
+        assert drawn[name] == pytest.approx(p / sum(power.values()) * 0.5 * sum(held.values()), rel=0.2)
