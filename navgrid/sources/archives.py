@@ -20,6 +20,7 @@ from navgrid.schema import DATE_COLUMN, ID_COLUMNS, SUBCLASS_COLUMN, VALUE_COLUM
 from navgrid.session import materialise
 
 BLOCK_ROWS = 20_000  # rows that a task hands over at once
+FUNDS = 50_000  # wanted funds up to which they are sent to every task
 MEMBERS = "ordem int, arquivo string, url string, membro_ix int, membro string, erro string"
 BLOCKS = ("ordem int, arquivo string, membro_ix int, primeira long, cabecalho array<string>, linhas array<array<string>>, "
           "erro string")
@@ -128,8 +129,9 @@ def read_archives(catalog: DataFrame, opener: Callable = open_shared, block_rows
 def parse_daily(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """Clean rows of the wanted funds and the error rows of the files, in one pass over the archives.
 
-    The fund filter is an inner join before dates and numbers are parsed, on rows that have a valid identifier. A file
-    without a value column fails only when it has a row of a wanted fund: that row carries the error, as a block without
+    The fund filter is an inner join before dates and numbers are parsed, on rows that have a valid identifier. Its way is
+    named, by the number of funds: Spark takes the rows for as few as the list of members that they are read from, and would
+    gather them all on the driver to broadcast them. A file without a value column fails only when it has a row of a wanted fund: that row carries the error, as a block without
     rows carries the error of its member.
     """
     names = F.transform("cabecalho", column_name)
@@ -146,13 +148,16 @@ def parse_daily(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
         text = F.get("_celulas", (F.col(place) - 1).cast("int"))
         return F.when(~text.isin(*MISSING), text)
 
-    # Blocks with an error pass the join by a key of their own.
+    # Blocks with an error pass the join by a key of their own. Only the cells that are parsed go into it.
     key = F.when(F.col("erro").isNotNull(), F.lit("erro")).otherwise(normalise_id(cell("_cnpj")))
-    keys = wanted.select("cnpj").union(wanted.sparkSession.createDataFrame([("erro",)], "cnpj string"))
-    mine = opened.withColumn("cnpj", key).where("cnpj IS NOT NULL").join(keys, "cnpj")
     lacking = F.when(F.col("_valor").isNull(), F.concat("arquivo", F.lit(f": no column {VALUE_COLUMN}")))
-    typed = mine.select("ordem", "arquivo", "membro_ix", (F.col("primeira") + F.col("_i")).alias("linha"), "cnpj",
-                        subclass_or_blank(cell("_sub")).alias("id_subclasse"), to_day(cell("_data")).alias("data"),
-                        to_double(cell("_valor")).alias("valor_cota"), F.coalesce("erro", lacking).alias("erro"))
+    cells = opened.select("ordem", "arquivo", "membro_ix", (F.col("primeira") + F.col("_i")).alias("linha"), key.alias("cnpj"),
+                          cell("_sub").alias("_sub"), cell("_data").alias("_data"), cell("_valor").alias("_valor"),
+                          F.coalesce("erro", lacking).alias("erro"))
+    keys = wanted.select("cnpj").union(wanted.sparkSession.createDataFrame([("erro",)], "cnpj string"))
+    way = "broadcast" if wanted.count() <= FUNDS else "merge"
+    typed = cells.where("cnpj IS NOT NULL").join(keys.hint(way), "cnpj").select(
+        "ordem", "arquivo", "membro_ix", "linha", "cnpj", subclass_or_blank("_sub").alias("id_subclasse"), to_day("_data").alias("data"),
+        to_double("_valor").alias("valor_cota"), "erro")
     valid = F.col("data").isNotNull() & F.col("valor_cota").isNotNull() & positive("valor_cota")
     return typed.where(F.col("erro").isNotNull() | valid)

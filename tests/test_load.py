@@ -458,3 +458,21 @@ def test_lists_of_any_length(spark):
     df = spark.range(1000).selectExpr("cast(id as string) as x")
     for n in (0, 1, 2, 3, 7, OR_TERMS, OR_TERMS + 1):
         assert df.where(any_of("x", [str(i) for i in range(n)] * 2)).count() == n
+
+
+@pytest.mark.parametrize("funds", [60_000, 100])
+def test_rows_of_archives_are_not_broadcast(world, funds):
+    from pyspark.sql import functions as F
+
+    from navgrid.sources.archives import parse_daily, read_archives
+    world.archive("202101", a_csv=OLD + f"{funds - 1};2021-01-04;5;1.5\n{funds};2021-01-04;5;1.5\n;2021-01-04;5;1\n7;2021-01-05;5;0\n",
+                  b_csv=f"CNPJ_FUNDO;DT_COMPTC\n{funds};2021-01-04\n8;2021-01-04\n")
+    catalog = world.spark.createDataFrame([(0, "a", str(world.folder / "mensal" / "inf_diario_fi_202101.zip")), (1, "b", "/nowhere.zip")],
+                                          "ordem int, arquivo string, url string")
+    wanted = world.spark.range(funds).select(F.lpad(F.col("id").cast("string"), 14, "0").alias("cnpj"))
+    rows = parse_daily(read_archives(catalog, lambda url: open(url, "rb")), wanted)
+    joins = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 1 and ("SortMergeJoin" if funds > 50_000 else "BuildRight") in joins[0]
+    found = values(rows, "arquivo", "linha", "cnpj", "data", "valor_cota", "erro")
+    assert found[:2] == [("a", 0, str(funds - 1).zfill(14), "2021-01-04", 1.5, None), ("a", 1, "8".zfill(14), "2021-01-04", None, "a: no column VL_QUOTA")]
+    assert [(r[0], r[2], r[5][:3]) for r in found[2:]] == [("b", "erro", "b: ")]
