@@ -139,7 +139,7 @@ def _load_group(store: Store, cfg: LoadConfig, register: DataFrame, picked: list
 
     applied = spark.createDataFrame([(i, i == last[picked[i]["arquivo"]]) for i in done],
                                     "ordem int, _vale boolean")
-    rows = parsed.where(F.col("erro").isNull()).join(applied, "ordem").select(
+    rows = parsed.where(F.col("erro").isNull()).join(F.broadcast(applied), "ordem").select(
         "ordem", "membro_ix", "linha", "_vale", "cnpj", "id_subclasse", "data", "valor_cota",
         F.col("arquivo").alias("arquivo_origem"), F.lit(cfg.now).alias("atualizado_em"))
     counted = spark.createDataFrame([(i, lines[i]) for i in done], "ordem int, linhas long")
