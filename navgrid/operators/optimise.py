@@ -234,8 +234,8 @@ def frontier_weights(curve: DataFrame, members: DataFrame, floor: float = MIN_AL
     targets = curve.groupBy(*by).agg(F.collect_list("alvo_ix").alias("_alvos"))
     grid = (attach(members.select(*by, "serie").distinct(), targets, by, "_alvos")
             .select(*by, "serie", F.explode("_alvos").alias("alvo_ix")))
-    above = curve.select(*by, "alvo_ix", F.inline("acima"))
-    return (grid.join(above, [*by, "alvo_ix", "serie"], "left")
+    above = curve.select(*by, "alvo_ix", F.inline("acima"))  # many rows from a small file: by size it would be broadcast
+    return (grid.join(above.hint("merge"), [*by, "alvo_ix", "serie"], "left")
             .select(*by, "alvo_ix", "serie", (floor + F.coalesce("excesso", F.lit(0.0))).alias("peso")))
 
 
@@ -298,7 +298,7 @@ def _column_generation(vectors: DataFrame, problems: DataFrame, keys: list[str],
     columns, finished = materialise(problems.select(*task).distinct().join(first, keys)), []
     priced = problems.where(F.col("n") > seeds).limit(1).count() > 0  # panels of up to `seeds` series start with all of them
     while True:
-        restricted = spread(columns.join(vectors, [*keys, "serie"]).select(*task, "serie", "retornos", "media"), *task)
+        restricted = spread(columns.hint("merge").join(vectors, [*keys, "serie"]).select(*task, "serie", "retornos", "media"), *task)
         solved = materialise(restricted.groupBy(*task).cogroup(spread(problems, *task).groupBy(*task)).applyInPandas(
             _restricted(task), _fields(problems, task, *_SOLVED)))
         if not priced:

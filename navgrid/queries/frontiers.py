@@ -1,5 +1,7 @@
 """Corners, candidates and minimum-variance curves on the driver tables."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from navgrid.operators import frontier as E, optimise as O, panel as P, performance as R, portfolio as H, risk as K, wide as W
@@ -9,7 +11,7 @@ from navgrid.queries.common import (
 )
 from navgrid.queries.panels import _SERIES, _common
 from navgrid.queries.portfolios import _BY, _MONTH_WEIGHTS, month_weights, panel
-from navgrid.session import materialise
+from navgrid.session import materialise, spread
 
 _FLOOR = 0.01
 _MONTH_SQL = f"WITH {P_MONTH}, {COMMON}, {RETURNS}, {MEAN}"
@@ -234,28 +236,44 @@ def f10(t: Tables) -> DataFrame:
     rets, point = _feasible(t), [*_BY, "alvo_ix"]
     curve = E.efficient_flag(O.frontier(rets, 60, _FLOOR, _BY), _BY)
     w = O.frontier_weights(curve, rets, _FLOOR, _BY)
-    daily = (rets.join(w, [*_BY, "serie"]).groupBy(*point, "data").agg(F.sum(F.col("peso") * F.col("retorno")).alias("_p")))
-    spread = daily.groupBy(*point).agg(F.sqrt(F.var_samp("_p") * 252).alias("_risco"))
-    pull = rets.join(daily, [*_BY, "data"]).groupBy(*point, "serie").agg(
-        F.covar_samp("retorno", "_p").alias("_g"), F.avg("retorno").alias("_m"), F.var_samp("retorno").alias("_v"))
-    rows = pull.join(w, [*point, "serie"]).withColumn("_livre", F.col("peso") > _FLOOR + 1e-5)
-    held = lambda f, *c: f(*[F.when(F.col("_livre"), F.col(x)) for x in c])
-    line = rows.groupBy(*point).agg(
-        F.sum("peso").alias("_soma"), F.min("peso").alias("_menor"), F.max("_v").alias("_escala"), held(F.avg, "_g").alias("_gm"),
-        held(F.avg, "_m").alias("_mm"), held(F.covar_pop, "_g", "_m").alias("_gv"), held(F.var_pop, "_m").alias("_mv"))
-    slope = F.when(F.col("_mv") > 1e-18, F.col("_gv") / F.col("_mv"))
-    gap = (F.col("_g") - F.col("_gm") - slope * (F.col("_m") - F.col("_mm"))) / F.col("_escala")
-    fits = F.coalesce((gap >= -1e-5) & (~F.col("_livre") | (gap <= 1e-5)), F.lit(True))
-    checked = rows.join(line, point).groupBy(*point).agg(
-        F.bool_and(fits).alias("otima"), F.first("_soma").alias("_soma"), F.first("_menor").alias("_menor"))
+    fields = "alvo_ix int, soma_um boolean, no_piso_ou_acima boolean, _risco double, otima boolean"
+    # A portfolio is one group: the floor bounds its series and the calendar their returns. As rows, the two products of
+    # returns and weights would be one per series, date and target, and none of them would add up before a shuffle.
+    vectors = K.return_vectors(rets, _BY).toDF(*_BY, "serie", "retornos")  # columns of its own, both sides come from the returns
+    checked = spread(vectors, *_BY).groupBy(*_BY).cogroup(spread(w, *_BY).groupBy(*_BY)).applyInPandas(
+        _certified, f"{_BY[0]} string, {fields}")
     least = curve.groupBy(*_BY).agg(F.min_by("alvo_ix", F.struct("risco", -F.col("retorno"))).alias("_base"))
-    return edge(curve.join(checked, point).join(spread, point).join(least, _BY).select(
-        *point, "alvo", "retorno", (F.abs(F.col("_soma") - 1) < 1e-9).alias("soma_um"),
-        (F.col("_menor") >= _FLOOR - 1e-12).alias("no_piso_ou_acima"),
+    return edge(curve.join(checked.hint("merge"), point).join(least, _BY).select(
+        *point, "alvo", "retorno", "soma_um", "no_piso_ou_acima",
         (F.abs(F.col("_risco") - F.col("risco")) <= 1e-9 * F.col("_risco")).alias("risco_dos_pesos"), "otima",
         (F.col("eficiente") == (F.col("alvo_ix") >= F.col("_base"))).alias("ramo")))
 
 
+def _certified(key: tuple, vectors: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+    """Sum, floor, risk and optimality of the points of one curve."""
+    columns = [*_BY, "alvo_ix", "soma_um", "no_piso_ou_acima", "_risco", "otima"]
+    if vectors.empty or weights.empty:
+        return pd.DataFrame(columns=columns)
+    peso = weights.pivot(index="alvo_ix", columns="serie", values="peso").reindex(columns=vectors["serie"])
+    w, r = peso.to_numpy(), np.stack(vectors["retornos"].to_numpy()).astype(float)
+    r_mean, days = r.mean(axis=1), r.shape[1] - 1
+    centred = r - r_mean[:, None]
+    path = w @ centred
+    pull, scale = path @ centred.T / days, (centred ** 2).sum(axis=1).max() / days
+    free = w > _FLOOR + 1e-5
+    held = np.maximum(free.sum(axis=1, keepdims=True), 1)
+    off = lambda x: x - (x * free).sum(axis=1, keepdims=True) / held
+    g, m = off(pull), off(np.broadcast_to(r_mean, w.shape))
+    spread_m = (m * m * free).sum(axis=1, keepdims=True) / held
+    sloped = spread_m > 1e-18
+    slope = (g * m * free).sum(axis=1, keepdims=True) / held / np.where(sloped, spread_m, 1.0)
+    gap = (g - slope * m) / scale
+    fits = ~sloped | ((gap >= -1e-5) & (~free | (gap <= 1e-5)))
+    return pd.DataFrame({**dict(zip(_BY, key)), "alvo_ix": peso.index, "soma_um": np.abs(w.sum(axis=1) - 1) < 1e-9,
+                         "no_piso_ou_acima": w.min(axis=1) >= _FLOOR - 1e-12, "_risco": np.sqrt((path ** 2).sum(axis=1) / days * 252),
+                         "otima": fits.all(axis=1)}, columns=columns)
+
+
 @query("f10_frontier_ends", f"""{_FEASIBLE_SQL}, mb AS (SELECT carteira, serie, avg(retorno) * 252 AS media, var_samp(retorno) AS x
     FROM ret JOIN ok USING (carteira) GROUP BY 1, 2),
     e AS (SELECT carteira, {_FLOOR} * sum(media) + (1 - {_FLOOR} * COUNT(*)) * min(media) AS lo,

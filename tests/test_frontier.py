@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
@@ -268,3 +269,32 @@ def test_wide_selections_in_blocks(spark):
         assert "p001" not in df._jdf.queryExecution().toString()
     with pytest.raises(ValueError, match="does not fit"):
         W.draw_weights(ids, blocks, 0.02)
+
+
+def test_certificate_of_a_curve_tells_right_from_wrong_weights():
+    from navgrid.operators.optimise import dense_min_variance
+    from navgrid.queries.frontiers import _FLOOR, _certified
+    r = np.random.default_rng(3).normal(0.001, 0.01, (5, 90))
+    mean, cov, names = r.mean(axis=1) * 252, np.cov(r) * 252, list("dbaec")
+    low, high = (_FLOOR * mean.sum() + (1 - _FLOOR * 5) * x for x in (mean.min(), mean.max()))
+    curve = [dense_min_variance(mean, cov, _FLOOR, low + k * (high - low) / 9) for k in range(10)]
+    moved = curve[5] + 0.05 * np.where(np.arange(5) == curve[5].argmax(), -1, 0.25)
+    wrong = [moved, curve[5] * 1.001, np.where(curve[0] == curve[0].min(), 0.005, curve[0])]
+    points = [*curve, *wrong]
+    vectors = pd.DataFrame({"carteira": "x", "serie": names, "retornos": list(r)})
+    weights = pd.DataFrame([("x", k, s, p) for k, w in enumerate(points) for s, p in zip(names, w)], columns=["carteira", "alvo_ix", "serie", "peso"])
+    found = _certified(("x",), vectors, weights.sample(frac=1, random_state=1))
+    assert found["alvo_ix"].tolist() == list(range(13)) and set(found["carteira"]) == {"x"}
+    assert found["otima"].tolist()[:11] == [True] * 10 + [False]
+    assert found["soma_um"].tolist()[:12] == [True] * 11 + [False]
+    assert found["no_piso_ou_acima"].tolist()[:10] + [found["no_piso_ou_acima"].iloc[12]] == [True] * 10 + [False]
+    assert np.allclose(found["_risco"], [np.sqrt(w @ cov @ w) for w in points], rtol=1e-12)
+
+
+def test_certificate_joins_no_returns_by_date(spark):
+    import re
+
+    import __spark_entry__ as entry
+    plan = entry.queries()["f10_frontier"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join \[carteira#\d+, data#\d+", plan) and "FlatMapCoGroupsInPandas" in plan
+    assert not re.search(r"BroadcastHashJoin \[carteira#\d+, alvo_ix#\d+(, serie#\d+)?\], .* BuildRight", plan)  # rows of points and holdings
