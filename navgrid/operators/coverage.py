@@ -15,7 +15,7 @@ def held_by_fund(quotes: DataFrame) -> DataFrame:
 def covered(register: DataFrame, held: DataFrame) -> DataFrame:
     """First and last date, row count and status per registered fund, from what is held per fund."""
     total = F.coalesce("linhas", F.lit(0))
-    return register.select("cnpj", "nome").join(held, "cnpj", "left").select(
+    return register.select("cnpj", "nome").join(held.hint("merge"), "cnpj", "left").select(
         "cnpj", "nome", F.col("primeira").alias("primeira_data_disponivel"), F.col("ultima").alias("ultima_data_disponivel"),
         total.cast("bigint").alias("quantidade_registros"), status(total).alias("status"))
 

@@ -22,7 +22,8 @@ def keep_last(rows: DataFrame, keys: Sequence[str], order: Sequence[str], keep:
 def upsert(current: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str = "last") -> DataFrame:
     """New rows take over the whole row of their key, source and timestamp included."""
     fresh = keep_last(new, keys, order, keep).select(*current.columns)
-    return current.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
+    # As many keys as new rows, whatever the size of the files that they come from: never gathered on the driver.
+    return current.join(fresh.select(*keys).hint("merge"), list(keys), "left_anti").unionByName(fresh)
 
 
 def replace_by_source(current: DataFrame, new: DataFrame, sources: DataFrame, keys: Sequence[str],

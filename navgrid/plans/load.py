@@ -230,7 +230,7 @@ def _merge(store: Store, rows: DataFrame, sources: list[str], keep: str, months:
     order = _ORDER if keep == "last" else ["ordem", -F.col("membro_ix"), -F.col("linha")]
     winners = keep_last(rows, keys, order)
     current = (without_keys(store.read("cotas_diarias", months))
-               .join(names, "arquivo_origem", "left_anti").join(winners.select(*keys), keys, "left_anti"))
+               .join(F.broadcast(names), "arquivo_origem", "left_anti").join(winners.select(*keys).hint("merge"), keys, "left_anti"))
     fresh = winners.where("_vale")
     columns = QUOTES.fieldNames()
     return current.select(*columns).unionByName(fresh.select(*columns))

@@ -179,3 +179,18 @@ def test_sheet_lines_do_not_depend_on_later_splits(spark, tmp_path):
         assert all(r["linha"].endswith(f":{int(r['CNPJ']) + 1}") for r in sheet.collect())
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_growing_keys_are_not_broadcast(spark, tmp_path):
+    """Sixty thousand keys are a small file, by whose size Spark would gather them on the driver."""
+    from pyspark.sql import functions as F
+
+    from navgrid.operators.coverage import coverage
+    from navgrid.operators.tables import upsert
+    rows = spark.range(60_000).select(F.lpad(F.col("id").cast("string"), 14, "0").alias("cnpj"), F.lit("x").alias("nome"), F.lit(1).alias("n"),
+                                      F.date_add(F.lit("2021-01-01").cast("date"), F.col("id").cast("int") % 7).alias("data"))
+    rows.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for out, n in ((upsert(table, table.withColumn("n", F.lit(2)), ["cnpj"], ["n"]), 60_000), (coverage(table.select("cnpj", "nome"), table), 60_000)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == out.select("cnpj").distinct().count() == n
