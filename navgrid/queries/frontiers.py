@@ -207,8 +207,9 @@ def f9_certificate(t: Tables) -> DataFrame:
     """
     rets = _feasible(t)
     w = O.min_variance(rets, _FLOOR, _BY)
-    daily = (rets.join(w, [*_BY, "serie"]).groupBy(*_BY, "data").agg(F.sum(F.col("peso") * F.col("retorno")).alias("_p")))
-    pull = (rets.join(daily, [*_BY, "data"]).groupBy(*_BY, "serie")
+    # Returns are many rows of a small file: by its size they would be broadcast.
+    daily = (rets.hint("merge").join(w, [*_BY, "serie"]).groupBy(*_BY, "data").agg(F.sum(F.col("peso") * F.col("retorno")).alias("_p")))
+    pull = (rets.hint("merge").join(daily, [*_BY, "data"]).groupBy(*_BY, "serie")
             .agg(F.covar_samp("retorno", "_p").alias("_g"), F.var_samp("retorno").alias("_v")))
     rows = pull.join(w, [*_BY, "serie"])
     free = rows.groupBy(*_BY).agg(
