@@ -4,8 +4,9 @@ Writing: one record per page. Of equal payloads the one with the smallest page_i
 that refer to it and carry no payload.
 
 Reading: tasks read byte ranges and cut them at every occurrence of the record magic, also those inside payloads. Each
-piece that looks like a record names its successor: its own offset plus header and content length. Starting with the
-first byte of each file, pointer jumping keeps what the chain of records reaches; all other magic lies inside a payload,
+piece that looks like a record names its successor: its own offset plus header and content length. Pieces of a split that
+follow each other directly are one run, so runs end only at splits and at payloads that hold magic. Starting with the first
+byte of each file, pointer jumping over runs keeps what the chain of records reaches; all other magic lies inside a payload,
 and the pieces it cut are joined again. Only lengths and headers are shuffled, and payloads that hold magic. Pieces are
 numbered in one written scan; a second scan looks up the pieces of torn records by length and two hashes of their content,
 so it does not matter how either scan splits the files. A piece or a revisit's response that is not found fails the job.
@@ -13,7 +14,7 @@ so it does not matter how either scan splits the files. A piece or a revisit's r
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from navgrid.llm.common import bounded
 from navgrid.session import discard, materialise, shared_dir
@@ -82,7 +83,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = F.col("header") + F.col("content") + 4 <= F.col("n")
     pieces = materialise(pieces.withColumns({f"_{k}": F.when(whole, v) for k, v in _payload(block).items()}).drop("value"))
     offsets = materialise(_offsets(pieces))
-    records = materialise(offsets.join(_reached(offsets), ["file", "offset"]))
+    records = materialise(offsets.join(_few(_reached(offsets)), ["file", "run"]).where("offset >= entry"))
     torn = records.where("payload_digest is null")
     done = records.where("payload_digest is not null").select(*_OUT)
     if torn.limit(1).count():
@@ -103,35 +104,52 @@ def _payload(block: Column) -> dict[str, Column]:
 
 
 def _offsets(pieces: DataFrame) -> DataFrame:
-    """Where each piece's magic starts in its file, and where its successor would start."""
+    """Where each piece's magic starts in its file, and where its successor would start.
+
+    ``run`` is the offset of the first of the pieces of a split that name each other in order up to this one, null for pieces
+    that are no record; ``last`` marks the run's end."""
     magic = len(MAGIC)
     splits = (pieces.groupBy("file", "split").agg(F.sum(F.col("n") + magic).alias("size"))
               .selectExpr("file", "split", "sum(size) over (partition by file order by split) - size as before"))
-    placed = pieces.selectExpr(
-        "*", f"sum(n + {magic}) over (partition by file, split order by at rows unbounded preceding) - n - {2 * magic} as inside")
-    offset = F.col("before") + F.col("inside")
-    length = F.lit(magic) + F.col("header") + F.col("content") + 4
+    order = Window.partitionBy("file", "split").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside, record = F.col("inside"), F.col("length").isNotNull()
+    placed = (pieces.withColumn("inside", F.sum(F.col("n") + magic).over(so_far) - F.col("n") - 2 * magic)
+              .withColumn("length", F.lit(magic) + F.col("header") + F.col("content") + 4)
+              .withColumn("linked", record & F.lag(inside + F.col("length")).over(order).eqNullSafe(inside))
+              .withColumn("head", F.when(record, F.max(F.when(record & ~F.col("linked"), inside)).over(so_far)))
+              .withColumn("last", record & ~F.lead("linked", 1, False).over(order)))
+    offset = F.col("before") + inside
     return (placed.join(splits, ["file", "split"]).withColumn("offset", offset)
-            .select("file", "split", "at", "offset", length.alias("length"), (offset + length).alias("next"), "type", "id",
-                    "n", "hash", "more", "refers_to", "target", "stated_digest", F.col("_payload_bytes").alias("payload_bytes"),
+            .select("file", "split", "at", "offset", "length", (offset + F.col("length")).alias("next"), (F.col("before") + F.col("head")).alias("run"),
+                    "last", "type", "id", "n", "hash", "more", "refers_to", "target", "stated_digest", F.col("_payload_bytes").alias("payload_bytes"),
                     F.col("_payload_digest").alias("payload_digest")))
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Named for a broadcast if there are few, otherwise for sort and merge."""
+    return rows.hint("broadcast" if bounded(rows, BROADCAST_ROWS) else "merge")
+
+
 def _reached(offsets: DataFrame) -> DataFrame:
-    """Offsets that the chain of records from byte 0 of each file reaches: pointers are squared in every round."""
-    places = offsets.where("length is not null").select("file", "offset", "next")
-    jump = materialise(places.join(places.select("file", F.col("offset").alias("next")), ["file", "next"], "left_semi")
-                       .select("file", "offset", "next"))
-    reached, n = materialise(places.where("offset = 0").select("file", "offset")), 0
+    """Runs (file, run) that the chain of records from byte 0 of each file goes through, and the offset ``entry`` from which on
+    it does: a false record may lead into a run of true ones. Pointers from run to run are squared in every round, so rounds
+    grow with the logarithm of the runs of a file. A chain only goes forward and meets a run once."""
+    places = offsets.where("run is not null")
+    exits = _few(offsets.where("last").select("file", "run", "next"))
+    jump = materialise(places.select("file", F.col("offset").alias("next"), F.col("run").alias("to")).join(exits, ["file", "next"])
+                       .select("file", "run", "to", F.col("next").alias("entry")))
+    reached, n = materialise(places.where("offset = 0").select("file", "run", F.col("offset").alias("entry"))), 0
     while (count := reached.count()) > n:
-        n = count
-        further = reached.join(jump, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        grown = materialise(reached.union(further).distinct())
-        twice = jump.select("file", "offset", F.col("next").alias("mid")).join(
-            jump.select("file", F.col("offset").alias("mid"), "next"), ["file", "mid"]).select("file", "offset", "next")
-        squared = materialise(twice)
+        n, step = count, _few(jump)
+        further = reached.select("file", "run").join(step, ["file", "run"]).select("file", F.col("to").alias("run"), "entry")
+        grown = materialise(reached.unionByName(further))
+        twice = jump.select("file", "run", F.col("to").alias("mid")).join(
+            step.select("file", F.col("run").alias("mid"), "to", "entry"), ["file", "mid"])
+        squared = materialise(twice.select("file", "run", "to", "entry"))
         discard(reached, jump)
         reached, jump = grown, squared
+    discard(jump)
     return reached
 
 

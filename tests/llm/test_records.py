@@ -119,6 +119,33 @@ def test_archives_when_splits_change_between_the_scans(spark, tmp_path, monkeypa
     assert len(changed) == 2
 
 
+def test_chains_of_records_are_followed_by_runs(spark, monkeypatch):
+    """Rounds grow with the payloads that hold magic, not with records; false records that end where a true one starts lead
+    into the middle of a run."""
+    kinds = ["", FAKE, FAKE[:-4], FAKE * 2 + FAKE[:-4], warc.MAGIC + "Content-Length: 9000\r\n\r\n"]
+    texts = [f"page {i} " * 30 + (kinds[i // 40 % 5] if i % 40 == 0 else "") for i in range(1500)]
+    pages = spark.createDataFrame([(i, "u", text) for i, text in enumerate(texts)], "page_id long, url string, html string").coalesce(1)
+    reached, rounds, before = warc._reached, [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def counted(offsets):
+        written, write = [], warc.materialise
+        monkeypatch.setattr(warc, "materialise", lambda df: written.append(1) or write(df))
+        found = reached(offsets)
+        monkeypatch.setattr(warc, "materialise", write)
+        rounds.append(len(written))
+        return found
+    monkeypatch.setattr(warc, "_reached", counted)
+    try:
+        for limit, split in ((warc.BROADCAST_ROWS, before), (0, "100000")):
+            monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            found = warc.archived_pages(pages).collect()
+            assert multiset((r.page_id, r.payload_digest) for r in found) == multiset((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert max(rounds) <= 18  # tables written: 2 and twice the rounds (26 if pointers go from record to record)
+
+
 def test_reply_trees(spark):
     messages = spark.createDataFrame(TREES, "tree long, id long, parent long, score double, role string, text string").withColumns(
         {"leaf": F.lit(1), "rank": F.lit(2), "place": F.lit(3), "up": F.lit(4)})
